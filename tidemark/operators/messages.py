@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.text import estimate_tokens, utf16_length
 from tidemark.operators.ordered import chunked_lists, running
@@ -115,7 +116,7 @@ def project_model_messages(
     ).withColumn("parts", F.col("parts.part"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_json(text: pd.Series) -> pd.Series:
     """JSON text indented by two spaces."""
     return text.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False))
