@@ -95,25 +95,34 @@ def last_match(requests: DataFrame, rules: DataFrame, matches: dict[str, str], r
             pattern = F.when(hit, F.lit(rule["pattern"])).otherwise(pattern)
         return requests.withColumns({result: value, f"{result}_pattern": pattern})
 
+    columns = list(matches)
+    kept = rules.select("*", F.col("pattern").alias(f"{result}_pattern"))
+    hits = matching_rules(requests, kept, matches)
+    last = F.max_by(F.struct(result, f"{result}_pattern"), "idx").alias("_v")
+    verdicts = hits.groupBy(*columns).agg(last).select(*columns, f"_v.{result}", f"_v.{result}_pattern")
+    return requests.join(verdicts, columns, "left")
+
+
+def matching_rules(requests: DataFrame, rules: DataFrame, matches: dict[str, str]) -> DataFrame:
+    """Distinct request columns with every rule that fits them, joined on literal prefixes."""
     columns = list(matches)
     key, rule_key = list(matches.items())[-1]
-    prepared = rules.withColumns(
-        {"_prefix": _literal_prefix(F.col(rule_key)), **{f"_re_{c}": wildcard_regex(F.col(r)) for c, r in matches.items()}}
-    ).select("_prefix", "idx", *[f"_re_{c}" for c in columns], F.col(result), F.col("pattern").alias(f"{result}_pattern"))
-    # One small number per distinct pattern length.
+    regexes = {f"_re_{c}": wildcard_regex(F.col(r)) for c, r in matches.items()}
+    others = [c for c in rules.columns if c not in columns]
+    prepared = rules.withColumns({"_prefix": _literal_prefix(F.col(rule_key)), **regexes})
+    prepared = prepared.select("_prefix", *regexes, *others)
+    # One small number per distinct prefix length.
     lengths = sorted(r[0] for r in prepared.select(F.length("_prefix")).distinct().collect())
-    distinct = requests.select(*columns).distinct()
-    prefixes = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.left(F.col(key), n)))
+    prefixes = F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.left(F.col(key), n))
     hit = reduce(lambda a, b: a & b, [F.rlike(F.col(c), F.col(f"_re_{c}")) for c in columns])
-    verdicts = (
-        distinct.withColumn("_prefix", F.explode(prefixes))
+    return (
+        requests.select(*columns)
+        .distinct()
+        .withColumn("_prefix", F.explode(F.array_distinct(prefixes)))
         .join(prepared, "_prefix")
         .where(hit)
-        .groupBy(*columns)
-        .agg(F.max_by(F.struct(result, f"{result}_pattern"), "idx").alias("_v"))
-        .select(*columns, f"_v.{result}", f"_v.{result}_pattern")
+        .select(*columns, *others)
     )
-    return requests.join(verdicts, columns, "left")
 
 
 def evaluate_rules(requests: DataFrame, rules: DataFrame, inline: bool | None = None) -> DataFrame:
