@@ -94,19 +94,22 @@ def filter_commits(commits: DataFrame, areas: tuple[tuple[str, str], ...] = AREA
 def cancel_reverts(commits: DataFrame) -> DataFrame:
     """Commits left after each ``Revert "…"`` has cancelled what it names, or the other way round.
 
-    Commits are grouped by the title inside all the wrappers. In a stretch of
-    commits of one wrapping depth only the first and the last can matter, so
-    just the ends of stretches are folded: a title used again and again
-    shrinks to a few rows.
+    Commits are grouped by the title inside all the wrappers. A title without
+    wrappers keeps its last commit. For the others, in a stretch of commits of
+    one wrapping depth only the first and the last can matter, so just the ends
+    of stretches are folded: a title used again and again shrinks to a few rows.
     """
     wrappers = F.length(F.regexp_extract("title", r'\A((?:Revert ")*)', 1)) / 8
     quotes = F.length(F.regexp_extract("title", r'("*)\z', 1))
     depth = F.least(wrappers, quotes).cast("int")
     base = F.substring(F.col("title"), 8 * F.col("depth") + 1, F.length("title") - 9 * F.col("depth"))
-    rows = commits.withColumn("depth", depth).withColumn("base", base)
+    rows = commits.withColumn("depth", depth).withColumn("base", base).select("base", "seq", "depth")
+    per_base = rows.groupBy("base").agg(F.max("depth").alias("deepest"), F.max("seq").alias("seq"))
+    plain = per_base.where("deepest = 0").select("seq")
+    wrapped = rows.join(per_base.where("deepest > 0").select("base"), "base", "left_semi")
     near = {"_near": ("max", F.struct("seq", "depth"))}
     block = F.floor(F.col("seq") / 4096)
-    before = running(rows.select("base", "seq", "depth"), ["base"], ["seq"], block, near, inclusive=False)
+    before = running(wrapped, ["base"], ["seq"], block, near, inclusive=False)
     both = running(
         before.withColumnRenamed("_near", "_before"),
         ["base"],
@@ -132,7 +135,7 @@ def cancel_reverts(commits: DataFrame) -> DataFrame:
         .agg(F.aggregate(F.sort_array(F.collect_list(F.struct("seq", "depth"))), empty, fold).alias("_seen"))
         .select(F.explode(F.map_values("_seen")).alias("seq"))
     )
-    return commits.join(survivors, "seq", "left_semi")
+    return commits.join(survivors.unionByName(plain), "seq", "left_semi")
 
 
 def _section(areas: Column) -> Column:

@@ -432,9 +432,9 @@ def _(v: Views):
 
 @query(
     "benchmark_task",
-    f"""WITH {_MONTHS}, t AS (SELECT * FROM m WHERE o_custkey = 10 AND task = 'T03')
+    f"""WITH {_MONTHS}, t AS (SELECT * FROM m WHERE o_custkey = 0 AND task = 'T06')
         SELECT o_custkey AS id, (cents // n) / 100 AS average_score, 0 AS run, high / 100 AS final, 'low' AS criterion, CAST(1 AS DOUBLE) AS weight, low / 100 AS average FROM t
         UNION ALL SELECT o_custkey, (cents // n) / 100, 0, high / 100, 'high', 2, high / 100 FROM t""",
 )
 def _(v: Views):
-    return P.benchmark_task(runs(v), 10, "T03")
+    return P.benchmark_task(runs(v), 0, "T06")

@@ -62,11 +62,12 @@ def _(v: Views):
 )
 def _(v: Views):
     root = scratch_dir(v.spark, "dump")
-    requests.dump_requests(request_records(v), root)
+    requests.dump_requests(request_records(v), root, v.spark.sparkContext.defaultParallelism)
     part = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     hour = F.concat_ws("-", F.col("yyyy").cast("string"), part("mm"), part("dd"), part("hh"))
-    data = v.spark.read.json(f"{root}/data").groupBy("model", hour.alias("hour")).agg(F.count("*").alias("n"))
-    meta = v.spark.read.json(f"{root}/meta").groupBy("model").agg(F.count("*").alias("n"))
+    schema = "request_id long, model string, yyyy string, mm string, dd string, hh string"
+    data = v.spark.read.schema(schema).json(f"{root}/data").groupBy("model", hour.alias("hour")).agg(F.count("*").alias("n"))
+    meta = v.spark.read.schema("request_id long, model string").json(f"{root}/meta").groupBy("model").agg(F.count("*").alias("n"))
     meta = meta.select(F.lit("meta").alias("copy"), "model", F.lit(None).cast("string").alias("hour"), "n")
     return data.select(F.lit("data").alias("copy"), "model", "hour", "n").unionByName(meta)
 

@@ -82,6 +82,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        reader = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(self.path)
+
     # -- usage ledger ------------------------------------------------------
     def usage(self, events: DataFrame | None = None) -> DataFrame:
         e = self.table("events") if events is None else events
@@ -564,6 +568,8 @@ VIEW_SQL: dict[str, str] = {
 
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the views it names, dependencies first."""
+    if sql.startswith("WITH RECURSIVE v_"):
+        return sql
     needed: list[str] = []
 
     def add(text: str) -> None:

@@ -21,15 +21,19 @@ def metadata(requests: DataFrame) -> DataFrame:
     return _landable(requests).drop("request", "response")
 
 
-def dump_requests(requests: DataFrame, path: str) -> None:
+def dump_requests(requests: DataFrame, path: str, tasks: int | None = None) -> None:
     """Write ``data`` by model and hour and ``meta`` by model.
 
-    Rows of one hour come from as many tasks as Spark had, so a busy model does
-    not end up in one task or one file.
+    The rebalance brings the rows of an hour together, so that not every task
+    opens a file in every folder, and splits an hour or model that is too big
+    for one task. ``tasks`` fixes how many tasks write, for many small hours.
     """
     data = with_partitions(_landable(requests))
+    columns = [F.col(c) for c in PARTITIONS]
+    data = data.repartition(tasks, *columns) if tasks else data.hint("rebalance", *columns)
     data.write.mode("append").partitionBy(*PARTITIONS).json(f"{path}/data")
-    metadata(requests).write.mode("append").partitionBy("model").json(f"{path}/meta")
+    meta = metadata(requests).hint("rebalance", F.col("model"))
+    meta.write.mode("append").partitionBy("model").json(f"{path}/meta")
 
 
 def dump_request_stream(requests: DataFrame, path: str, checkpoint: str):
