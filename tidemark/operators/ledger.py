@@ -7,8 +7,6 @@ totals go through :func:`tidemark.operators.ordered.running`.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,29 +147,26 @@ def rolling_anchors(usage: DataFrame, keys: list[str], hours: int) -> DataFrame:
 
     A window opens with the first event, takes in every event up to ``hours``
     later, and the next event after that opens another. Only distinct seconds
-    matter, so the rows of a key are reduced to those before they are brought
-    together: what one task gets is bounded by elapsed time, not by rows.
+    matter, so a key's rows are reduced to those, and to slots as wide as the
+    window, before the slots are walked in order: what comes together for a key
+    is bounded by elapsed time, not by rows. A slot holds at most one anchor.
     """
     width = hours * 3600
-    seconds = usage.groupBy(*keys, F.unix_seconds("ts").alias("second")).agg(F.lit(1).alias("one"))
+    seconds = usage.select(*keys, F.unix_seconds("ts").alias("second")).distinct()
     slots = seconds.groupBy(*keys, F.floor(F.col("second") / width).alias("slot")).agg(
         F.collect_list("second").alias("seconds")
     )
+    start = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<bigint>").alias("anchors"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(np.concatenate([np.asarray(s, dtype="int64") for s in pdf["seconds"]]))
-        anchors, at = [], 0
-        while at < len(times):
-            anchors.append(times[at])
-            at = int(np.searchsorted(times, times[at] + width, side="right"))
-        out = pd.DataFrame({"anchor": anchors})
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "anchor"]]
-
-    types = dict(usage.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", anchor long"
-    return slots.groupBy(*keys).applyInPandas(walk, schema)
+    def walk(state: Column, slot: Column) -> Column:
+        free = F.filter(slot["seconds"], lambda s: state["open"].isNull() | (s > state["open"] + width))
+        first = F.array_min(free)
+        moved = F.struct(first.alias("open"), F.concat(state["anchors"], F.array(first)).alias("anchors"))
+        return F.when(first.isNull(), state).otherwise(moved)
+
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "seconds")))
+    walked = slots.groupBy(*keys).agg(F.aggregate(ordered, start, walk)["anchors"].alias("anchors"))
+    return walked.select(*keys, F.explode("anchors").alias("anchor"))
 
 
 def rolling_usage(usage: DataFrame, keys: list[str], hours: int) -> DataFrame:

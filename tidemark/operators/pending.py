@@ -25,11 +25,13 @@ def pending_requests(events: DataFrame, per_session: bool = False) -> DataFrame:
     waiting = unanswered.join(rejected, "session_id", "left").where("_rejected IS NULL OR _rejected < seq").drop("_rejected")
 
     always = replied.where("reply = 'always'")
+    scope = ["session_id"] if per_session else []
     rules = (
         always.join(asked.select("id", "permission", "always"), "id")
-        .select("session_id", F.col("at").alias("idx"), "permission", F.explode("always").alias("pattern"))
+        .select("session_id", "at", "permission", F.explode("always").alias("pattern"))
+        .groupBy(*scope, "permission", "pattern")
+        .agg(F.min("at").alias("idx"))
     )
-    scope = ["session_id"] if per_session else []
     wanted = waiting.select(*scope, "id", "session_id" if not scope else F.lit(0).alias("_"), "seq", "permission", F.explode_outer("patterns").alias("pattern"))
     renamed = rules.select(
         *[F.col(c).alias(f"_{c}") for c in scope],

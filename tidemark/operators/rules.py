@@ -2,8 +2,8 @@
 
 A rule list is configuration. Up to ``INLINE_RULES`` rules become one ``CASE``
 expression with precompiled patterns: no join and no shuffle. A longer list is
-joined on the literal prefix of its patterns, so a request only meets rules
-whose prefix it has.
+joined on the literal start or end of its patterns, so a request only meets
+rules whose fixed part it has.
 """
 
 from __future__ import annotations
@@ -71,10 +71,17 @@ def _inline(rules: DataFrame, columns: list[str]) -> list | None:
     return None if len(rows) > INLINE_RULES else sorted(rows, key=lambda r: r["idx"])
 
 
-def _literal_prefix(pattern: Column) -> Column:
-    """Text every match starts with. A final `` *`` is optional, so it is not part of it."""
-    core = F.when(F.endswith(pattern, F.lit(" *")), F.left(pattern, F.length(pattern) - 2)).otherwise(pattern)
-    return F.regexp_extract(core, r"\A([^*?]*)", 1)
+def _anchor(pattern: Column) -> Column:
+    """Text that every match starts (side ``p``) or ends (side ``s``) with, whichever is longer.
+
+    A final `` *`` is optional, so nothing before or after it is certain at the end.
+    """
+    optional = F.endswith(pattern, F.lit(" *"))
+    core = F.when(optional, F.left(pattern, F.length(pattern) - 2)).otherwise(pattern)
+    prefix = F.regexp_extract(core, r"\A([^*?]*)", 1)
+    suffix = F.when(optional, "").otherwise(F.regexp_extract(pattern, r"([^*?]*)\z", 1))
+    starts = F.length(prefix) >= F.length(suffix)
+    return F.struct(F.when(starts, "p").otherwise("s").alias("side"), F.when(starts, prefix).otherwise(suffix).alias("text"))
 
 
 def last_match(requests: DataFrame, rules: DataFrame, matches: dict[str, str], result: str, inline: bool | None = None) -> DataFrame:
@@ -96,7 +103,10 @@ def last_match(requests: DataFrame, rules: DataFrame, matches: dict[str, str], r
         return requests.withColumns({result: value, f"{result}_pattern": pattern})
 
     columns = list(matches)
-    kept = rules.select("*", F.col("pattern").alias(f"{result}_pattern"))
+    # Of rules with the same patterns only the last can win.
+    same = sorted({*matches.values(), "pattern"})
+    newest = F.max_by(F.struct("idx", result), "idx").alias("_r")
+    kept = rules.groupBy(*same).agg(newest).select(*same, F.col("pattern").alias(f"{result}_pattern"), "_r.*")
     hits = matching_rules(requests, kept, matches)
     last = F.max_by(F.struct(result, f"{result}_pattern"), "idx").alias("_v")
     verdicts = hits.groupBy(*columns).agg(last).select(*columns, f"_v.{result}", f"_v.{result}_pattern")
@@ -104,27 +114,35 @@ def last_match(requests: DataFrame, rules: DataFrame, matches: dict[str, str], r
 
 
 def matching_rules(requests: DataFrame, rules: DataFrame, matches: dict[str, str]) -> DataFrame:
-    """Distinct request columns with every rule that fits them, joined on literal prefixes."""
+    """Distinct request columns with every rule that fits them, joined on what the patterns start or end with."""
     columns = list(matches)
     key, rule_key = list(matches.items())[-1]
     regexes = {f"_re_{c}": wildcard_regex(F.col(r)) for c, r in matches.items()}
     others = [c for c in rules.columns if c not in columns]
-    prepared = rules.withColumns({"_prefix": _literal_prefix(F.col(rule_key)), **regexes})
-    prepared = prepared.select("_prefix", *regexes, *others)
-    # One small number per distinct prefix length.
-    lengths = sorted(r[0] for r in prepared.select(F.length("_prefix")).distinct().collect())
-    prefixes = F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.left(F.col(key), n))
+    prepared = rules.withColumns({"_anchor": _anchor(F.col(rule_key)), **regexes}).select("_anchor", *regexes, *others)
+    # One row per side and distinct anchor length.
+    sizes = prepared.select("_anchor.side", F.length("_anchor.text").alias("n")).distinct().collect()
+    ends = {
+        side: F.transform(F.array(*[F.lit(r["n"]) for r in sizes if r["side"] == side]).cast("array<int>"), cut)
+        for side, cut in (("p", lambda n: F.left(F.col(key), n)), ("s", lambda n: F.right(F.col(key), n)))
+    }
+    tagged = [_tagged(texts, side) for side, texts in ends.items()]
     hit = reduce(lambda a, b: a & b, [F.rlike(F.col(c), F.col(f"_re_{c}")) for c in columns])
     return (
         requests.select(*columns)
         .distinct()
-        .withColumn("_prefix", F.explode(F.array_distinct(prefixes)))
-        .join(prepared, "_prefix")
+        .withColumn("_anchor", F.explode(F.concat(*tagged)))
+        .hint("merge")
+        .join(prepared, "_anchor")
         .where(hit)
         .select(*columns, *others)
     )
 
 
+def _tagged(texts: Column, side: str) -> Column:
+    return F.transform(F.array_distinct(texts), lambda t: F.struct(F.lit(side).alias("side"), t.alias("text")))
+
+
 def evaluate_rules(requests: DataFrame, rules: DataFrame, inline: bool | None = None) -> DataFrame:
     """Action for each (permission, pattern)."""
     matches = {"permission": "permission", "pattern": "pattern"}

@@ -10,6 +10,7 @@ from tidemark.operators import pages as P
 from tidemark.operators import rules as R
 from tidemark.plans.registry import query
 from tidemark.plans.views import RULES, Views, _values
+from tidemark.session import spread
 
 LINES = "string_split(text, chr(10))"
 PATTERN = "tion[,.]"
@@ -491,7 +492,7 @@ def _docs(v: Views):
 def _blocks(v: Views, change):
     """The first four lines of every document, changed by ``change(lines)``."""
     head = F.slice(F.split("text", "\n"), 1, 4)
-    return v.table("documents").select(F.col("doc_id").alias("block_id"), change(head).alias("find"))
+    return spread(_docs(v)).select(F.col("doc_id").alias("block_id"), change(head).alias("find"))
 
 
 @query(
