@@ -14,13 +14,18 @@ def scan_corpus(
     globs: tuple[str, ...] = (),
     max_depth: int | None = None,
     hidden: bool = True,
+    hidden_depth: int = 0,
 ) -> DataFrame:
     """(path, mtime, text) of the files below ``root``; globs starting with ``!`` exclude.
 
     Path conditions are applied before a file is opened. ``.git`` is never read.
+    Spark's file listing leaves out names that start with ``.`` or ``_``; they
+    are named explicitly down to ``hidden_depth`` folders.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    named = [f"{base}{'/*' * depth}/[._]*" for depth in range(hidden_depth)]
+    roots = [base, *[pattern for pattern in named if _any_match(spark, pattern)]]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     path = F.regexp_replace(F.substring_index("path", base + "/", -1), "\\A/+", "")
     files = files.select(path.alias("path"), F.unix_millis("modificationTime").alias("mtime"), "content")
     keep = ~F.array_contains(F.split("path", "/"), ".git")
@@ -38,3 +43,9 @@ def scan_corpus(
     if not hidden:
         keep = keep & ~is_hidden(F.col("path"))
     return files.where(keep).select("path", "mtime", F.decode("content", "UTF-8").alias("text"))
+
+
+def _any_match(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
