@@ -139,13 +139,13 @@ def test_dump_batch_and_stream(spark, tmp_path):
 
 
 def test_corpus_folder(spark, tmp_path):
-    for name in ("a.txt", "sub/b.txt", "sub/deep/c.txt", ".hid/d.txt", "sub/_x.txt", ".git/e.txt", "f.md"):
+    for name in ("a.txt", "sub/b.txt", "sub/deep/c.txt", ".hid/d.txt", "sub/_x/g.txt", ".git/e.txt", "f.md"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(name)
     names = lambda **o: sorted(r.path for r in corpus.scan_corpus(spark, str(tmp_path), **o).collect())
     assert names() == ["a.txt", "f.md", "sub/b.txt", "sub/deep/c.txt"]
-    assert names(hidden_depth=3) == [".hid/d.txt", "a.txt", "f.md", "sub/_x.txt", "sub/b.txt", "sub/deep/c.txt"]
+    assert names(hidden_depth=3) == [".hid/d.txt", "a.txt", "f.md", "sub/_x/g.txt", "sub/b.txt", "sub/deep/c.txt"]
     assert names(globs=("*.txt", "!sub/**"), hidden=False, hidden_depth=3) == ["a.txt"]
     assert names(max_depth=1) == ["a.txt", "f.md"]
 

@@ -539,9 +539,9 @@ def _(v: Views):
     return T.session_stats(v.sessions(), v.messages(), NOW_MS)
 
 
-@query("session_stats_recent", f"{_stats_sql(NOW_MS - 17 * 86400000, '17')} SELECT {_STATS_COLUMNS} FROM d")
+@query("session_stats_recent", f"{_stats_sql(NOW_MS - 19 * 86400000, '19')} SELECT {_STATS_COLUMNS} FROM d")
 def _(v: Views):
-    return T.session_stats(v.sessions(), v.messages(), NOW_MS, 17)
+    return T.session_stats(v.sessions(), v.messages(), NOW_MS, 19)
 
 
 @query("median_tokens", f"{_stats_sql(None, '1')} SELECT CAST(med AS DOUBLE) AS median_tokens FROM d")

@@ -19,8 +19,8 @@ def scan_corpus(
     """(path, mtime, text) of the files below ``root``; globs starting with ``!`` exclude.
 
     Path conditions are applied before a file is opened. ``.git`` is never read.
-    Spark's file listing leaves out names that start with ``.`` or ``_``; they
-    are named explicitly down to ``hidden_depth`` folders.
+    Spark's file listing leaves out names that start with ``.`` or ``_``. Folders
+    of that kind are named explicitly down to ``hidden_depth``; files cannot be.
     """
     base = root.rstrip("/")
     named = [f"{base}{'/*' * depth}/[._]*" for depth in range(hidden_depth)]
