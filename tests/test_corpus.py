@@ -280,3 +280,15 @@ def test_suggestions(spark):
 def test_fuzzy_needs_the_letters_in_order(spark):
     paths = spark.createDataFrame([("src/main.py",), ("lib/niam.py",), ("main",)], "path string")
     assert [r.path for r in C.fuzzy_find(paths, "MAIN").collect()] == ["main", "src/main.py"]
+
+
+def test_suggestions_against_every_pair(spark):
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abC.") for _ in range(rng.randrange(1, 6)))
+    entries = sorted({(rng.choice("xy"), name()) for _ in range(120)})
+    wanted = sorted({(rng.choice("xy"), name()) for _ in range(60)})
+    paths = spark.createDataFrame([(f"{d}/{n}",) for d, n in entries], "path string")
+    got = C.suggest_paths(paths, spark.createDataFrame(wanted, "dir string, base string"))
+    near = lambda a, b: a.lower() in b.lower() or b.lower() in a.lower()
+    want = [(d, b, f"{d}/{e}") for d, b in wanted for e in [e for f, e in entries if f == d and near(e, b)][:3]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

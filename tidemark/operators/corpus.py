@@ -132,20 +132,34 @@ def _split_path(paths: DataFrame) -> DataFrame:
     return paths.select(F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("base"))
 
 
+def _grams(text: Column) -> Column:
+    """Every piece of up to three letters, and the empty one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    cut = lambda size: F.transform(starts, lambda i: F.substring(text, i, size))
+    return F.array_distinct(F.concat(F.array(F.lit("")), cut(1), cut(2), cut(3)))
+
+
 def suggest_paths(paths: DataFrame, wanted: DataFrame, n: int = 3) -> DataFrame:
     """Up to ``n`` names in the wanted directory that contain, or are contained in, the wanted name.
 
-    Directory is the join key. The rank is bounded, so Spark keeps at most
-    ``n`` rows per wanted path before it shuffles for the final rank.
+    A name inside another begins with some three letters of it: names only meet
+    when they are in one directory and share such a piece. The rank is bounded,
+    so Spark keeps at most ``n`` rows per wanted path before the last shuffle.
     """
-    entries = _split_path(paths).distinct().withColumnRenamed("base", "entry")
-    near = F.lower("entry").contains(F.lower("base")) | F.lower("base").contains(F.lower("entry"))
+    entries = _split_path(paths).distinct().select("dir", F.col("base").alias("entry"), F.lower("base").alias("_e"))
+    names = wanted.select("dir", "base", F.lower("base").alias("_w")).distinct()
+    start = lambda c: F.left(F.col(c), F.lit(3)).alias("_gram")
+    inside = names.select("*", start("_w")).hint("merge").join(
+        entries.select("*", F.explode(_grams(F.col("_e"))).alias("_gram")), ["dir", "_gram"]
+    ).where(F.contains("_e", F.col("_w")))
+    around = names.select("*", F.explode(_grams(F.col("_w"))).alias("_gram")).hint("merge").join(
+        entries.select("*", start("_e")), ["dir", "_gram"]
+    ).where(F.contains("_w", F.col("_e")))
     first = Window.partitionBy("dir", "base").orderBy("entry")
     return (
-        wanted.select("dir", "base")
+        inside.select("dir", "base", "entry")
+        .unionByName(around.select("dir", "base", "entry"))
         .distinct()
-        .join(entries, "dir")
-        .where(near)
         .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= n)
         .select("dir", "base", F.when(F.col("dir") == "", F.col("entry")).otherwise(F.concat("dir", F.lit("/"), "entry")).alias("suggestion"))
@@ -345,29 +359,31 @@ def extract_references(docs: DataFrame) -> DataFrame:
 def classify_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Net effect between two versions of (path, text): status, lines added and removed.
 
-    Only paths whose text differs are opened; lines are compared as multisets.
+    The versions are first joined on path and digest, without the texts. Only
+    the lines of paths that differ are then shuffled and compared as multisets.
     """
-    old = before.select("path", F.col("text").alias("before"))
-    new = after.select("path", F.col("text").alias("after"))
-    changed = old.join(new, "path", "full_outer").where(
-        F.col("before").isNull() | F.col("after").isNull() | (F.col("before") != F.col("after"))
+    digest = lambda df, name: df.select("path", F.sha2("text", 256).alias(name))
+    status = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("modified")
+    changed = (
+        digest(before, "_old")
+        .join(digest(after, "_new"), "path", "full_outer")
+        .where(~F.col("_old").eqNullSafe(F.col("_new")))
+        .select("path", status.alias("status"))
     )
-    status = (
-        F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("modified")
-    )
-    side = lambda text, weight: F.transform(F.split(text, "\n"), lambda l: F.struct(l.alias("line"), F.lit(weight).alias("w")))
-    none = F.array().cast("array<struct<line:string,w:int>>")
-    lines = F.concat(F.coalesce(side("before", -1), none), F.coalesce(side("after", 1), none))
-    return (
-        changed.select("path", status.alias("status"), F.explode(lines).alias("l"))
-        .groupBy("path", "status", "l.line")
-        .agg(F.sum("l.w").alias("net"))
-        .groupBy("path", "status")
+    lines = lambda df, weight: df.select("path", F.explode(F.split("text", "\n")).alias("line"), F.lit(weight).alias("w"))
+    sides = [lines(df.select("path", "text").join(changed.select("path"), "path", "left_semi"), w) for df, w in ((before, -1), (after, 1))]
+    counts = (
+        sides[0]
+        .unionByName(sides[1])
+        .groupBy("path", "line")
+        .agg(F.sum("w").alias("net"))
+        .groupBy("path")
         .agg(
-            F.sum(F.when(F.col("net") > 0, F.col("net")).otherwise(0)).alias("additions"),
-            F.sum(F.when(F.col("net") < 0, -F.col("net")).otherwise(0)).alias("deletions"),
+            F.sum(F.greatest(F.col("net"), F.lit(0))).alias("additions"),
+            F.sum(F.greatest(-F.col("net"), F.lit(0))).alias("deletions"),
         )
     )
+    return changed.join(counts, "path")
 
 
 def last_definition_wins(definitions: DataFrame) -> DataFrame:

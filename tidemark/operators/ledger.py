@@ -252,7 +252,7 @@ def trial_usage(usage: DataFrame, limits: dict[str | None, int]) -> DataFrame:
             .where((F.col("used") < level) & (F.col("at").isNull() | (here > F.col("at"))))
         )
         steps = running(
-            left, ["ip"], ["ts", "id"], F.date_trunc("hour", "ts"), {"prior": ("sum", F.col("tokens"))}, inclusive=False
+            left, ["ip"], ["ts", "id"], F.date_trunc("minute", "ts"), {"prior": ("sum", F.col("tokens"))}, inclusive=False
         ).where(F.col("used") + F.coalesce("prior", F.lit(0)) < level)
         added = steps.groupBy("ip").agg(F.sum("tokens").alias("_more"), F.max(F.struct("ts", "id")).alias("_last"))
         counted = counted.join(added, "ip", "left").select(
@@ -308,7 +308,7 @@ def latest_payment_before(payments: DataFrame, anchors: Column) -> DataFrame:
         rows,
         ["workspace_id"],
         ["ts"],
-        F.date_trunc("day", "ts"),
+        F.date_trunc("minute", "ts"),
         {"previous": ("max", candidate)},
         strict_on="_micros",
     )

@@ -108,7 +108,7 @@ def cancel_reverts(commits: DataFrame) -> DataFrame:
     plain = per_base.where("deepest = 0").select("seq")
     wrapped = rows.join(per_base.where("deepest > 0").select("base"), "base", "left_semi")
     near = {"_near": ("max", F.struct("seq", "depth"))}
-    block = F.floor(F.col("seq") / 4096)
+    block = F.floor(F.col("seq") / (1 << 20))
     before = running(wrapped, ["base"], ["seq"], block, near, inclusive=False)
     both = running(
         before.withColumnRenamed("_near", "_before"),

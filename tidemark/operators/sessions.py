@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,8 @@ from tidemark.session import checkpointed
 
 DAY_MS = 86_400_000
 FOUR_HOURS_MS = 14_400_000
-IDS_PER_BLOCK = 1000
+IDS_PER_BLOCK = 1 << 20
+IDS_PER_OWNER = 1000
 
 
 def id_block(column: str = "id", width: int = IDS_PER_BLOCK) -> Column:
@@ -109,15 +112,28 @@ def cascade_delete(
     )
 
 
-def fork_messages(messages: DataFrame, points: DataFrame, block: Column | None = None) -> DataFrame:
+def numbered_id(owner: Column, position: Column) -> Column:
+    """Ids ``owner * 1000 + position - 1``; more than fit stop the job instead of colliding."""
+    fits = position <= IDS_PER_OWNER
+    return F.when(fits, owner * IDS_PER_OWNER + position - 1).otherwise(
+        F.raise_error(F.lit("more ids than numbered_id can give; pass another new_id")).cast("long")
+    )
+
+
+def fork_messages(
+    messages: DataFrame,
+    points: DataFrame,
+    block: Column | None = None,
+    new_id: Callable[[Column, Column], Column] = numbered_id,
+) -> DataFrame:
     """Copies of the messages before each fork point, with new ids and remapped parents.
 
     ``points`` has (session_id, new_session_id, at); a null ``at`` copies all.
-    ``source_id`` keeps the old id.
+    ``source_id`` keeps the old id, ``new_id(owner, position)`` makes the new one.
     """
     prefix = messages.join(points, "session_id").where(F.col("at").isNull() | (F.col("id") < F.col("at")))
     numbered = ordinal(prefix, ["new_session_id"], ["id"], id_block() if block is None else block)
-    copies = numbered.withColumn("_new", F.col("new_session_id") * IDS_PER_BLOCK + F.col("position") - 1)
+    copies = numbered.withColumn("_new", new_id(F.col("new_session_id"), F.col("position")))
     parents = copies.select("new_session_id", F.col("id").alias("parent_id"), F.col("_new").alias("_new_parent"))
     rest = [c for c in messages.columns if c not in ("id", "session_id", "parent_id")]
     return copies.join(parents, ["new_session_id", "parent_id"], "left").select(
@@ -129,7 +145,12 @@ def fork_messages(messages: DataFrame, points: DataFrame, block: Column | None =
     )
 
 
-def fork_parts(parts: DataFrame, forked: DataFrame, block: Column | None = None) -> DataFrame:
+def fork_parts(
+    parts: DataFrame,
+    forked: DataFrame,
+    block: Column | None = None,
+    new_id: Callable[[Column, Column], Column] = numbered_id,
+) -> DataFrame:
     """Copies of the parts of forked messages."""
     target = forked.select(
         F.col("source_id").alias("message_id"), F.col("id").alias("_message"), F.col("session_id").alias("_session")
@@ -138,7 +159,7 @@ def fork_parts(parts: DataFrame, forked: DataFrame, block: Column | None = None)
     numbered = ordinal(rows, ["_message"], ["id"], id_block() if block is None else block)
     rest = [c for c in parts.columns if c not in ("id", "message_id", "session_id")]
     return numbered.select(
-        (F.col("_message") * IDS_PER_BLOCK + F.col("position") - 1).alias("id"),
+        new_id(F.col("_message"), F.col("position")).alias("id"),
         F.col("_message").alias("message_id"),
         F.col("_session").alias("session_id"),
         F.col("id").alias("source_id"),

@@ -18,7 +18,7 @@ from tidemark.session import configure
 NOW = "2024-01-20 12:00:00"
 NOW_MS = 1705752000000
 SESSION_EPOCH_MS = 1704067200000
-TURNS_PER_BLOCK = 256
+TURNS_PER_BLOCK = 1 << 16
 
 # Prices per million tokens in thousandths of a dollar, so that
 # tokens * price is a whole number of nano-dollars.

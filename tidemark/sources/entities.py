@@ -45,6 +45,8 @@ def write_entities(df: DataFrame, root: str, kind: str, key: str = "id", version
     fields = [c for c in df.columns if c != key]
     newest = F.max_by(F.struct(*fields), F.struct(version, "_new")).alias("_d")
     latest = rows.groupBy("bucket", key).agg(newest).select(key, "_d.*", "bucket").select(*df.columns, "bucket")
+    # Rows of a bucket are brought together, and split again where a bucket is too big for one task.
+    latest = latest.hint("rebalance", F.col("bucket"))
     latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
