@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.usage import normalize_usage
-from tidemark.operators.ordered import running
+from tidemark.operators.ordered import neighbours
 
 DAY_MS = 86_400_000
 MAX_PATHS = 1000
@@ -61,11 +61,8 @@ def tail_n(log: DataFrame, n: int) -> DataFrame:
 
 def log_gaps(logs: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``gap_ms``: milliseconds since the previous line, 0 for the first."""
-    rows = logs.withColumn("_ms", F.unix_millis("ts"))
-    found = running(
-        rows, keys, ["ts", "seq", "pos"], F.date_trunc("minute", "ts"), {"_before": ("max", F.col("_ms"))}, inclusive=False
-    )
-    return found.select(*logs.columns, F.coalesce(F.col("_ms") - F.col("_before"), F.lit(0)).alias("gap_ms"))
+    found = neighbours(logs, keys, ["ts", "seq", "pos"], F.date_trunc("minute", "ts"), F.unix_millis("ts"))
+    return found.select(*logs.columns, F.coalesce(F.unix_millis("ts") - F.col("previous"), F.lit(0)).alias("gap_ms"))
 
 
 def _metric_fields(message: Column) -> Column:

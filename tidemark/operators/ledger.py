@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import MICRO_PER_DOLLAR
 from tidemark.functions.time import hour_bucket, hour_number, quota_status, retry_text, week_start
 from tidemark.operators.ordered import running
+from tidemark.session import broadcast_if_small
 
 TIER_TOKENS = 200_000
 RELOAD_TRIGGER_DOLLARS = 5
@@ -81,7 +82,7 @@ def price_usage(usage: DataFrame, prices: DataFrame, rule: str = "gateway", tier
     )
     return (
         usage.alias("u")
-        .join(prices.alias("p"), F.col("u.model") == F.col("p.model"))
+        .join(broadcast_if_small(prices).alias("p"), F.col("u.model") == F.col("p.model"))
         .select("u.*", nano.cast("long").alias("cost_nano"))
         .withColumn("cost_micro", F.floor((F.col("cost_nano") + 5) / 10).cast("long"))
     )

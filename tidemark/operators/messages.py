@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 from tidemark.functions.text import estimate_tokens, utf16_length
 from tidemark.operators.ordered import chunked_lists, running
 from tidemark.operators.sessions import id_block
+from tidemark.session import broadcast_if_small
 
 # Fixed values.
 OUTPUT_TOKEN_MAX = 32_000
@@ -38,7 +39,7 @@ def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def project_model_messages(
-    messages: DataFrame, parts: DataFrame, size: int = 10_000, block: Column | None = None
+    messages: DataFrame, parts: DataFrame, size: int = 1000, block: Column | None = None
 ) -> DataFrame:
     """Transcript as model input: (session_id, message_id, role, chunk, parts).
 
@@ -129,7 +130,7 @@ def render_transcripts(
     thinking: bool = True,
     tool_details: bool = True,
     assistant_metadata: bool = True,
-    size: int = 10_000,
+    size: int = 2000,
     block: Column | None = None,
 ) -> DataFrame:
     """Markdown per session as (session_id, chunk, text); the chunks follow one another."""
@@ -308,7 +309,7 @@ def overflow(messages: DataFrame, models: DataFrame, auto: bool = True) -> DataF
     limits = models.select("provider_id", "model_id", "context_limit", "input_limit", "output_limit")
     return (
         messages.where("role = 'assistant'")
-        .join(limits, ["provider_id", "model_id"])
+        .join(broadcast_if_small(limits), ["provider_id", "model_id"])
         .select(*messages.columns, full.alias("overflow"))
     )
 
@@ -499,7 +500,7 @@ def context_usage(messages: DataFrame, models: DataFrame) -> DataFrame:
     limit = F.nullif(F.col("context_limit"), F.lit(0))
     return (
         _last_with_tokens(messages)
-        .join(models.select("provider_id", "model_id", "context_limit"), ["provider_id", "model_id"], "left")
+        .join(broadcast_if_small(models.select("provider_id", "model_id", "context_limit")), ["provider_id", "model_id"], "left")
         .select(
             "session_id",
             F.col("id").alias("message_id"),

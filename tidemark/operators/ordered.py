@@ -79,6 +79,29 @@ def running(
     )
 
 
+def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column) -> DataFrame:
+    """Add ``previous`` and ``next``: ``value`` of the rows before and after in the key.
+
+    ``value`` must not be null. Inside a block they are ``lag`` and ``lead``; at its
+    ends the last value of the block before and the first of the one after.
+    """
+    rows = df.withColumns({"_block": block, "_value": value})
+    ends = rows.groupBy(*keys, "_block").agg(
+        F.min_by("_value", F.struct(*order)).alias("_first"), F.max_by("_value", F.struct(*order)).alias("_last")
+    )
+    across = Window.partitionBy(*keys).orderBy("_block")
+    carried = ends.select(
+        *keys, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    local = rows.select("*", F.lag("_value").over(inside).alias("_lag"), F.lead("_value").over(inside).alias("_lead"))
+    return local.join(carried, [*keys, "_block"], "left").select(
+        *[F.col(c) for c in df.columns],
+        F.coalesce("_lag", "_before").alias("previous"),
+        F.coalesce("_lead", "_after").alias("next"),
+    )
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str = "position") -> DataFrame:
     """1-based position of each row within its key."""
     return running(df, keys, order, block, {name: ("count", F.lit(1))})

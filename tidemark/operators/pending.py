@@ -32,7 +32,7 @@ def pending_requests(events: DataFrame, per_session: bool = False) -> DataFrame:
         .groupBy(*scope, "permission", "pattern")
         .agg(F.min("at").alias("idx"))
     )
-    wanted = waiting.select(*scope, "id", "session_id" if not scope else F.lit(0).alias("_"), "seq", "permission", F.explode_outer("patterns").alias("pattern"))
+    wanted = waiting.select("session_id", "id", "seq", "permission", F.explode_outer("patterns").alias("pattern"))
     renamed = rules.select(
         *[F.col(c).alias(f"_{c}") for c in scope],
         "idx",

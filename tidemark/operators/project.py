@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import running
+from tidemark.operators.ordered import neighbours
 
 # Fixed values.
 NOISE = r"(?i)\A(ignore:|test:|chore:|ci:|release:)"
@@ -107,20 +107,9 @@ def cancel_reverts(commits: DataFrame) -> DataFrame:
     per_base = rows.groupBy("base").agg(F.max("depth").alias("deepest"), F.max("seq").alias("seq"))
     plain = per_base.where("deepest = 0").select("seq")
     wrapped = rows.join(per_base.where("deepest > 0").select("base"), "base", "left_semi")
-    near = {"_near": ("max", F.struct("seq", "depth"))}
-    block = F.floor(F.col("seq") / (1 << 20))
-    before = running(wrapped, ["base"], ["seq"], block, near, inclusive=False)
-    both = running(
-        before.withColumnRenamed("_near", "_before"),
-        ["base"],
-        ["seq"],
-        block,
-        {"_near": ("min", F.struct("seq", "depth"))},
-        inclusive=False,
-        descending=True,
-    )
-    differs = lambda c: F.col(c).isNull() | (F.col(f"{c}.depth") != F.col("depth"))
-    ends = both.where(differs("_before") | differs("_near"))
+    both = neighbours(wrapped, ["base"], ["seq"], F.floor(F.col("seq") / (1 << 20)), F.col("depth"))
+    differs = lambda c: F.col(c).isNull() | (F.col(c) != F.col("depth"))
+    ends = both.where(differs("previous") | differs("next"))
 
     def fold(seen: Column, commit: Column) -> Column:
         other = F.when(commit["depth"] > 0, commit["depth"] - 1).otherwise(1)

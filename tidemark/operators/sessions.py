@@ -171,7 +171,7 @@ def fork_parts(
 
 
 def messages_with_parts(
-    messages: DataFrame, parts: DataFrame, size: int = 10_000, block: Column | None = None
+    messages: DataFrame, parts: DataFrame, size: int = 1000, block: Column | None = None
 ) -> DataFrame:
     """Messages with their parts in id order: one row each, more for a message of over ``size`` parts."""
     fields = [c for c in parts.columns if c not in ("message_id", "session_id")]
@@ -185,7 +185,7 @@ def messages_with_parts(
     )
 
 
-def export_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame, size: int = 1000) -> DataFrame:
+def export_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame, size: int = 50) -> DataFrame:
     """Sessions as JSON bundles (session_id, chunk, bundle) of up to ``size`` messages."""
     full = messages_with_parts(messages, parts)
     fields = [c for c in full.columns if c != "session_id"]

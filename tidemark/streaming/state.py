@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions.text import wildcard_literal
+
 STICKY_SECONDS = 86_400
 
 
@@ -118,10 +120,8 @@ def sticky_choice(stream: DataFrame) -> DataFrame:
 
 
 def _fits(text: str, pattern: str) -> bool:
-    body = re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".")
-    if pattern.endswith(" *"):
-        body = re.escape(pattern[:-2]).replace(r"\*", ".*").replace(r"\?", ".") + "( .*)?"
-    return re.fullmatch(body, text, re.DOTALL) is not None
+    # Java writes the end of the text as \z, Python as \Z.
+    return re.match(wildcard_literal(pattern).removesuffix(r"\z") + r"\Z", text) is not None
 
 
 class _Pending(StatefulProcessor):
