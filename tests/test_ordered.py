@@ -4,11 +4,19 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, project, stats
-from tidemark.operators.ordered import chunked_lists, ordinal, running
+from tidemark.operators import ledger, ordered, project, stats
+from tidemark.operators.ordered import chunked_lists, neighbours, ordinal, running
+
+
+@pytest.fixture(autouse=True, params=[0, 50], ids=["all hot", "some hot"])
+def hot_rows(request, monkeypatch):
+    """Every test with all keys, and with only the large ones cut into blocks."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
+
 
 START = datetime(2024, 1, 1)
 
@@ -47,6 +55,15 @@ def test_running_agrees_with_a_window(spark):
     compare(spark, df, ("max", F.when(v > 5, F.struct("t", "id"))), strict_on="t")
 
 
+def test_neighbours(spark):
+    df = skewed(spark)
+    got = neighbours(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), F.col("id"))
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.lag("id").over(w), F.lead("id").over(w))
+    key = lambda rows: sorted(tuple(-1 if x is None else x for x in r) for r in rows)
+    assert key(got.select("id", "previous", "next").collect()) == key(want.collect())
+
+
 def test_ordinal_and_chunks(spark):
     df = skewed(spark)
     positions = ordinal(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7))

@@ -1,10 +1,12 @@
 """Running totals over an ordered sequence, safe for one very large key.
 
-A plain window puts all rows of a key into one task. Here each key is cut into
-blocks that follow the order (an hour of time, a range of ids). One partial
+A plain window puts all rows of a key into one task. That is fine for most
+keys, so keys are counted first; those above ``HOT_ROWS`` are cut into blocks
+that follow the order (a minute of time, a range of ids). One partial
 aggregation gives a total per (key, block), a window over those few totals
 gives what each block starts from, and the row-level window only ever sees one
-(key, block).
+block of a hot key. Without hot keys, adaptive execution finds their table
+empty and drops that part of the plan.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1 << 20
+
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
@@ -24,6 +28,18 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(before, zero) + F.coalesce(here, zero)
 
 
+def _blocks(df: DataFrame, keys: list[str], block: Column) -> tuple[DataFrame, DataFrame]:
+    """All rows with ``_block`` (null unless the key is hot), and the rows of hot keys alone.
+
+    There are at most (number of rows) / ``HOT_ROWS`` hot keys, which is what
+    makes them small enough to broadcast.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    every = df.join(hot, keys, "left").withColumn("_block", F.when(F.col("_hot"), block)).drop("_hot")
+    return every, df.join(hot, keys).withColumn("_block", block).drop("_hot")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -37,13 +53,13 @@ def running(
 ) -> DataFrame:
     """Add running ``values`` = {name: (sum|count|max|min, expression)}.
 
-    ``block`` must never decrease along ``order``, and ``keys`` must not be
+    ``block`` must never decrease along ``order``; it and ``keys`` must not be
     null. ``descending`` runs from the last row back. ``strict_on`` names an
     integral column: only rows strictly before the current one in that column
     count, so ties are left out.
     """
-    rows = df.withColumn("_block", block)
-    totals = rows.groupBy(*keys, "_block").agg(
+    rows, hot = _blocks(df, keys, block)
+    totals = hot.groupBy(*keys, "_block").agg(
         *[_AGGREGATES[kind](value).alias(f"_total_{name}") for name, (kind, value) in values.items()]
     )
     before = (
@@ -85,8 +101,8 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column,
     ``value`` must not be null. Inside a block they are ``lag`` and ``lead``; at its
     ends the last value of the block before and the first of the one after.
     """
-    rows = df.withColumns({"_block": block, "_value": value})
-    ends = rows.groupBy(*keys, "_block").agg(
+    rows, hot = _blocks(df, keys, block)
+    ends = hot.withColumn("_value", value).groupBy(*keys, "_block").agg(
         F.min_by("_value", F.struct(*order)).alias("_first"), F.max_by("_value", F.struct(*order)).alias("_last")
     )
     across = Window.partitionBy(*keys).orderBy("_block")
@@ -94,7 +110,7 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column,
         *keys, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = rows.select("*", F.lag("_value").over(inside).alias("_lag"), F.lead("_value").over(inside).alias("_lead"))
+    local = rows.select("*", F.lag(value).over(inside).alias("_lag"), F.lead(value).over(inside).alias("_lead"))
     return local.join(carried, [*keys, "_block"], "left").select(
         *[F.col(c) for c in df.columns],
         F.coalesce("_lag", "_before").alias("previous"),
