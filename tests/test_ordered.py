@@ -16,6 +16,7 @@ from tidemark.operators.ordered import chunked_lists, neighbours, ordinal, runni
 def hot_rows(request, monkeypatch):
     """Every test with all keys, and with only the large ones cut into blocks."""
     monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
+    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
 
 
 START = datetime(2024, 1, 1)

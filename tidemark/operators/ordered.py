@@ -6,7 +6,8 @@ that follow the order (a minute of time, a range of ids). One partial
 aggregation gives a total per (key, block), a window over those few totals
 gives what each block starts from, and the row-level window only ever sees one
 block of a hot key. Without hot keys, adaptive execution finds their table
-empty and drops that part of the plan.
+empty and drops that part of the plan. An input of under ``SMALL_BYTES`` cannot
+hold a key too big for one task, so it gets the plain window at once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1 << 20
+SMALL_BYTES = 64 << 20
 
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
@@ -28,6 +30,17 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(before, zero) + F.coalesce(here, zero)
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether all the tables ``df`` reads are small together, by their file sizes."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) < SMALL_BYTES
+
+
+def _plain(kind: str, here: Column) -> Column:
+    return here if kind in ("max", "min") else F.coalesce(here, F.lit(0))
+
+
 def _blocks(df: DataFrame, keys: list[str], block: Column) -> tuple[DataFrame, DataFrame]:
     """All rows with ``_block`` (null unless the key is hot), and the rows of hot keys alone.
 
@@ -58,6 +71,18 @@ def running(
     integral column: only rows strictly before the current one in that column
     count, so ties are left out.
     """
+    def frame(window):
+        if strict_on:
+            window = window.orderBy(F.desc(strict_on) if descending else F.asc(strict_on))
+            return window.rangeBetween(Window.unboundedPreceding, -1)
+        window = window.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
+        return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+
+    if _small(df):
+        whole = frame(Window.partitionBy(*keys))
+        return df.select(
+            "*", *[_plain(kind, _AGGREGATES[kind](value).over(whole)).alias(name) for name, (kind, value) in values.items()]
+        )
     rows, hot = _blocks(df, keys, block)
     totals = hot.groupBy(*keys, "_block").agg(
         *[_AGGREGATES[kind](value).alias(f"_total_{name}") for name, (kind, value) in values.items()]
@@ -75,13 +100,7 @@ def running(
             for name, (kind, _) in values.items()
         ],
     )
-    inside = Window.partitionBy(*keys, "_block")
-    if strict_on:
-        inside = inside.orderBy(F.desc(strict_on) if descending else F.asc(strict_on))
-        inside = inside.rangeBetween(Window.unboundedPreceding, -1)
-    else:
-        inside = inside.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
-        inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = frame(Window.partitionBy(*keys, "_block"))
     local = rows.select(
         "*", *[_AGGREGATES[kind](value).over(inside).alias(f"_here_{name}") for name, (kind, value) in values.items()]
     )
@@ -101,6 +120,9 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column,
     ``value`` must not be null. Inside a block they are ``lag`` and ``lead``; at its
     ends the last value of the block before and the first of the one after.
     """
+    if _small(df):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", F.lag(value).over(whole).alias("previous"), F.lead(value).over(whole).alias("next"))
     rows, hot = _blocks(df, keys, block)
     ends = hot.withColumn("_value", value).groupBy(*keys, "_block").agg(
         F.min_by("_value", F.struct(*order)).alias("_first"), F.max_by("_value", F.struct(*order)).alias("_last")
