@@ -102,7 +102,9 @@ def draw_slots(targets: DataFrame, block_words: int = 64, shard_slots: int = 819
     plan = plan.select("source", blocks.alias("blocks"), (passes * blocks + F.least(rest, blocks)).cast("long").alias("slots"))
     plan = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_slots)))
     pieces = plan.where("slots > 0").withColumn("piece", F.explode(F.expr(f"sequence(0L, (slots - 1) div {shard_slots})")))
-    pieces = pieces.repartition("source", "piece")
+    # Few small rows that grow a lot: dealt over all partitions, which AQE would join.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(tasks, "source", "piece")
     slots = pieces.withColumn("slot", F.explode(F.expr(f"sequence(piece * {shard_slots}, least(slots, (piece + 1) * {shard_slots}) - 1)")))
     slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col("source"), F.col("slot")), F.col("shards")))
     pass_key = F.xxhash64(F.lit(seed), F.col("source"), F.floor(F.col("slot") / F.col("blocks")))
@@ -122,7 +124,8 @@ def pieces_of(packed: DataFrame, block_words: int = 64) -> DataFrame:
 def take(packed: DataFrame, targets: DataFrame, block_words: int = 64, shard_slots: int = 8192, seed: int = 7) -> DataFrame:
     """The pieces that the mix takes, with ``times``: how often."""
     times = draw_slots(targets, block_words, shard_slots, seed).groupBy("source", "block").agg(F.count("*").alias("times"))
-    pieces = pieces_of(packed, block_words)
+    # Spark takes what was exploded for as small as what it came from, and would broadcast it.
+    times, pieces = times.hint("merge"), pieces_of(packed, block_words)
     same = pieces["source"].eqNullSafe(times["source"]) & (pieces["block"] == times["block"])
     return pieces.join(times, same).select(pieces["source"], "bucket", "pos", pieces["block"], "first", "words", "times")
 
@@ -134,7 +137,7 @@ def mix_sizes(docs: DataFrame, block_words: int = 64, seed: int = 7) -> DataFram
     targets = source_targets(sized)
     packed = pack(sized, targets)
     taken = take(packed, targets, block_words, seed=seed)
-    taken = taken.groupBy("source", "bucket", "pos").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = taken.groupBy("source", "bucket", "pos").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).hint("merge")
     same = packed["source"].eqNullSafe(taken["source"]) & (packed["bucket"] == taken["bucket"]) & (packed["pos"] == taken["pos"])
     joined = packed.join(taken, same, "left")
     return joined.select(packed["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -153,7 +156,7 @@ def mix_documents(docs: DataFrame, block_words: int = 64, seed: int = 7) -> Data
     packed = stored(pack(packed, targets), "mix-packed")
     narrow = packed.select("source", "bucket", "pos", "offset", "size")
     taken = take(narrow, targets, block_words, seed=seed)
-    taken = taken.groupBy("source", "bucket", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces"))
+    taken = taken.groupBy("source", "bucket", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces")).hint("merge")
     same = packed["source"].eqNullSafe(taken["source"]) & (packed["bucket"] == taken["bucket"]) & (packed["pos"] == taken["pos"])
     both = packed.join(taken, same).select(*[packed[c] for c in ("doc_id", "text", "source", "_rest")], packed["size"].alias("_size"), "pieces")
     both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.col("pieces.times")).cast("int"))))

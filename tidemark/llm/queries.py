@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, lines, mixing, simhash, topk
+from tidemark.llm import langid, lines, mixing, simhash, substring, suffixes, topk
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, path: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, path, "documents"))
 
 
+def op7_substring(spark: SparkSession, path: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, path, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_topk(spark: SparkSession, path: str) -> DataFrame:
     return topk.nearest(_table(spark, path, "embeddings"))
 
@@ -35,7 +39,12 @@ def op9_mixture(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, path, "documents"))
 
 
+def op10_suffix_array(spark: SparkSession, path: str) -> DataFrame:
+    kept = suffixes.remove_repeats(_table(spark, path, "documents"), digest=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_language, op5_simhash, op8_topk, op9_mixture)
+    f.__name__: f for f in (op1_line_dedup, op3_language, op5_simhash, op7_substring, op8_topk, op9_mixture, op10_suffix_array)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op8_topk": topk.ORACLE}

@@ -127,11 +127,12 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges (``a``, ``b``) that connect exactly the distinct fingerprints of ``prints`` that are linked through steps of at most two bits."""
     keyed = keys(prints)
     shared = keyed.groupBy("key").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).where("low <> high").select("key")
-    candidates = keyed.join(shared, "key", "left_semi").select("fingerprint").distinct()
+    # Spark takes what was multiplied for as small as what it came from, and would broadcast it.
+    candidates = keyed.join(shared.hint("merge"), "key", "left_semi").select("fingerprint").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     around = candidates.withColumn("flip", F.explode(flips)).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("middle"))
     low = around.groupBy("middle").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).where("low <> high").select("middle", "low")
-    return around.join(low, "middle").where("fingerprint <> low").select(F.col("fingerprint").alias("a"), F.col("low").alias("b")).distinct()
+    return around.join(low.hint("merge"), "middle").where("fingerprint <> low").select(F.col("fingerprint").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
