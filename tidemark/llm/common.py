@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the cluster's shared folder and read back: the lineage ends in files that outlive executors."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def released(df: DataFrame) -> DataFrame:
+    """``df``, after a hint to drop what no frame refers to: Spark's cleaner deletes shuffle files then, not before."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
 
 
 def id_key(column: str | Column) -> Column:

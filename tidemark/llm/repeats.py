@@ -13,8 +13,8 @@ windows share one. The steps, each a shuffle whose rows are bounded by the text:
 3. Equal pieces are collapsed to the smallest document that has them, combined before
    the shuffle: whatever another document has of such a piece is a repeat.
 4. The different pieces of a bucket are compared window by window by the method. Of
-   hot buckets, which hold any number of pieces, the windows meet one by one in an
-   aggregate instead, so that no task ever holds such a group.
+   hot buckets, which hold any number of pieces, the windows meet one by one in a second
+   streaming pass instead, so that no task ever holds such a group.
 5. Windows found are joined back, gathered by document, and applied to its text.
 
 An anchor's rows are at most one per document, so one hash holds a large share of all
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes, id_key, row_slices, stored
+from tidemark.llm.common import discard, flat_bytes, id_key, released, row_slices, stored
 
 #: Bytes of text that a Python worker handles at once, or one document.
 SLICE = 4_000_000
@@ -238,7 +238,7 @@ def _spans(piece: np.ndarray, first: np.ndarray, last: np.ndarray, id1: np.ndarr
 
 
 def compared_hot(distinct: DataFrame, method: Method) -> DataFrame:
-    """The same for pieces of hot anchors: their windows meet in an aggregate."""
+    """The same for pieces of hot anchors: their windows meet one by one, sorted, in a streaming pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in _slices(batches, "text"):
@@ -246,27 +246,37 @@ def compared_hot(distinct: DataFrame, method: Method) -> DataFrame:
             rest = [batch.column(n).to_numpy(zero_copy_only=False)[piece] for n in ("id1", "id2", "least")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, *rest, window.astype(np.int32))], names=["w1", "w2", "id1", "id2", "least", "window"])
 
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the last window, and its smallest id
+        for batch in batches:
+            w1, w2, least = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("w1", "w2", "least"))
+            new = np.ones(len(w1), bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            start = np.flatnonzero(new)
+            low = least[start]
+            if len(low):
+                if before is not None and before[:2] == (w1[0], w2[0]):
+                    low[0] = before[2]
+                before = (w1[-1], w2[-1], low[-1])
+            found = least > np.repeat(low, np.diff(np.append(start, len(w1))))
+            yield batch.select(["id1", "id2", "window"]).filter(pa.array(found))
+
     windows = distinct.where("b < 0").select("id1", "id2", "text", "least").mapInArrow(run, "w1 long, w2 long, id1 long, id2 long, least long, window int")
-    lowest = windows.groupBy("w1", "w2").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high")
-    found = windows.join(lowest.hint("merge"), ["w1", "w2"]).where("low < least")
+    met = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "least")
+    found = met.mapInArrow(later, "id1 long, id2 long, window int")
     return found.groupBy("id1", "id2").agg(F.collect_list(F.struct(F.col("window").alias("first"), F.col("window").alias("last"))).alias("spans"))
 
 
-def release(df: DataFrame) -> DataFrame:
-    """Let Spark's cleaner see that earlier steps are over, so that it drops their shuffle files."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     """``key``, ``row``, ``spans``: ranges of windows of each document that also start in a document with a smaller key.
 
     ``docs`` has ``key`` (long), ``row`` (long, tells rows of one key apart) and ``text``.
     """
-    shared = release(stored(shared_anchors(anchor_rows(docs, method), method), "shared-anchors"))
-    pieces = release(stored(cut_pieces(docs, shared, method), "pieces"))
+    shared = released(stored(shared_anchors(anchor_rows(docs, method), method), "shared-anchors"))
+    pieces = released(stored(cut_pieces(docs, shared, method), "pieces"))
+    discard(shared)
     distinct = pieces.groupBy("id1", "id2", "a", "b", "text").agg(F.min("key").alias("least"))
-    distinct = release(stored(distinct, "distinct-pieces"))
+    distinct = released(stored(distinct, "distinct-pieces"))
     verdicts = compared(distinct, method).unionByName(compared_hot(distinct, method))
     ids = ["id1", "id2"]
     known = distinct.select(*ids, "least").join(verdicts.hint("merge"), ids, "left")
@@ -274,7 +284,10 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     whole = F.array(F.struct(F.col("first"), (F.col("first") + F.col("windows") - 1).alias("last")))
     shifted = F.transform("spans", lambda s: F.struct((s["first"] + F.col("first")).alias("first"), (s["last"] + F.col("first")).alias("last")))
     places = places.select("key", "row", F.when(F.col("key") > F.col("least"), whole).otherwise(shifted).alias("spans")).where("spans IS NOT NULL")
-    return release(stored(places.groupBy("key", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats"))
+    spans = stored(places.groupBy("key", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
+    discard(pieces, distinct)
+    del distinct, verdicts, known, places
+    return released(spans)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
