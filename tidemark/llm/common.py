@@ -38,6 +38,7 @@ def discard(*tables: DataFrame) -> None:
 def released(df: DataFrame) -> DataFrame:
     """``df``, after a hint to drop what no frame refers to: Spark's cleaner deletes shuffle files then, not before."""
     gc.collect()
+    df.sparkSession.range(1).collect()  # else the listener bus holds on to the last query
     df.sparkSession._jvm.System.gc()
     return df
 

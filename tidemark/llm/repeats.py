@@ -201,8 +201,14 @@ def compared(distinct: DataFrame, method: Method) -> DataFrame:
         a, b, id1, id2, least = (table.column(n).to_numpy() for n in ("a", "b", "id1", "id2", "least"))
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        piece, first, last = method.compare(table.column("text").to_pylist(), least, np.cumsum(new) - 1)
-        return _spans(piece, first, last, id1, id2)
+        bucket = np.cumsum(new) - 1
+        # The only piece of a bucket has no other to repeat.
+        some = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+        if not len(some):
+            return _spans(some, some, some, id1, id2)
+        texts = table.column("text").take(pa.array(some)).to_pylist()
+        piece, first, last = method.compare(texts, least[some], bucket[some])
+        return _spans(some[piece], first, last, id1, id2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -277,7 +283,9 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     discard(shared)
     distinct = pieces.groupBy("id1", "id2", "a", "b", "text").agg(F.min("key").alias("least"))
     distinct = released(stored(distinct, "distinct-pieces"))
-    verdicts = compared(distinct, method).unionByName(compared_hot(distinct, method))
+    cold = released(stored(compared(distinct, method), "compared"))
+    hot = released(stored(compared_hot(distinct, method), "compared-hot"))
+    verdicts = cold.unionByName(hot)
     ids = ["id1", "id2"]
     known = distinct.select(*ids, "least").join(verdicts.hint("merge"), ids, "left")
     places = pieces.select(*ids, "key", "row", "first", "windows").join(known.hint("merge"), ids)
@@ -285,8 +293,8 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     shifted = F.transform("spans", lambda s: F.struct((s["first"] + F.col("first")).alias("first"), (s["last"] + F.col("first")).alias("last")))
     places = places.select("key", "row", F.when(F.col("key") > F.col("least"), whole).otherwise(shifted).alias("spans")).where("spans IS NOT NULL")
     spans = stored(places.groupBy("key", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
-    discard(pieces, distinct)
-    del distinct, verdicts, known, places
+    discard(pieces, distinct, cold, hot)
+    del pieces, distinct, cold, hot, verdicts, known, places
     return released(spans)
 
 
