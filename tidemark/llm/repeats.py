@@ -252,7 +252,7 @@ def compared_hot(distinct: DataFrame, method: Method) -> DataFrame:
             rest = [batch.column(n).to_numpy(zero_copy_only=False)[piece] for n in ("id1", "id2", "least")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, *rest, window.astype(np.int32))], names=["w1", "w2", "id1", "id2", "least", "window"])
 
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the last window, and its smallest id
         for batch in batches:
             w1, w2, least = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("w1", "w2", "least"))
@@ -264,13 +264,16 @@ def compared_hot(distinct: DataFrame, method: Method) -> DataFrame:
                 if before is not None and before[:2] == (w1[0], w2[0]):
                     low[0] = before[2]
                 before = (w1[-1], w2[-1], low[-1])
-            found = least > np.repeat(low, np.diff(np.append(start, len(w1))))
+            found = least == np.repeat(low, np.diff(np.append(start, len(w1))))
             yield batch.select(["id1", "id2", "window"]).filter(pa.array(found))
 
     windows = distinct.where("b < 0").select("id1", "id2", "text", "least").mapInArrow(run, "w1 long, w2 long, id1 long, id2 long, least long, window int")
     met = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "least")
-    found = met.mapInArrow(later, "id1 long, id2 long, window int")
-    return found.groupBy("id1", "id2").agg(F.collect_list(F.struct(F.col("window").alias("first"), F.col("window").alias("last"))).alias("spans"))
+    # What comes back are first places, of which there are no more than different windows; a piece has few windows.
+    first = met.mapInArrow(earliest, "id1 long, id2 long, window int").groupBy("id1", "id2").agg(F.collect_list("window").alias("alive"))
+    all_ = F.sequence(F.lit(0), F.col("windows") - 1)
+    dead = F.transform(F.when(F.col("alive").isNull(), all_).otherwise(F.array_except(all_, "alive")), lambda w: F.struct(w.alias("first"), w.alias("last")))
+    return distinct.where("b < 0").select("id1", "id2", "windows").join(first.hint("merge"), ["id1", "id2"], "left").select("id1", "id2", dead.alias("spans"))
 
 
 def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
@@ -281,7 +284,7 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     shared = released(stored(shared_anchors(anchor_rows(docs, method), method), "shared-anchors"))
     pieces = released(stored(cut_pieces(docs, shared, method), "pieces"))
     discard(shared)
-    distinct = pieces.groupBy("id1", "id2", "a", "b", "text").agg(F.min("key").alias("least"))
+    distinct = pieces.groupBy("id1", "id2", "a", "b", "text").agg(F.min("key").alias("least"), F.max("windows").alias("windows"))
     distinct = released(stored(distinct, "distinct-pieces"))
     cold = released(stored(compared(distinct, method), "compared"))
     hot = released(stored(compared_hot(distinct, method), "compared-hot"))
