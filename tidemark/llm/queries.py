@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, lines, mixing, simhash, substring, suffixes, topk
+from tidemark.llm import decontam, langid, lines, mixing, pages, simhash, substring, suffixes, tokens, topk
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -19,14 +20,26 @@ def op1_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op2_html_extraction(spark: SparkSession, path: str) -> DataFrame:
+    return pages.extract(_table(spark, path, "pages"))
+
+
 def op3_language(spark: SparkSession, path: str) -> DataFrame:
     return langid.language_report(_table(spark, path, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    return decontam.leak_report(_table(spark, path, "documents"), _table(spark, path, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, path: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, path, "documents"))
 
 
+def op6_tokens(spark: SparkSession, path: str) -> DataFrame:
+    return tokens.token_table(_table(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_substring(spark: SparkSession, path: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, path, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -45,6 +58,18 @@ def op10_suffix_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_language, op5_simhash, op7_substring, op8_topk, op9_mixture, op10_suffix_array)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_html_extraction,
+        op3_language,
+        op4_decontamination,
+        op5_simhash,
+        op6_tokens,
+        op7_substring,
+        op8_topk,
+        op9_mixture,
+        op10_suffix_array,
+    )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op4_decontamination": decontam.ORACLE, "op8_topk": topk.ORACLE}
