@@ -154,7 +154,9 @@ def mix_documents(docs: DataFrame, block_words: int = 64, seed: int = 7) -> Data
     packed = stored(folded(docs, "doc_id", "text", "source").withColumn("size", word_count("text")), "mix-documents")
     targets = source_targets(packed.select("source", "size"))
     packed = stored(pack(packed, targets), "mix-packed")
-    narrow = packed.select("source", "bucket", "pos", "offset", "size")
+    # Columns of its own, as it meets the table it comes from.
+    names = ["source", "bucket", "pos", "offset", "size"]
+    narrow = packed.select(*names).toDF(*names)
     taken = take(narrow, targets, block_words, seed=seed)
     taken = taken.groupBy("source", "bucket", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces")).hint("merge")
     same = packed["source"].eqNullSafe(taken["source"]) & (packed["bucket"] == taken["bucket"]) & (packed["pos"] == taken["pos"])

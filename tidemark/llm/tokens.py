@@ -23,6 +23,7 @@ blocks; other columns are ignored. An executor holds one block at a time: about
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -242,14 +243,50 @@ def _parts(text: str) -> list[str]:
     return _PARTS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
-def word_encoder(path: str, most: int = 400_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+#: What the vocabulary's own pre-tokenizer cuts lower-case Latin-1 text into: fixed value, with its classes spelled out.
+_LETTER, _DIGIT, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
+
+
+def word_encoder(path: str, most: int = 150_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Texts to all their ids and the number of ids of each, for a tokenizer that white space parts.
 
-    Words are encoded once and remembered, ``most`` at a time.
+    Pieces are encoded once and remembered, up to about ``most``. Texts of Latin-1
+    letters are cut as the tokenizer would do itself, after the lower case that its
+    normalizer gives them; other texts, and those that may spell a special token, only
+    at white space.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    for word, i in tokenizer.get_vocab().items():
+        closes[i] = word.endswith("</w>")
+
+    def cut(text: str) -> list[str]:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return _parts(text)
+            return _PIECES.findall(text.lower())
+        return _parts(text)
+
+    def encoded(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all and number of ids of each. Single pieces go in one text: the last id of each closes a word."""
+        at = np.array([bool(_PIECES.fullmatch(w)) for w in new])
+        ids: list[np.ndarray | None] = [None] * len(new)
+        whole = np.flatnonzero(at)
+        for start in range(0, len(whole), 500):
+            some = whole[start : start + 500]
+            made = np.array(tokenizer.encode(" ".join([new[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            for i, part in zip(some, np.split(made, np.flatnonzero(closes[made])[:-1] + 1), strict=True):
+                ids[i] = part
+        for i in np.flatnonzero(~at):
+            ids[i] = np.array(tokenizer.encode(new[i], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
     words, store, start, count = _Words(), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     flat = np.zeros(0, np.uint32)
 
@@ -257,16 +294,15 @@ def word_encoder(path: str, most: int = 400_000) -> Callable[[list[str]], tuple[
         nonlocal words, start, count, flat
         if len(words) > most:
             words, start, count, flat = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        parts = [_parts(t) for t in texts]
+        parts = [cut(t) for t in texts]
         sizes = [len(p) for p in parts]
         number = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
         if words.new:
-            made = [e.ids for e in tokenizer.encode_batch(words.new, add_special_tokens=False)]
+            made, more = encoded(words.new)
             words.new = []
-            more = np.array([len(x) for x in made], np.int64)
             start = np.concatenate([start, len(flat) + np.cumsum(more) - more])
             count = np.concatenate([count, more])
-            flat = np.concatenate([flat, np.array([i for x in made for i in x], np.uint32)])
+            flat = np.concatenate([flat, made])
         each = count[number]
         before = np.cumsum(each) - each
         ids = flat[np.arange(int(each.sum())) + np.repeat(start[number] - before, each)]
