@@ -48,11 +48,14 @@ def learn(docs: DataFrame, per_lang: int = 64, row_bytes: int = 500) -> dict[str
     Reaches the driver with about ``per_lang`` rows a language, however large the table is.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = {r.lang: r.rows for r in labelled.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
+    if not counts:
+        return {}
+    rows = F.create_map(*[F.lit(v) for pair in counts.items() for v in pair])[F.col("lang")]
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**40)) / float(2**40)
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - row_bytes)).cast("int") + 1
     piece = F.substring("text", start, F.lit(row_bytes))
-    picked = labelled.join(counts, "lang").where(chance * F.col("rows") < per_lang).select("lang", piece.alias("text"))
+    picked = labelled.where(chance * rows < per_lang).select("lang", piece.alias("text"))
     samples: dict[str, list[bytes]] = {}
     for row in picked.orderBy("lang", "text").collect():
         samples.setdefault(row.lang, []).append(letters_only(pa.array([row.text]))[0].as_py().encode()[:row_bytes])

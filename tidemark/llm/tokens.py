@@ -264,18 +264,19 @@ def word_encoder(path: str, most: int = 150_000) -> Callable[[list[str]], tuple[
     for word, i in tokenizer.get_vocab().items():
         closes[i] = word.endswith("</w>")
 
-    def cut(text: str) -> list[str]:
+    def cut(text: str) -> list[str | tuple[str]]:
+        """Single pieces as strings, parts that the tokenizer may cut further as tuples."""
         if "<|" not in text:
             try:
                 text.encode("latin-1")
+                return _PIECES.findall(text.lower())
             except UnicodeEncodeError:
-                return _parts(text)
-            return _PIECES.findall(text.lower())
-        return _parts(text)
+                pass
+        return [(part,) for part in _parts(text)]
 
-    def encoded(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(new: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all and number of ids of each. Single pieces go in one text: the last id of each closes a word."""
-        at = np.array([bool(_PIECES.fullmatch(w)) for w in new])
+        at = np.array([isinstance(w, str) for w in new])
         ids: list[np.ndarray | None] = [None] * len(new)
         whole = np.flatnonzero(at)
         for start in range(0, len(whole), 500):
@@ -284,7 +285,7 @@ def word_encoder(path: str, most: int = 150_000) -> Callable[[list[str]], tuple[
             for i, part in zip(some, np.split(made, np.flatnonzero(closes[made])[:-1] + 1), strict=True):
                 ids[i] = part
         for i in np.flatnonzero(~at):
-            ids[i] = np.array(tokenizer.encode(new[i], add_special_tokens=False).ids, np.uint32)
+            ids[i] = np.array(tokenizer.encode(new[i][0], add_special_tokens=False).ids, np.uint32)
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
     words, store, start, count = _Words(), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
