@@ -1,8 +1,8 @@
 """Token ids in a binary format: adaptive context mixing and a range coder, in blocks.
 
 A file is a row of blocks, a block holds whole documents. Blocks know nothing of each
-other: the model starts anew in each, and a checksum over the ids tells whether it was
-read right. A block's ids are cut into lanes that are coded side by side with one
+other: the model starts anew in each, and checksums over its bytes and over its ids tell
+whether it was read right. A block's ids are cut into lanes that are coded side by side with one
 model, as array operations: a step codes the next id of every lane.
 
 The model mixes three predictions of an id: its share among the ids so far (order 0),
@@ -43,7 +43,7 @@ BLOCK = 1 << 20
 END_ID = 1
 
 _MAGIC = b"TMB1"
-_HEAD = "<4sIQIIIIII"
+_HEAD = "<4sIQIIIIIII"
 _TOTAL, _SHARE = 24, 18  # bits of the mixed and of the order-0 distribution
 _TABLE = 1 << 18
 _LEVELS = 8
@@ -205,16 +205,19 @@ def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> by
     lanes, counts, units = encode_ids(ids, vocabulary)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes(), 1)
     body = docs + zlib.compress(counts.tobytes(), 1)
-    head = struct.pack(_HEAD, _MAGIC, len(doc_ids), len(ids), vocabulary, lanes, len(docs), len(body) - len(docs), len(units), zlib.crc32(ids.tobytes()))
-    return head + body + units.tobytes()
+    rest = body + units.tobytes()
+    head = struct.pack(_HEAD, _MAGIC, len(doc_ids), len(ids), vocabulary, lanes, len(docs), len(body) - len(docs), len(units), zlib.crc32(ids.tobytes()), zlib.crc32(rest))
+    return head + rest
 
 
 def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, ids of each document, all ids of a block; a damaged one is an error."""
-    magic, n_docs, n, vocabulary, lanes, docs, counts, n_units, check = struct.unpack_from(_HEAD, block)
+    magic, n_docs, n, vocabulary, lanes, docs, counts, n_units, check, whole = struct.unpack_from(_HEAD, block)
     if magic != _MAGIC:
         raise ValueError("not a token block")
     at = struct.calcsize(_HEAD)
+    if zlib.crc32(memoryview(block)[at:]) != whole:
+        raise ValueError("token block is damaged")
     table = zlib.decompress(block[at : at + docs])
     units = np.frombuffer(block, "<u2", n_units, at + docs + counts)
     ids = decode_ids(n, vocabulary, lanes, np.frombuffer(zlib.decompress(block[at + docs : at + docs + counts]), "<u4"), units)
