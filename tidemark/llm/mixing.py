@@ -151,16 +151,19 @@ def mix_documents(docs: DataFrame, block_words: int = 64, seed: int = 7) -> Data
     is the length of the new text.
     """
     columns = docs.columns
-    packed = stored(folded(docs, "doc_id", "text", "source").withColumn("size", word_count("text")), "mix-documents")
-    targets = source_targets(packed.select("source", "size"))
-    packed = stored(pack(packed, targets), "mix-packed")
-    # Columns of its own, as it meets the table it comes from.
+    rows = folded(docs, "doc_id", "text", "source").withColumn("size", word_count("text"))
+    # Numbered once and written: the texts themselves are shuffled a single time, by their number.
+    rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "mix-documents")
+    names = ["number", "doc_id", "source", "text", "size"]
+    narrow = rows.select("number", "doc_id", "source", F.xxhash64("text").alias("text"), "size").toDF(*names)
+    targets = source_targets(narrow)
+    packed = stored(pack(narrow, targets), "mix-packed")
     names = ["source", "bucket", "pos", "offset", "size"]
-    narrow = packed.select(*names).toDF(*names)
-    taken = take(narrow, targets, block_words, seed=seed)
+    taken = take(packed.select(*names).toDF(*names), targets, block_words, seed=seed)
     taken = taken.groupBy("source", "bucket", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces")).hint("merge")
     same = packed["source"].eqNullSafe(taken["source"]) & (packed["bucket"] == taken["bucket"]) & (packed["pos"] == taken["pos"])
-    both = packed.join(taken, same).select(*[packed[c] for c in ("doc_id", "text", "source", "_rest")], packed["size"].alias("_size"), "pieces")
+    found = packed.join(taken, same).select("number", "pieces").hint("merge")
+    both = rows.join(found, "number").select("doc_id", "text", "source", "_rest", F.col("size").alias("_size"), "pieces")
     both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.col("pieces.times")).cast("int"))))
     kept = F.filter("pieces", lambda p: p["times"] >= F.col("_copy"))
     both = both.withColumn("pieces", kept)
