@@ -24,11 +24,9 @@ blocks; other columns are ignored. An executor holds one block at a time: about
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, id_key
+from tidemark.llm.common import NULL_ID, flat_bytes, id_key, mix64, row_slices
 from tidemark.session import scratch_dir
 
 BLOCK = 1 << 20
+#: Bytes of text that are cut into words at a time (or one document).
+STEP = 1 << 21
 END_ID = 1
 
 _MAGIC = b"TMB1"
@@ -76,7 +76,7 @@ class _Model:
 
     def predict(self, c1: np.ndarray, c2: np.ndarray) -> None:
         """The predicted ids and the three weights for each lane."""
-        self.at = (c1, (c2 * 40503 + c1 * 2654435761) % _TABLE)
+        self.at = (c1, (c2 * 40503 + c1 * 2654435761) & (_TABLE - 1))
         self.ids = tuple(f[a] for f, a in zip(self.follow, self.at))
         self.level = tuple(s[a] for s, a in zip(self.sure, self.at))
         most = (1 << _TOTAL) - (1 << _TOTAL - 5)
@@ -230,89 +230,154 @@ class _Words(dict):
     """Numbers of words; new ones are noted."""
 
     def __init__(self):
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         self.new.append(word)
         return number
 
 
-_PARTS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Classes of bytes: white space, letters, digits, other ASCII signs, and what only the tokenizer itself can cut.
+_BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[[ord("'"), ord("<")]] = _ODD  # short forms ('s) and special tokens (<|...)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)  # the first k bytes of 8
+_SHORT = 16  # bytes that two 64-bit numbers hold
 
 
-def _parts(text: str) -> list[str]:
-    """Parts between white space; the four separators that only Python counts as such part nothing."""
-    return _PARTS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+def _segments(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, whether kept whole, and number per text of the pieces to encode.
 
-
-#: What the vocabulary's own pre-tokenizer cuts lower-case Latin-1 text into: fixed value, with its classes spelled out.
-_LETTER, _DIGIT, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
-
-
-def word_encoder(path: str, most: int = 150_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    A word of ASCII letters, digits and signs is cut as the tokenizer would do itself:
+    runs of letters, single digits, runs of signs. Any other word stays whole.
+    """
+    kind = _CLASS[flat]
+    filled = kind != _BLANK
+    first = np.ones(len(flat), bool)
+    first[1:] = ~filled[:-1]
+    edge = at[:-1][at[:-1] < len(flat)]
+    first[edge] = True
+    first &= filled
+    turn = kind == _DIGIT
+    turn[1:] |= kind[1:] != kind[:-1]
+    turn &= filled
+    turn |= first
+    start, word_start = np.flatnonzero(turn), np.flatnonzero(first)
+    whole = np.zeros(len(word_start), bool)
+    whole[np.searchsorted(word_start, np.flatnonzero(kind == _ODD), "right") - 1] = True
+    word = np.cumsum(first[start]) - 1
+    keep = first[start] | ~whole[word]
+    start, word = start[keep], word[keep]
+    last = np.ones(len(flat), bool)
+    last[:-1] = ~filled[1:]
+    last[edge[edge > 0] - 1] = True
+    end = np.flatnonzero(last & filled)[word] + 1
+    same = word[1:] == word[:-1]
+    end[:-1][same] = start[1:][same]
+    return start, end - start, whole[word], np.diff(np.searchsorted(start, at))
+
+
+def _distinct(flat: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of at most 16 bytes: the rows of the distinct ones, and which of them each is.
+
+    Two numbers hold all bytes of a piece, padded with zeros; a zero byte inside could
+    only be at the end of a whole word, so whole words with one are not given here.
+    """
+    padded = np.concatenate([flat, np.zeros(16, np.uint8)])
+    wide = lambda raw: np.ndarray((len(flat) + 8,), "<u8", raw.tobytes(), strides=(1,))
+    plain, lower = wide(padded), wide(_LOWER[padded])
+    head, tail = _HEADS[np.minimum(size, 8)], _HEADS[np.maximum(size, 8) - 8]
+    a = np.where(whole, plain[start], lower[start]) & head
+    b = np.where(whole, plain[start + 8 - (size <= 8) * 8], lower[start + 8 - (size <= 8) * 8]) & tail
+    _, rows, which = np.unique(mix64(a) ^ mix64(b + _U(1)), return_index=True, return_inverse=True)
+    if (a[rows][which] != a).any() or (b[rows][which] != b).any():  # two pieces, one hash
+        _, rows, which = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_inverse=True)
+    return rows, which.ravel()
+
+
+def word_encoder(path: str, most: int = 200_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Texts to all their ids and the number of ids of each, for a tokenizer that white space parts.
 
-    Pieces are encoded once and remembered, up to about ``most``. Texts of Latin-1
-    letters are cut as the tokenizer would do itself, after the lower case that its
-    normalizer gives them; other texts, and those that may spell a special token, only
-    at white space.
+    Texts are cut into pieces as array operations on their bytes; distinct pieces are
+    encoded once and remembered, up to about ``most``.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+
     closes = np.zeros(tokenizer.get_vocab_size(), bool)
     for word, i in tokenizer.get_vocab().items():
         closes[i] = word.endswith("</w>")
 
-    def cut(text: str) -> list[str | tuple[str]]:
-        """Single pieces as strings, parts that the tokenizer may cut further as tuples."""
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                return _PIECES.findall(text.lower())
-            except UnicodeEncodeError:
-                pass
-        return [(part,) for part in _parts(text)]
-
-    def encoded(new: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all and number of ids of each. Single pieces go in one text: the last id of each closes a word."""
-        at = np.array([isinstance(w, str) for w in new])
-        ids: list[np.ndarray | None] = [None] * len(new)
-        whole = np.flatnonzero(at)
-        for start in range(0, len(whole), 500):
-            some = whole[start : start + 500]
-            made = np.array(tokenizer.encode(" ".join([new[i] for i in some]), add_special_tokens=False).ids, np.uint32)
-            for i, part in zip(some, np.split(made, np.flatnonzero(closes[made])[:-1] + 1), strict=True):
-                ids[i] = part
-        for i in np.flatnonzero(~at):
-            ids[i] = np.array(tokenizer.encode(new[i][0], add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
-
-    words, store, start, count = _Words(), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = np.zeros(0, np.uint32)
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal words, start, count, flat
+    def apart(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+        return np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(some))
+
+    def joined(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For single pieces: many go in one text, the last id of each closes a word."""
+        groups = [some[at : at + 50] for at in range(0, len(some), 50)]
+        for group, made in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, np.uint32)
+            counts = np.diff(np.flatnonzero(closes[ids]), prepend=-1)
+            yield (ids, counts) if len(counts) == len(group) else apart(group)
+
+    def encoded(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all and number of ids of each."""
+        text = [w.decode() for w in new]
+        # Pieces that are not letters throughout, or stay whole, may be cut further.
+        single = np.array([w.lower().isalpha() for w in text])
+        one, many = np.flatnonzero(single), np.flatnonzero(~single)
+        made = list(joined([text[i] for i in one]))
+        made += [apart([text[i] for i in many[at : at + 1000]]) for at in range(0, len(many), 1000)]
+        ids, counts = (np.concatenate(x) for x in zip(*made))
+        order = np.concatenate([one, many])
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        first = (np.cumsum(counts) - counts)[place]
+        counts = counts[place]
+        at = np.arange(int(counts.sum())) + np.repeat(first - np.cumsum(counts) + counts, counts)
+        return ids[at], counts
+
+    words, start, count = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known = np.zeros(0, np.uint32)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal words, start, count, known
         if len(words) > most:
-            words, start, count, flat = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        parts = [cut(t) for t in texts]
-        sizes = [len(p) for p in parts]
-        number = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+            words, start, count, known = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        flat, at = flat_bytes(texts)
+        place, size, whole, per_text = _segments(flat, at)
+        plain, lower = flat.tobytes(), _LOWER[flat].tobytes()
+
+        def numbers(rows: np.ndarray) -> list[int]:
+            some = zip(place[rows].tolist(), (place[rows] + size[rows]).tolist(), whole[rows].tolist())
+            return [words[(plain if w else lower)[i:j]] for i, j, w in some]
+
+        fits = (size <= _SHORT) & ~(whole & (flat[place + size - 1] == 0))
+        short, other = np.flatnonzero(fits), np.flatnonzero(~fits)
+        number = np.zeros(len(place), np.int64)
+        rows, which = _distinct(flat, place[short], size[short], whole[short])
+        number[short] = np.array(numbers(short[rows]), np.int64)[which]
+        number[other] = numbers(other)
         if words.new:
             made, more = encoded(words.new)
             words.new = []
-            start = np.concatenate([start, len(flat) + np.cumsum(more) - more])
+            start = np.concatenate([start, len(known) + np.cumsum(more) - more])
             count = np.concatenate([count, more])
-            flat = np.concatenate([flat, made])
+            known = np.concatenate([known, made])
         each = count[number]
         before = np.cumsum(each) - each
-        ids = flat[np.arange(int(each.sum())) + np.repeat(start[number] - before, each)]
+        ids = known[np.arange(int(each.sum())) + np.repeat(start[number] - before, each)]
         total = np.concatenate([[0], np.cumsum(each)])
-        edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        return ids, np.diff(total[edge])
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
 
     return encode
 
@@ -340,9 +405,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
 
         for batch in batches:
             keys, texts = batch.column("key").to_numpy(zero_copy_only=False), batch.column("text")
-            for at in range(0, len(keys), 64):
-                ids, lengths = encode([t or "" for t in texts.slice(at, 64).to_pylist()])
-                own = keys[at : at + 64]
+            for at, end in row_slices(np.diff(flat_bytes(texts)[1]), STEP):
+                ids, lengths = encode(texts.slice(at, end - at))
+                own = keys[at:end]
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 lengths = lengths + 1
                 edge = np.concatenate([[0], np.cumsum(lengths)])
