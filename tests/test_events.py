@@ -81,13 +81,13 @@ def test_log_lines(spark):
 
 def test_commits(spark):
     rows = [
-        (1, "a" * 12, "ann", "feat: x\n\nbody", ["packages/engine/src/cli/cmd/a.ts", "packages/engine/b.ts", "README.md"]),
-        (2, "b" * 12, "bob", "CHORE: x", ["packages/engine/b.ts"]), (3, "c" * 12, None, "docs", ["README.md"]), (4, "d" * 12, None, "sdk", ["packages/sdk/x"]),
+        (1, "a" * 12, "ann", "feat: x\n\nbody", ["services/ingest/api/a.py", "services/ingest/b.py", "README.md"]),
+        (2, "b" * 12, "bob", "CHORE: x", ["services/ingest/b.py"]), (3, "c" * 12, None, "docs", ["README.md"]), (4, "d" * 12, None, "sdk", ["docs/x"]),
     ]
     commits = spark.createDataFrame(rows, "seq long, hash string, author string, message string, files array<string>")
-    kept = P.filter_commits(commits)
-    assert [(r.hash, r.title, r.areas) for r in kept.orderBy("seq").collect()] == [("aaaaaaa", "feat: x", ["core", "tui"]), ("ddddddd", "sdk", ["sdk"])]
-    assert [r.line for r in P.changelog_sections(kept).collect()] == ["## Core", "- feat: x (@ann)", "## SDK", "- sdk"]
+    kept = P.filter_commits(commits, (("services/ingest/api/", "api"), ("services/", "ingest"), ("docs/", "guide")))
+    assert [(r.hash, r.title, r.areas) for r in kept.orderBy("seq").collect()] == [("aaaaaaa", "feat: x", ["api", "ingest"]), ("ddddddd", "sdk", ["guide"])]
+    assert [r.line for r in P.changelog_sections(kept, (("ingest", "Data"),)).collect()] == ["## Data", "- feat: x (@ann)", "## Other", "- sdk"]
     team = spark.createDataFrame([("zed",)], "author string")
     assert [tuple(r) for r in P.contributors(commits, team).collect()] == [("ann", "feat: x")]
 

@@ -56,6 +56,7 @@ def test_overflow(spark, limits, tokens, expected):
     models = spark.createDataFrame([("p", "m", *limits)], "provider_id string, model_id string, context_limit long, input_limit long, output_limit long")
     assert M.overflow(messages(spark, row), models).first()["overflow"] is expected
     assert M.overflow(messages(spark, row), models, auto=False).first()["overflow"] is False
+    assert [r["overflow"] for r in M.overflow(messages(spark, row), models.where("false")).collect()] == [None]
 
 
 def tool(id, message_id, chars, **more):

@@ -137,9 +137,10 @@ def test_price_tiers(spark):
     prices = spark.createDataFrame([("m", 3000, 15000, 300, 3750, 6000, 22500)], "model string, input long, output long, cache_read long, cache_write_5m long, tier_input long, tier_output long")
     nano = lambda rule: {r.id: r.cost_nano for r in ledger.price_usage(usage, prices, rule).collect()}
     gateway, session = nano("gateway"), nano("session")
-    assert gateway == {1: 200_000 * 6000 + 10 * 22500, 2: 200_000 * 6000 + 10 * 22500, 3: 100 * 3000 + 10 * 15000}
+    assert gateway == {1: 200_000 * 6000 + 10 * 22500, 2: 200_000 * 6000 + 10 * 22500, 3: 100 * 3000 + 10 * 15000, 4: None}
     assert session[1] == gateway[1]
     assert session[2] == 200_000 * 3000 + 10 * 15000 + 3750
+    assert session[4] == 0
 
 
 def test_grid_sums_to_the_grouped_total(spark):

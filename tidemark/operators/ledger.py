@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import MICRO_PER_DOLLAR
 from tidemark.functions.time import hour_bucket, hour_number, quota_status, retry_text, week_start
 from tidemark.operators.ordered import running
-from tidemark.session import broadcast_if_small
 
 TIER_TOKENS = 200_000
 RELOAD_TRIGGER_DOLLARS = 5
@@ -73,6 +72,7 @@ def price_usage(usage: DataFrame, prices: DataFrame, rule: str = "gateway", tier
         return F.coalesce(F.when(tiered, tier).otherwise(base), F.lit(0))
 
     tokens = lambda name: F.coalesce(F.col(f"u.{name}"), F.lit(0))
+    priced = F.lit(True) if rule == "session" else F.col("p.model").isNotNull()
     nano = (
         price("input") * tokens("input_tokens")
         + price("output") * (tokens("output_tokens") + tokens("reasoning_tokens"))
@@ -82,8 +82,8 @@ def price_usage(usage: DataFrame, prices: DataFrame, rule: str = "gateway", tier
     )
     return (
         usage.alias("u")
-        .join(broadcast_if_small(prices).alias("p"), F.col("u.model") == F.col("p.model"))
-        .select("u.*", nano.cast("long").alias("cost_nano"))
+        .join(prices.alias("p"), F.col("u.model") == F.col("p.model"), "left")
+        .select("u.*", F.when(priced, nano).cast("long").alias("cost_nano"))
         .withColumn("cost_micro", F.floor((F.col("cost_nano") + 5) / 10).cast("long"))
     )
 

@@ -17,7 +17,6 @@ from pyspark.sql.types import StringType
 from tidemark.functions.text import estimate_tokens, utf16_length
 from tidemark.operators.ordered import chunked_lists, running
 from tidemark.operators.sessions import id_block
-from tidemark.session import broadcast_if_small
 
 # Fixed values.
 OUTPUT_TOKEN_MAX = 32_000
@@ -300,7 +299,7 @@ def prune_tool_outputs(
 
 
 def overflow(messages: DataFrame, models: DataFrame, auto: bool = True) -> DataFrame:
-    """Assistant messages with ``overflow``: whether they pass the usable context of their model."""
+    """Assistant messages with ``overflow``: whether they pass the usable context of their model, null if no limits are known."""
     capped = F.least(F.col("output_limit"), F.lit(OUTPUT_TOKEN_MAX))
     output = F.coalesce(F.nullif(capped, F.lit(0)), F.lit(OUTPUT_TOKEN_MAX))
     usable = F.coalesce(F.nullif(F.col("input_limit"), F.lit(0)), F.col("context_limit") - output)
@@ -309,7 +308,7 @@ def overflow(messages: DataFrame, models: DataFrame, auto: bool = True) -> DataF
     limits = models.select("provider_id", "model_id", "context_limit", "input_limit", "output_limit")
     return (
         messages.where("role = 'assistant'")
-        .join(broadcast_if_small(limits), ["provider_id", "model_id"])
+        .join(limits, ["provider_id", "model_id"], "left")
         .select(*messages.columns, full.alias("overflow"))
     )
 
@@ -500,7 +499,7 @@ def context_usage(messages: DataFrame, models: DataFrame) -> DataFrame:
     limit = F.nullif(F.col("context_limit"), F.lit(0))
     return (
         _last_with_tokens(messages)
-        .join(broadcast_if_small(models.select("provider_id", "model_id", "context_limit")), ["provider_id", "model_id"], "left")
+        .join(models.select("provider_id", "model_id", "context_limit"), ["provider_id", "model_id"], "left")
         .select(
             "session_id",
             F.col("id").alias("message_id"),

@@ -9,30 +9,6 @@ from tidemark.operators.ordered import neighbours
 
 # Fixed values.
 NOISE = r"(?i)\A(ignore:|test:|chore:|ci:|release:)"
-AREAS = (
-    ("packages/engine/src/cli/cmd/", "tui"),
-    ("packages/engine/", "core"),
-    ("packages/desktop/src-tauri/", "tauri"),
-    ("packages/desktop/", "app"),
-    ("packages/app/", "app"),
-    ("packages/sdk/", "sdk"),
-    ("packages/plugin/", "plugin"),
-    ("packages/extensions/", "extensions/zed"),
-    ("sdks/vscode/", "extensions/vscode"),
-    ("github/", "github"),
-)
-SECTIONS = (
-    ("core", "Core"),
-    ("tui", "TUI"),
-    ("app", "Desktop"),
-    ("tauri", "Desktop"),
-    ("sdk", "SDK"),
-    ("plugin", "SDK"),
-    ("extensions/zed", "Extensions"),
-    ("extensions/vscode", "Extensions"),
-    ("github", "Extensions"),
-)
-SECTION_ORDER = ("Core", "TUI", "Desktop", "SDK", "Extensions")
 BENCHMARK_RUNS = 100
 RESULT = (
     "averageScore double, tasks array<struct<averageScore: double, task: struct<id: string>,"
@@ -71,8 +47,8 @@ def commits_in_range(hashes: DataFrame, commits: DataFrame) -> DataFrame:
     return titled.join(hashes.select("hash").distinct(), "hash", "left_semi")
 
 
-def areas_of(files: Column, areas: tuple[tuple[str, str], ...] = AREAS) -> Column:
-    """Sorted areas that the files belong to; the first fitting prefix decides."""
+def areas_of(files: Column, areas: tuple[tuple[str, str], ...]) -> Column:
+    """Sorted areas that the files belong to; of the (prefix, area) pairs the first that fits decides."""
 
     def area(path: Column) -> Column:
         found = F.when(F.startswith(path, F.lit(areas[0][0])), areas[0][1])
@@ -83,7 +59,7 @@ def areas_of(files: Column, areas: tuple[tuple[str, str], ...] = AREAS) -> Colum
     return F.array_sort(F.array_distinct(F.filter(F.transform(files, area), lambda a: a.isNotNull())))
 
 
-def filter_commits(commits: DataFrame, areas: tuple[tuple[str, str], ...] = AREAS) -> DataFrame:
+def filter_commits(commits: DataFrame, areas: tuple[tuple[str, str], ...]) -> DataFrame:
     """Commits with a telling title that touch a known area."""
     titled = commits.withColumns({"title": F.substring_index("message", "\n", 1), "areas": areas_of(F.col("files"), areas)})
     return titled.where(~F.rlike("title", F.lit(NOISE)) & (F.size("areas") > 0)).select(
@@ -127,24 +103,25 @@ def cancel_reverts(commits: DataFrame) -> DataFrame:
     return commits.join(survivors.unionByName(plain), "seq", "left_semi")
 
 
-def _section(areas: Column) -> Column:
-    chain = F.when(F.array_contains(areas, SECTIONS[0][0]), SECTIONS[0][1])
-    for area, section in SECTIONS[1:]:
-        chain = chain.when(F.array_contains(areas, area), section)
-    return chain.otherwise("Core")
-
+def changelog_sections(
+    commits: DataFrame, sections: tuple[tuple[str, str], ...], team: tuple[str, ...] = (), rest: str = "Other"
+) -> DataFrame:
+    """Changelog lines in order: (section, seq, line), a heading (seq null) before its entries.
 
-def changelog_sections(commits: DataFrame, team: tuple[str, ...] = ()) -> DataFrame:
-    """Changelog lines in order: (section, seq, line), a heading (seq null) before its entries."""
+    Of the (area, section) pairs the first whose area a commit has gives its section,
+    ``rest`` if none does; sections come in the order of the pairs, ``rest`` last.
+    """
+    fitting = [F.when(F.array_contains("areas", area), section) for area, section in sections]
+    names = list(dict.fromkeys([section for _, section in sections] + [rest]))
     outside = F.col("author").isNotNull() & ~F.col("author").isin(*team)
     credit = F.when(outside, F.concat(F.lit(" (@"), "author", F.lit(")"))).otherwise("")
     entries = commits.select(
-        _section(F.col("areas")).alias("section"), "seq", F.concat(F.lit("- "), "title", credit).alias("line")
+        F.coalesce(*fitting, F.lit(rest)).alias("section"), "seq", F.concat(F.lit("- "), "title", credit).alias("line")
     )
     headings = entries.select("section").distinct().select(
         "section", F.lit(None).cast("long").alias("seq"), F.concat(F.lit("## "), "section").alias("line")
     )
-    order = F.array_position(F.array(*[F.lit(s) for s in SECTION_ORDER]), F.col("section"))
+    order = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("section"))
     return headings.unionByName(entries).orderBy(order, F.asc_nulls_first("seq"))
 
 
@@ -162,11 +139,14 @@ def contributors(commits: DataFrame, team: DataFrame) -> DataFrame:
 
 
 def benchmark_matrix(runs: DataFrame, tasks: list[str] | None = None, n: int = BENCHMARK_RUNS) -> DataFrame:
-    """The ``n`` newest runs, one score column per task."""
+    """The ``n`` newest runs, one score column per task: of a repeated task the last score, of a run without tasks none.
+
+    Name the ``tasks``: else Spark runs a job of its own to find them.
+    """
     newest = runs.orderBy(F.desc("created"), F.desc("id")).limit(n)
     parsed = newest.select("id", "agent", "model", F.from_json("result", RESULT).alias("r"))
-    scores = parsed.select("id", "agent", "model", F.col("r.averageScore").alias("average"), F.explode("r.tasks").alias("t"))
-    return scores.groupBy("id", "agent", "model", "average").pivot("t.task.id", tasks).agg(F.max("t.averageScore"))
+    scores = parsed.select("id", "agent", "model", F.col("r.averageScore").alias("average"), F.posexplode_outer("r.tasks").alias("at", "t"))
+    return scores.groupBy("id", "agent", "model", "average").pivot("t.task.id", tasks).agg(F.max_by("t.averageScore", "at"))
 
 
 def benchmark_task(runs: DataFrame, run_id: int | str, task: str) -> DataFrame:

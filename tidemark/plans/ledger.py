@@ -70,28 +70,37 @@ def _(v: Views):
     return L.usage_totals(v.usage()).select("id", "total_input", "total_output")
 
 
-def _price_sql(size: str, threshold: int, writes: bool) -> str:
+#: A model that is left out of the price list here, so that its usage has no price.
+UNPRICED = "click"
+
+
+def _listed(v: Views):
+    return v.prices().where(F.col("model") != UNPRICED)
+
+
+def _price_sql(size: str, threshold: int, unpriced: str) -> str:
     tier = f"p.tier_input IS NOT NULL AND {size} > {threshold}"
-    write = "+ CASE WHEN t THEN 0 ELSE coalesce(cache_write_5m, 0) END * coalesce(cache_write_5m_tokens, 0)" if writes else ""
+    write = "+ CASE WHEN t THEN 0 ELSE coalesce(cache_write_5m, 0) END * coalesce(cache_write_5m_tokens, 0)"
     return f"""
         SELECT id, nano AS cost_nano, (nano + 5) // 10 AS cost_micro FROM (
-          SELECT id, CAST(CASE WHEN t THEN tier_input ELSE input END * input_tokens
+          SELECT id, CASE WHEN priced IS NULL THEN {unpriced} ELSE CAST(CASE WHEN t THEN tier_input ELSE input END * input_tokens
             + coalesce(CASE WHEN t THEN tier_output ELSE output END, 0) * (output_tokens + coalesce(reasoning_tokens, 0))
-            + coalesce(CASE WHEN t THEN tier_cache_read ELSE cache_read END, 0) * cache_read_tokens {write} AS BIGINT) AS nano
-          FROM (SELECT u.*, p.* EXCLUDE (model), {tier} AS t FROM v_usage u JOIN v_prices p USING (model)))"""
+            + coalesce(CASE WHEN t THEN tier_cache_read ELSE cache_read END, 0) * cache_read_tokens {write} AS BIGINT) END AS nano
+          FROM (SELECT u.*, p.* EXCLUDE (model), p.model AS priced, {tier} AS t FROM v_usage u
+                LEFT JOIN (SELECT * FROM v_prices WHERE model <> '{UNPRICED}') p ON p.model = u.model))"""
 
 
 @query(
     "price_usage",
-    _price_sql("input_tokens + cache_read_tokens + cache_write_5m_tokens", 5000, True),
+    _price_sql("input_tokens + cache_read_tokens + cache_write_5m_tokens", 5000, "NULL"),
 )
 def _(v: Views):
-    return L.price_usage(v.usage(), v.prices(), "gateway", 5000).select("id", "cost_nano", "cost_micro")
+    return L.price_usage(v.usage(), _listed(v), "gateway", 5000).select("id", "cost_nano", "cost_micro")
 
 
-@query("price_usage_session", _price_sql("input_tokens + cache_read_tokens", 5000, True))
+@query("price_usage_session", _price_sql("input_tokens + cache_read_tokens", 5000, "0"))
 def _(v: Views):
-    return L.price_usage(v.usage(), v.prices(), "session", 5000).select("id", "cost_nano", "cost_micro")
+    return L.price_usage(v.usage(), _listed(v), "session", 5000).select("id", "cost_nano", "cost_micro")
 
 
 @query(

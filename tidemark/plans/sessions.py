@@ -341,10 +341,12 @@ def _(v: Views):
     "overflow",
     """SELECT m.id, x.context_limit <> 0 AND m.input_tokens + m.cache_read_tokens + m.output_tokens
          > coalesce(x.input_limit, x.context_limit - least(x.output_limit, 32000)) AS overflow
-       FROM v_messages m JOIN v_models x USING (provider_id, model_id) WHERE m.role = 'assistant'""",
+       FROM v_messages m LEFT JOIN (SELECT * FROM v_models WHERE model_id <> 'small') x
+         USING (provider_id, model_id) WHERE m.role = 'assistant'""",
 )
 def _(v: Views):
-    return M.overflow(v.messages(), v.models()).select("id", "overflow")
+    # One model without known limits.
+    return M.overflow(v.messages(), v.models().where("model_id <> 'small'")).select("id", "overflow")
 
 
 @query(

@@ -418,11 +418,11 @@ class Views:
 
 
 COMMIT_FILES = [
-    (0, 0, "packages/engine/src/cli/cmd/run.ts"),
-    (0, 1, "packages/engine/src/main.ts"),
-    (1, 3, "packages/desktop/src-tauri/lib.rs"),
-    (2, 5, "packages/app/src/index.tsx"),
-    (3, 6, "packages/sdk/client.ts"),
+    (0, 0, "services/ingest/api/run.py"),
+    (0, 1, "services/ingest/main.py"),
+    (1, 3, "clients/desktop/lib.rs"),
+    (2, 5, "clients/web/index.tsx"),
+    (3, 6, "docs/guide/intro.md"),
     (4, 2, "README.md"),
 ]
 

@@ -60,15 +60,6 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df, rows: int = 10_000):
-    """``df`` marked for broadcast when it has at most ``rows`` rows; unchanged otherwise.
-
-    For price lists and catalogues, whose size Spark cannot always tell. Above
-    the bound the join is a shuffle join with AQE's skew handling.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df):
     """Rows of a scan dealt out to all cores when it comes in fewer partitions than there are.
 
