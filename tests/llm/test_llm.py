@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -248,6 +249,19 @@ def test_tokens(docs, texts):
     assert rows_of(tokens.token_table(documents(docs.sparkSession, odd), path)) == sorted(want, key=repr)
 
 
+def test_word_encoder():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(8)
+    bits = ["don't", "DON'T", "'s", "\"'s", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "Él", "İstanbul", "ΣΑΣ", "x\x1cy", "\x00", "a\x00", "ab\x00"]
+    bits += ["naïve", "\u0301", "日本語", "1234", "a1b2", "--", "_a_", "\x85", "\xa0x", "\u2003", "\x7f", "q" * 40, "Q" * 17, "é" * 20, "😀", "<", "'", "abcdefgh", "abcdefghabcdefgh"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "\n", "\t\t", "\x0b"]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    encode = tokens.word_encoder(path, most=50)
+    for some in (texts[:200], texts[200:], ["", None, " "], []):
+        ids, lengths = encode(pa.array(some, pa.string()))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])][: len(some)] == want
+
+
 def test_token_blocks():
     rng = np.random.default_rng(5)
     for ids in (np.zeros(0), np.zeros(5000), rng.integers(0, 131072, 3000), rng.geometric(0.01, 70000) % 500):
