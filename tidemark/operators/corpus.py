@@ -78,17 +78,17 @@ def _clip(text: Column) -> Column:
     return F.when(F.length(text) > MAX_LINE, F.concat(F.left(text, F.lit(MAX_LINE)), F.lit("..."))).otherwise(text)
 
 
-def grep(docs: DataFrame, pattern: str, include: str | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Matching lines, newest documents first: (path, mtime, line_number, line)."""
+def grep(docs: DataFrame, pattern: str, include: str | None = None, limit: int | None = SEARCH_LIMIT) -> DataFrame:
+    """Matching lines, newest documents first: (path, mtime, line_number, line). All of them without a ``limit``."""
     if include is not None:
         docs = docs.where(matches_glob(F.col("path"), include))
     hits = F.filter(_numbered_lines(F.col("text")), lambda l: F.rlike(l["text"], F.lit(pattern)))
-    return (
+    found = (
         docs.select("path", "mtime", F.explode(hits).alias("hit"))
         .select("path", "mtime", F.col("hit.number").alias("line_number"), _clip(F.col("hit.text")).alias("line"))
         .orderBy(F.desc("mtime"), "path", "line_number")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def grep_submatches(docs: DataFrame, pattern: str, per_file: int | None = 10) -> DataFrame:
@@ -124,8 +124,9 @@ def grep_submatches(docs: DataFrame, pattern: str, per_file: int | None = 10) ->
     )
 
 
-def glob(docs: DataFrame, pattern: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    return docs.where(matches_glob(F.col("path"), pattern)).select("path", "mtime").orderBy(F.desc("mtime"), "path").limit(limit)
+def glob(docs: DataFrame, pattern: str, limit: int | None = SEARCH_LIMIT) -> DataFrame:
+    found = docs.where(matches_glob(F.col("path"), pattern)).select("path", "mtime").orderBy(F.desc("mtime"), "path")
+    return found if limit is None else found.limit(limit)
 
 
 def _split_path(paths: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def hidden_last(paths: DataFrame, query: str = "") -> DataFrame:
 def list_directory(paths: DataFrame, directory: str = "") -> DataFrame:
     """Entries of one directory, directories first: (name, path, type, ignored)."""
     prefix = directory.rstrip("/") + "/" if directory else ""
-    rest = F.substring("path", len(prefix) + 1, 1 << 20)
+    rest = F.substr("path", F.lit(len(prefix) + 1))
     inside = paths.where(F.startswith("path", F.lit(prefix))).select(rest.alias("rest"))
     entry = inside.select(
         F.substring_index("rest", "/", 1).alias("name"),

@@ -41,10 +41,11 @@ def compact_event_log(log: DataFrame, snapshot: DataFrame | None = None) -> Data
     return rows.groupBy("log_id", "entity_key").agg(newest.alias("_n")).select("log_id", "entity_key", "_n.*")
 
 
-def latest_by_key(log: DataFrame, n: int = MAX_PATHS) -> DataFrame:
-    """Last (frequency, last_open) written per path; the ``n`` opened last."""
+def latest_by_key(log: DataFrame, n: int | None = MAX_PATHS) -> DataFrame:
+    """Last (frequency, last_open) written per path; the ``n`` opened last, or all."""
     newest = F.max_by(F.struct("frequency", "last_open"), "pos").alias("_n")
-    return log.groupBy("path").agg(newest).select("path", "_n.*").orderBy(F.desc("last_open"), "path").limit(n)
+    latest = log.groupBy("path").agg(newest).select("path", "_n.*").orderBy(F.desc("last_open"), "path")
+    return latest if n is None else latest.limit(n)
 
 
 def frecency(log: DataFrame, now_ms: int) -> DataFrame:
@@ -66,7 +67,7 @@ def log_gaps(logs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _metric_fields(message: Column) -> Column:
-    text = F.when(F.startswith(message, F.lit(METRIC_PREFIX)), F.substring(message, len(METRIC_PREFIX) + 1, 1 << 30))
+    text = F.when(F.startswith(message, F.lit(METRIC_PREFIX)), F.substr(message, F.lit(len(METRIC_PREFIX) + 1)))
     return F.from_json(text, "map<string,string>")
 
 
@@ -97,7 +98,7 @@ def trace_metrics(traces: DataFrame, base: dict[str, Column]) -> DataFrame:
 def _usage_payload(chunk: Column, wire: str) -> Column:
     """Usage object inside one streamed chunk, or null."""
     lines = F.split(chunk, "\n")
-    after = lambda line: F.when(F.startswith(line, F.lit("data: ")), F.substring(line, 7, 1 << 30))
+    after = lambda line: F.when(F.startswith(line, F.lit("data: ")), F.substr(line, F.lit(7)))
     if wire == "anthropic":
         data = after(F.get(lines, F.lit(1)))
         return F.coalesce(F.get_json_object(data, "$.usage"), F.get_json_object(data, "$.message.usage"))
