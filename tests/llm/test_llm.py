@@ -147,6 +147,15 @@ def test_golay_links_lose_nothing(spark):
     assert len({got.get(a, a) for a in signed}) == 40
 
 
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    say = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    rows = [(None, say(k), "en", "s") for k in range(4)] + [(3, say(k), "en", "s") for k in range(3, 7)] + [(3, say(5), "en", "s")]
+    for keep in (simhash.keep_first,):
+        kept = keep(documents(spark, rows))
+        assert sorted(r.text for r in kept.collect()) == sorted(say(k) for k in range(7))
+        assert kept.where("doc_id IS NULL").count() == 4
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(100, 101), (5, 5)], "a long, b long"))
     assert {r.root for r in components.components(edges).collect()} == {0, 100}

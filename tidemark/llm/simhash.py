@@ -93,16 +93,17 @@ def text_fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` (a long with the 64 bits) of every document."""
+    """``doc_id``, ``row`` (hash of the text) and ``fingerprint`` (a long with the 64 bits) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = flat_bytes(batch.column(1))
+            flat, at = flat_bytes(batch.column(2))
             data = flat.tobytes()
             prints = [text_fingerprint(data[a:b], shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "row", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, fingerprint long")
 
 
 def keys(prints: DataFrame) -> DataFrame:
@@ -135,22 +136,34 @@ def links(prints: DataFrame) -> DataFrame:
     return around.join(low.hint("merge"), "middle").where("fingerprint <> low").select(F.col("fingerprint").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Per document: ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest ``doc_id`` of its group."""
+def groups(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs``, and per distinct one: ``fingerprint``, ``first`` (smallest id) and ``root`` (one of its group)."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min(id_key("doc_id")).alias("first")), "distinct-fingerprints")
     roots = components(links(distinct))
-    grouped = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    grouped = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left")
+    return prints, grouped.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Per document: ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest ``doc_id`` of its group."""
+    prints, grouped = groups(docs, shingle)
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "root").select("fingerprint", "component_id")
     component = F.when(F.col("component_id") != NULL_ID, F.col("component_id"))
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``root`` in ``grouped`` (``key``, ``row``: hash of the text, ``root``): the first by id and text hash."""
+    firsts = grouped.groupBy("root").agg(F.min(F.struct("key", "row")).alias("at")).select("at.key", "at.row").distinct()
+    keyed = docs.select(id_key("doc_id").alias("key"), F.xxhash64("text").alias("row"), F.struct(*docs.columns).alias("r"))
+    keyed = keyed.join(firsts.hint("merge"), ["key", "row"], "left_semi")
+    return keyed.groupBy("key", "row").agg(F.first("r").alias("r")).select("r.*")
+
+
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest ``doc_id`` (of repeated ids one row, by the text's hash). Same columns."""
-    firsts = near_duplicates(docs.select("doc_id", "text"), shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = firsts.select(id_key("doc_id").alias("first")).distinct()
-    row = F.struct(*docs.columns)
-    keyed = docs.select(id_key("doc_id").alias("first"), row.alias("row")).join(firsts, "first", "left_semi")
-    return keyed.groupBy("first").agg(F.min_by("row", F.xxhash64("row.text", "first")).alias("row")).select("row.*")
+    """``docs`` with one row of each group: the first by ``doc_id`` (null ids first) and the text's hash. Same columns."""
+    prints, grouped = groups(docs.select("doc_id", "text"), shingle)
+    rows = prints.join(grouped, "fingerprint").select(id_key("doc_id").alias("key"), "row", "root")
+    return first_rows(docs, rows)
