@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import components, decontam, langid, lines, mixing, pages, simhash, substring, suffixes, tokens, topk
+from tidemark.llm import components, decontam, langid, lines, mixing, nearcopies, pages, simhash, substring, suffixes, tokens, topk
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key int, size int, row string"
@@ -147,10 +147,37 @@ def test_golay_links_lose_nothing(spark):
     assert len({got.get(a, a) for a in signed}) == 40
 
 
+def test_near_copies(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in [rng.randrange(60, 400) for _ in range(60)]:
+        words = say(n)
+        rows.append(words)
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randint(1, 1 + n // 40)):
+                copy[rng.randrange(n)] = "other"
+            rows.append(copy)
+    base = say(80)
+    rows += [[*base[:k], f"n{k}", *base[k + 1 :]] for k in range(60)]  # more than the leaders of a band
+    rng.shuffle(rows)
+    sets_of = [{tuple(r[k : k + 5]) for k in range(len(r) - 4)} for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets_of):
+        for j in range(i):
+            if group[i] != group[j] and len(a & sets_of[j]) >= 0.8 * len(a | sets_of[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    df = documents(spark, [(i, " ".join(r), "en", "s") for i, r in enumerate(rows)] + [(900, None, None, None), (901, "", None, None)])
+    assert 60 < len(set(group)) < 200
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(group) | {900}
+
+
 def test_null_and_repeated_ids_keep_their_texts(spark):
     say = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
     rows = [(None, say(k), "en", "s") for k in range(4)] + [(3, say(k), "en", "s") for k in range(3, 7)] + [(3, say(5), "en", "s")]
-    for keep in (simhash.keep_first,):
+    for keep in (simhash.keep_first, nearcopies.keep_first):
         kept = keep(documents(spark, rows))
         assert sorted(r.text for r in kept.collect()) == sorted(say(k) for k in range(7))
         assert kept.where("doc_id IS NULL").count() == 4
