@@ -233,6 +233,25 @@ def test_decontamination(spark):
     assert decontam.drop_leaks(documents(spark, rows), bench.limit(0)).count() == 7
 
 
+def test_partial_leaks(spark, tmp_path):
+    items = [
+        (1, "Alice has 5 apples. Bob buys 3."),
+        (2, "A train needs 3 hours for the first part and 5 hours for the second part of its way, then 12 more stops and 12 signs wait behind the bridge over the river"),
+    ]
+    rows = [
+        (1, "Carol has 7 apples. Dan buys 4.", None, None),  # names open sentences
+        (2, items[0][1].lower(), None, None),
+        (3, items[1][1].replace("12 signs", "13 signs"), None, None),  # one value contradicts another
+        (4, items[1][1].replace("3 hours", "4 hours").replace("5 hours", "4 hours"), None, None),  # two values become one
+        (5, "The old market sells apples and pears, and a bridge leads over the river behind it", None, None),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.partial_leaks(documents(spark, rows), bench)
+    assert rows_of(found.select("key", "item_id")) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, documents(spark, rows), str(tmp_path)).collect()] == [5]
+
+
 def test_mixture(docs, texts):
     size = {i: len(WORD.findall((t or "").encode())) for i, t, *_ in texts}
     total = {}
