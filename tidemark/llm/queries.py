@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, lines, mixing, pages, simhash, substring, suffixes, tokens, topk
+from tidemark.llm import decontam, langid, lines, mixing, pages, shards, simhash, spelling, substring, suffixes, tokens, topk, whitening
+from tidemark.session import scratch_dir
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -57,6 +58,20 @@ def op10_suffix_array(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, path: str) -> DataFrame:
+    return whitening.whiten(_table(spark, path, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_spelling(spark: SparkSession, path: str) -> DataFrame:
+    return spelling.variants(_table(spark, path, "documents"))
+
+
+def op13_shards(spark: SparkSession, path: str) -> DataFrame:
+    written = shards.write_shards(_table(spark, path, "documents"), scratch_dir(spark, "shards"))
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return written.select("doc_id", "size", checksum.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk,
         op9_mixture,
         op10_suffix_array,
+        op11_whitening,
+        op12_spelling,
+        op13_shards,
     )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op4_decontamination": decontam.ORACLE, "op8_topk": topk.ORACLE}
