@@ -12,11 +12,10 @@ from tidemark.operators import ledger, ordered, project, stats
 from tidemark.operators.ordered import chunked_lists, neighbours, ordinal, running
 
 
-@pytest.fixture(autouse=True, params=[0, 50], ids=["all hot", "some hot"])
-def hot_rows(request, monkeypatch):
-    """Every test with all keys, and with only the large ones cut into blocks."""
-    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
-    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+@pytest.fixture(autouse=True, params=[1, 16], ids=["short ranges", "usual ranges"])
+def per_range(request, monkeypatch):
+    """Every test with cuts in the large keys only, and with as many cuts as the sample can give."""
+    monkeypatch.setattr(ordered, "PER_RANGE", request.param)
 
 
 START = datetime(2024, 1, 1)
@@ -30,7 +29,7 @@ def skewed(spark, n=400, seed=1):
 
 def compare(spark, df, value, **options):
     kind, column = value
-    got = running(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), {"x": (kind, column)}, **options)
+    got = running(df, ["k"], ["t", "id"], {"x": (kind, column)}, **options)
     w = Window.partitionBy("k")
     end = 0 if options.get("inclusive", True) else -1
     if options.get("strict_on"):
@@ -58,7 +57,7 @@ def test_running_agrees_with_a_window(spark):
 
 def test_neighbours(spark):
     df = skewed(spark)
-    got = neighbours(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), F.col("id"))
+    got = neighbours(df, ["k"], ["t", "id"], F.col("id"))
     w = Window.partitionBy("k").orderBy("t", "id")
     want = df.select("id", F.lag("id").over(w), F.lead("id").over(w))
     key = lambda rows: sorted(tuple(-1 if x is None else x for x in r) for r in rows)
@@ -67,10 +66,10 @@ def test_neighbours(spark):
 
 def test_ordinal_and_chunks(spark):
     df = skewed(spark)
-    positions = ordinal(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7))
+    positions = ordinal(df, ["k"], ["t", "id"])
     counts = positions.groupBy("k").agg(F.count("*").alias("n"), F.max("position").alias("m"), F.countDistinct("position").alias("d"))
     assert all(r.n == r.m == r.d for r in counts.collect())
-    lists = chunked_lists(df, ["k"], ["t", "id"], ["id"], 50, F.floor(F.col("t") / 7)).collect()
+    lists = chunked_lists(df, ["k"], ["t", "id"], ["id"], 50).collect()
     assert all(len(r["items"]) <= 50 for r in lists)
     joined = defaultdict(list)
     for r in sorted(lists, key=lambda r: (r.k, r.chunk)):
@@ -93,6 +92,11 @@ def usage_rows(spark, n=300, seed=3):
 def test_rolling_usage_is_the_sequential_fold(spark):
     rows, df = usage_rows(spark)
     got = {r.id: (r.anchor, r.rolling_usage) for r in ledger.rolling_usage(df, ["user_id"], 1).collect()}
+    assert got == folded(rows)
+
+
+def folded(rows):
+    """Anchor and usage so far of each row, one after the other."""
     state, want = {}, {}
     epoch = datetime(1970, 1, 1)
     for i, at, user, cost, _ in rows:
@@ -102,7 +106,27 @@ def test_rolling_usage_is_the_sequential_fold(spark):
             anchor, used = second, 0
         state[user] = (anchor, used + cost)
         want[i] = state[user]
-    assert got == want
+    return want
+
+
+def test_anchors_of_a_key_without_gaps(spark):
+    """Chains that run through many blocks: dense seconds, sparse ones, and gaps of exactly the window."""
+    rng = random.Random(9)
+    rows, at = [], START
+    for i in range(4000):
+        at += timedelta(seconds=rng.choice([1, 1, 2, 700, 3599, 3600] if i % 900 else [3601, 9000, 40000]))
+        rows.append((i, at, "hot" if i % 3 else f"k{i % 7}", 1))
+    df = spark.createDataFrame(rows, "id long, ts timestamp, user_id string, cost long")
+    epoch = datetime(1970, 1, 1)
+    state, want = {}, set()
+    for _, at, user, _ in rows:
+        second = int((at - epoch).total_seconds())
+        if user not in state or state[user] < second - 3600:
+            state[user] = second
+            want.add((user, second))
+    for slots in (4, 64):
+        got = [tuple(r) for r in ledger.rolling_anchors(df, ["user_id"], 1, slots).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_trial_usage_with_three_limits(spark):

@@ -62,7 +62,7 @@ def tail_n(log: DataFrame, n: int) -> DataFrame:
 
 def log_gaps(logs: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``gap_ms``: milliseconds since the previous line, 0 for the first."""
-    found = neighbours(logs, keys, ["ts", "seq", "pos"], F.date_trunc("minute", "ts"), F.unix_millis("ts"))
+    found = neighbours(logs, keys, ["ts", "seq", "pos"], F.unix_millis("ts"))
     return found.select(*logs.columns, F.coalesce(F.unix_millis("ts") - F.col("previous"), F.lit(0)).alias("gap_ms"))
 
 

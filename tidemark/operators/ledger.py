@@ -7,12 +7,15 @@ totals go through :func:`tidemark.operators.ordered.running`.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import MICRO_PER_DOLLAR
 from tidemark.functions.time import hour_bucket, hour_number, quota_status, retry_text, week_start
 from tidemark.operators.ordered import running
+from tidemark.session import checkpointed
 
 TIER_TOKENS = 200_000
 RELOAD_TRIGGER_DOLLARS = 5
@@ -55,7 +58,7 @@ def price_usage(usage: DataFrame, prices: DataFrame, rule: str = "gateway", tier
     ``prices`` holds thousandths of a dollar per million tokens, joined on
     ``model``; a tier column without a price costs nothing. The gateway rule
     counts both cache writes towards the tier, the session rule does not.
-    Models without a price are dropped by the inner join.
+    By the gateway rule a model without a price has null costs, by the session rule it costs nothing.
     """
     columns = set(prices.columns)
     tiered = F.col("p.tier_input").isNotNull()
@@ -132,9 +135,7 @@ def monthly_usage(usage: DataFrame, keys: list[str]) -> DataFrame:
 def running_monthly_usage(usage: DataFrame, keys: list[str]) -> DataFrame:
     """Monthly usage after each row; it restarts when the month changes."""
     rows = usage.withColumn("month", F.to_date(F.date_trunc("month", "ts")))
-    return running(
-        rows, [*keys, "month"], ["ts", "id"], F.date_trunc("minute", "ts"), {"monthly_usage": ("sum", F.col("cost"))}
-    )
+    return running(rows, [*keys, "month"], ["ts", "id"], {"monthly_usage": ("sum", F.col("cost"))})
 
 
 def weekly_usage(usage: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,31 +144,70 @@ def weekly_usage(usage: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def rolling_anchors(usage: DataFrame, keys: list[str], hours: int) -> DataFrame:
+def _window_chains(width: int, slots: int, keys: list[str]):
+    """For one block of slots: every place a chain of windows can enter it or start, the chain inside, and where it leaves."""
+
+    def chains(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        own_from, own_to = key[-1].as_py() * slots * width, (key[-1].as_py() + 1) * slots * width
+        seconds = np.sort(rows.column("second").to_numpy())
+        following = np.searchsorted(seconds, seconds + width, side="right")  # opens the next window, if this one opened one
+        opens = np.concatenate([[True], np.diff(seconds) > width])[: len(seconds)]  # after such a gap, whatever was open is over
+        first, last = np.searchsorted(seconds, [own_from, own_to])
+        entered = np.unique(following[:first])
+        entered = entered[(entered >= first) & (entered < last)]
+        starts = np.union1d(entered, first + np.flatnonzero(opens[first:last]))
+        chain, leaves = [], []
+        for at in starts.tolist():
+            here = []
+            while at < last:
+                here.append(int(seconds[at]))
+                at = int(following[at])
+                if at < len(seconds) and opens[at]:  # a start of its own
+                    at = len(seconds)
+            chain.append(here)
+            leaves.append(int(seconds[at]) if at < len(seconds) else None)
+        same = [pa.array([k.as_py()] * len(starts), k.type) for k in key[:-1]]
+        found = [pa.array(seconds[starts]), pa.array(opens[starts]), pa.array(leaves, pa.int64()), pa.array(chain, pa.list_(pa.int64()))]
+        return pa.table([*same, *found], names=[*keys, "node", "opens", "leaves", "chain"])
+
+    return chains
+
+
+def rolling_anchors(usage: DataFrame, keys: list[str], hours: int, slots: int = 64) -> DataFrame:
     """Opening second of every anchored window: (*keys, anchor).
 
-    A window opens with the first event, takes in every event up to ``hours``
-    later, and the next event after that opens another. Only distinct seconds
-    matter, so a key's rows are reduced to those, and to slots as wide as the
-    window, before the slots are walked in order: what comes together for a key
-    is bounded by elapsed time, not by rows. A slot holds at most one anchor.
+    A window opens with the first event, takes in every event up to ``hours`` later,
+    and the next event after that opens another. Only distinct seconds matter, and
+    an event after a gap longer than the window always opens one. Between such gaps
+    each second has a successor, the one whose window follows if its own opens one.
+
+    Time is cut into blocks of ``slots`` slots as wide as the window. A task takes one
+    block of one key (seconds in a bounded time, whatever the rows) and follows the
+    successors from each second at which windows can start or come in from the block
+    before, to where they leave. What is left is one hop per block; pointers are
+    doubled until all hops from the starts are known.
     """
     width = hours * 3600
     seconds = usage.select(*keys, F.unix_seconds("ts").alias("second")).distinct()
-    slots = seconds.groupBy(*keys, F.floor(F.col("second") / width).alias("slot")).agg(
-        F.collect_list("second").alias("seconds")
-    )
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<bigint>").alias("anchors"))
-
-    def walk(state: Column, slot: Column) -> Column:
-        free = F.filter(slot["seconds"], lambda s: state["open"].isNull() | (s > state["open"] + width))
-        first = F.array_min(free)
-        moved = F.struct(first.alias("open"), F.concat(state["anchors"], F.array(first)).alias("anchors"))
-        return F.when(first.isNull(), state).otherwise(moved)
-
-    ordered = F.sort_array(F.collect_list(F.struct("slot", "seconds")))
-    walked = slots.groupBy(*keys).agg(F.aggregate(ordered, start, walk)["anchors"].alias("anchors"))
-    return walked.select(*keys, F.explode("anchors").alias("anchor"))
+    slot = F.floor(F.col("second") / width)
+    inside = F.pmod(slot, F.lit(slots))
+    # A block also sees two slots on either side: no successor that is not a start lies farther off.
+    near = F.array(F.lit(0), F.when(inside < 2, -1).otherwise(0), F.when(inside >= slots - 2, 1).otherwise(0))
+    rows = seconds.select(*keys, "second", F.floor(slot / slots).alias("block"), F.explode(F.array_distinct(near)).alias("more"))
+    rows = rows.select(*keys, (F.col("block") + F.col("more")).alias("block"), "second")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in seconds.schema.fields[:-1]]
+    schema = ", ".join([*fields, "node long, opens boolean, leaves long, chain array<long>"])
+    found = checkpointed(rows.groupBy(*keys, "block").applyInArrow(_window_chains(width, slots, keys), schema))
+    hops = found.where("leaves IS NOT NULL")
+    reached = hops.where("opens").select(*keys, F.col("leaves").alias("node")).distinct()
+    hops = hops.where("NOT opens").select(*keys, "node", "leaves")
+    while not hops.isEmpty():
+        further = reached.join(hops, [*keys, "node"]).select(*keys, F.col("leaves").alias("node"))
+        reached = checkpointed(reached.unionByName(further).distinct())
+        ends = hops.select(*keys, F.col("node").alias("leaves"), F.col("leaves").alias("_leaves"))
+        hops = checkpointed(hops.join(ends, [*keys, "leaves"]).select(*keys, "node", F.col("_leaves").alias("leaves")))
+    entered = found.where("NOT opens").join(reached, [*keys, "node"], "left_semi")
+    return found.where("opens").unionByName(entered).select(*keys, F.explode("chain").alias("anchor"))
 
 
 def rolling_usage(usage: DataFrame, keys: list[str], hours: int) -> DataFrame:
@@ -193,9 +233,7 @@ def rolling_usage(usage: DataFrame, keys: list[str], hours: int) -> DataFrame:
         .withColumn("anchor", F.when(F.col("_own") <= second, F.col("_own")).otherwise(F.col("_previous")))
         .select(*usage.columns, "anchor")
     )
-    return running(
-        rows, [*keys, "anchor"], ["ts", "id"], F.date_trunc("minute", "ts"), {"rolling_usage": ("sum", F.col("cost"))}
-    )
+    return running(rows, [*keys, "anchor"], ["ts", "id"], {"rolling_usage": ("sum", F.col("cost"))})
 
 
 def subscription_usage(usage: DataFrame, keys: list[str], hours: int) -> DataFrame:
@@ -252,9 +290,7 @@ def trial_usage(usage: DataFrame, limits: dict[str | None, int]) -> DataFrame:
             .join(counted, "ip")
             .where((F.col("used") < level) & (F.col("at").isNull() | (here > F.col("at"))))
         )
-        steps = running(
-            left, ["ip"], ["ts", "id"], F.date_trunc("minute", "ts"), {"prior": ("sum", F.col("tokens"))}, inclusive=False
-        ).where(F.col("used") + F.coalesce("prior", F.lit(0)) < level)
+        steps = running(left, ["ip"], ["ts", "id"], {"prior": ("sum", F.col("tokens"))}, inclusive=False).where(F.col("used") + F.coalesce("prior", F.lit(0)) < level)
         added = steps.groupBy("ip").agg(F.sum("tokens").alias("_more"), F.max(F.struct("ts", "id")).alias("_last"))
         counted = counted.join(added, "ip", "left").select(
             "ip",
@@ -296,23 +332,14 @@ def grant_and_reload(
 
 def balance_history(entries: DataFrame) -> DataFrame:
     """Balance of the workspace after each movement."""
-    return running(
-        entries, ["workspace_id"], ["ts", "kind", "id"], F.date_trunc("minute", "ts"), {"balance": ("sum", F.col("amount"))}
-    )
+    return running(entries, ["workspace_id"], ["ts", "kind", "id"], {"balance": ("sum", F.col("amount"))})
 
 
 def latest_payment_before(payments: DataFrame, anchors: Column) -> DataFrame:
     """For each payment where ``anchors`` holds: the newest earlier payment with a customer id."""
     rows = payments.withColumns({"_micros": F.unix_micros("ts"), "_anchor": anchors})
     candidate = F.when(F.col("customer_id").isNotNull(), F.struct("_micros", "id", "customer_id"))
-    found = running(
-        rows,
-        ["workspace_id"],
-        ["ts"],
-        F.date_trunc("minute", "ts"),
-        {"previous": ("max", candidate)},
-        strict_on="_micros",
-    )
+    found = running(rows, ["workspace_id"], ["ts"], {"previous": ("max", candidate)}, strict_on="_micros")
     return found.where("_anchor").select(
         "workspace_id",
         "id",
@@ -346,9 +373,7 @@ def rate_limit_verdicts(requests: DataFrame, limit: int) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .select("ip", "hour", F.coalesce(F.sum("n").over(two_before), F.lit(0)).alias("before"))
     )
-    in_hour = running(
-        rows, ["ip", "hour"], ["ts", "id"], F.date_trunc("second", "ts"), {"earlier": ("count", F.lit(1))}, inclusive=False
-    )
+    in_hour = running(rows, ["ip", "hour"], ["ts", "id"], {"earlier": ("count", F.lit(1))}, inclusive=False)
     prior = F.col("before") + F.col("earlier")
     return in_hour.join(earlier_hours, ["ip", "hour"]).select(
         *requests.columns, prior.alias("prior"), (prior >= limit).alias("limited")

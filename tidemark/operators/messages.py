@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from tidemark.functions.text import estimate_tokens, utf16_length
 from tidemark.operators.ordered import chunked_lists, running
-from tidemark.operators.sessions import id_block
+from tidemark.session import checkpointed
 
 # Fixed values.
 OUTPUT_TOKEN_MAX = 32_000
@@ -38,7 +38,7 @@ def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def project_model_messages(
-    messages: DataFrame, parts: DataFrame, size: int = 1000, block: Column | None = None
+    messages: DataFrame, parts: DataFrame, size: int = 1000
 ) -> DataFrame:
     """Transcript as model input: (session_id, message_id, role, chunk, parts).
 
@@ -111,15 +111,21 @@ def project_model_messages(
         ["id"],
         ["part"],
         size,
-        id_block() if block is None else block,
         "parts",
     ).withColumn("parts", F.col("parts.part"))
 
 
 @F.pandas_udf(StringType())
 def pretty_json(text: pd.Series) -> pd.Series:
-    """JSON text indented by two spaces."""
-    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+    """JSON text indented by two spaces; text that is not JSON as it is."""
+
+    def pretty(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+        except ValueError:
+            return t
+
+    return text.map(pretty)
 
 
 def render_transcripts(
@@ -130,7 +136,6 @@ def render_transcripts(
     tool_details: bool = True,
     assistant_metadata: bool = True,
     size: int = 2000,
-    block: Column | None = None,
 ) -> DataFrame:
     """Markdown per session as (session_id, chunk, text); the chunks follow one another."""
     when = lambda c: F.date_format(F.timestamp_millis(F.col(c)), "M/d/yyyy, h:mm:ss a")
@@ -164,7 +169,7 @@ def render_transcripts(
     call = [F.lit("```\nTool: "), F.col("tool"), F.lit("\n")]
     if tool_details:
         call += [
-            fence("Input", pretty_json(F.col("input")), "json"),
+            fence("Input", pretty_json(F.when(F.col("type") == "tool", F.col("input"))), "json"),
             fence("Output", F.when((status == "completed") & (F.col("output") != ""), F.col("output"))),
             fence("Error", F.when((status == "error") & (F.col("error") != ""), F.col("error"))),
         ]
@@ -179,25 +184,16 @@ def render_transcripts(
         "session_id", "message_id", F.lit(1).alias("step"), F.col("id").alias("part_id"), body.alias("text")
     ).where(F.col("text").isNotNull())
     pieces = head.unionByName(mark(0, heading)).unionByName(lines).unionByName(mark(2, F.lit("---\n\n")))
-    lists = chunked_lists(
-        pieces,
-        ["session_id"],
-        position,
-        ["text"],
-        size,
-        F.coalesce(id_block("message_id") if block is None else block, F.lit(-1)),
-        "pieces",
-    )
+    lists = chunked_lists(pieces, ["session_id"], position, ["text"], size, "pieces")
     return lists.select("session_id", "chunk", F.array_join("pieces.text", "").alias("text"))
 
 
-def turns(messages: DataFrame, block: Column | None = None) -> DataFrame:
+def turns(messages: DataFrame) -> DataFrame:
     """Each user message with its replies up to the next user message."""
     users = running(
         messages.where("role = 'user'").select("session_id", "id", "created"),
         ["session_id"],
         ["id"],
-        id_block() if block is None else block,
         {"next_id": ("min", F.col("id"))},
         inclusive=False,
         descending=True,
@@ -247,7 +243,6 @@ def prune_tool_outputs(
     protect: int = PRUNE_PROTECT,
     minimum: int = PRUNE_MINIMUM,
     protected_tools: tuple[str, ...] = PRUNE_PROTECTED_TOOLS,
-    block: Column | None = None,
 ) -> DataFrame:
     """Tool parts whose output can be dropped: (session_id, message_id, id, tokens).
 
@@ -285,11 +280,11 @@ def prune_tool_outputs(
         .where(F.col("_barrier").isNull() | (here > F.col("_barrier")))
         .select("session_id", "message_id", "id", estimate_tokens(F.col("output")).alias("tokens"))
     )
+    # Narrow rows out of several joins: written once, as the scan reads its input more than once.
     counted = running(
-        eligible,
+        checkpointed(eligible),
         ["session_id"],
         ["message_id", "id"],
-        id_block("message_id") if block is None else block,
         {"_seen": ("sum", F.col("tokens"))},
         descending=True,
     )

@@ -1,13 +1,20 @@
-"""Running totals over an ordered sequence, safe for one very large key.
-
-A plain window puts all rows of a key into one task. That is fine for most
-keys, so keys are counted first; those above ``HOT_ROWS`` are cut into blocks
-that follow the order (a minute of time, a range of ids). One partial
-aggregation gives a total per (key, block), a window over those few totals
-gives what each block starts from, and the row-level window only ever sees one
-block of a hot key. Without hot keys, adaptive execution finds their table
-empty and drops that part of the plan. An input of under ``SMALL_BYTES`` cannot
-hold a key too big for one task, so it gets the plain window at once.
+"""Running totals over an ordered sequence: a segmented prefix scan over ranges.
+
+A window over a whole key puts all its rows into one task. Here the table is cut into
+ranges of about equal numbers of rows, in the order of (keys, order). A range ends
+inside at most one key, so only keys that span several ranges are cut at all, and there
+are never more cuts than ranges:
+
+1. cuts: a uniform sample of the table, a fixed number of rows for each range, is sorted;
+   every ``PER_RANGE``-th of its rows is a cut. The sample is the rows with the smallest
+   hashes, so it is the same however often it is taken.
+2. local scan: a window over (keys, block), where the block of a row is the number of its
+   key's cuts at or before it. This is the one shuffle of the rows.
+3. carry: one total per cut key and block, combined before its shuffle, and a window over
+   those few rows gives what each block starts from.
+
+The cuts and the carried totals have at most as many rows as there are ranges, whatever
+the table holds; they are broadcast. The plan is the same for every input.
 """
 
 from __future__ import annotations
@@ -15,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1 << 20
-SMALL_BYTES = 64 << 20
+#: Sampled rows for each range.
+PER_RANGE = 16
 
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
@@ -30,34 +37,58 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(before, zero) + F.coalesce(here, zero)
 
 
-def _small(df: DataFrame) -> bool:
-    """Whether all the tables ``df`` reads are small together, by their file sizes."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(sizes) < SMALL_BYTES
+def _joined(df: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``df`` joined to the broadcast rows of ``few`` on equal keys (also null ones), which ``few`` calls _k0, _k1, ..."""
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & df[key].eqNullSafe(few[f"_k{i}"])
+    return df.join(F.broadcast(few), same, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def _plain(kind: str, here: Column) -> Column:
-    return here if kind in ("max", "min") else F.coalesce(here, F.lit(0))
+def _cuts(df: DataFrame, keys: list[str], order: list[str], ranges: int) -> DataFrame:
+    """``_cuts``, sorted structs of ``order``, for each key that is cut: fewer than ``ranges`` in all."""
+    sampled = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*order).alias("_cut"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    sampled = sampled.orderBy(F.xxhash64(*names, "_cut")).limit(ranges * PER_RANGE)
+    # One task sorts the sample, whose size is fixed.
+    placed = sampled.withColumn("_at", F.row_number().over(Window.orderBy(*names, "_cut")))
+    return placed.where(F.col("_at") % PER_RANGE == 0).groupBy(*names).agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
 
 
-def _blocks(df: DataFrame, keys: list[str], block: Column) -> tuple[DataFrame, DataFrame]:
-    """All rows with ``_block`` (null unless the key is hot), and the rows of hot keys alone.
+def _rank(cuts: Column, at: Column, ranges: int) -> Column:
+    """How many of the sorted ``cuts`` are at or before ``at``, by bisection."""
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        passed = F.get(cuts, middle) <= at
+        halved = F.struct(F.when(passed, middle + 1).otherwise(s["low"]).alias("low"), F.when(passed, s["high"]).otherwise(middle).alias("high"))
+        return F.when(s["low"] < s["high"], halved).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ranges.bit_length())), start, step)["low"]
+
+
+def _blocks(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All rows with ``_block``, and those of cut keys alone. ``_block`` never decreases along ``order``."""
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = _cuts(df, keys, order, ranges)
+
+    def placed(how: str) -> DataFrame:
+        block = F.when(F.col("_cuts").isNotNull(), _rank(F.col("_cuts"), F.struct(*order), ranges)).otherwise(0)
+        return _joined(df, cuts, keys, how).withColumn("_block", block).drop("_cuts")
+
+    return placed("left"), placed("inner")
 
-    There are at most (number of rows) / ``HOT_ROWS`` hot keys, which is what
-    makes them small enough to broadcast.
-    """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
-    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    every = df.join(hot, keys, "left").withColumn("_block", F.when(F.col("_hot"), block)).drop("_hot")
-    return every, df.join(hot, keys).withColumn("_block", block).drop("_hot")
+
+def _carried(totals: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
+    """``columns`` of the totals, with the keys as _k0, ... and ``_block`` as ``_kn``."""
+    return totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_block"])], *columns)
 
 
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
     values: dict[str, tuple[str, Column]],
     *,
     inclusive: bool = True,
@@ -66,11 +97,11 @@ def running(
 ) -> DataFrame:
     """Add running ``values`` = {name: (sum|count|max|min, expression)}.
 
-    ``block`` must never decrease along ``order``; it and ``keys`` must not be
-    null. ``descending`` runs from the last row back. ``strict_on`` names an
-    integral column: only rows strictly before the current one in that column
-    count, so ties are left out.
+    Rows of a key follow one another by ``order``, nulls first. ``descending`` runs
+    from the last row back. ``strict_on`` names an integral column: only rows
+    strictly before the current one in that column count, so ties are left out.
     """
+
     def frame(window):
         if strict_on:
             window = window.orderBy(F.desc(strict_on) if descending else F.asc(strict_on))
@@ -78,24 +109,15 @@ def running(
         window = window.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
         return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
-    if _small(df):
-        whole = frame(Window.partitionBy(*keys))
-        return df.select(
-            "*", *[_plain(kind, _AGGREGATES[kind](value).over(whole)).alias(name) for name, (kind, value) in values.items()]
-        )
-    rows, hot = _blocks(df, keys, block)
-    totals = hot.groupBy(*keys, "_block").agg(
+    rows, cut = _blocks(df, keys, [strict_on] if strict_on else order)
+    totals = cut.groupBy(*keys, "_block").agg(
         *[_AGGREGATES[kind](value).alias(f"_total_{name}") for name, (kind, value) in values.items()]
     )
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("_block") if descending else F.asc("_block"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.select(
-        *keys,
-        "_block",
-        *[
+    before = Window.partitionBy(*keys).orderBy(F.desc("_block") if descending else F.asc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = _carried(
+        totals,
+        keys,
+        [
             _AGGREGATES["sum" if kind == "count" else kind](f"_total_{name}").over(before).alias(f"_before_{name}")
             for name, (kind, _) in values.items()
         ],
@@ -104,8 +126,7 @@ def running(
     local = rows.select(
         "*", *[_AGGREGATES[kind](value).over(inside).alias(f"_here_{name}") for name, (kind, value) in values.items()]
     )
-    joined = local.join(carried, [*keys, "_block"], "left")
-    return joined.select(
+    return _joined(local, carried, [*keys, "_block"], "left").select(
         *[F.col(c) for c in df.columns],
         *[
             _merge(kind, F.col(f"_before_{name}"), F.col(f"_here_{name}")).alias(name)
@@ -114,46 +135,39 @@ def running(
     )
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """Add ``previous`` and ``next``: ``value`` of the rows before and after in the key.
 
     ``value`` must not be null. Inside a block they are ``lag`` and ``lead``; at its
     ends the last value of the block before and the first of the one after.
     """
-    if _small(df):
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", F.lag(value).over(whole).alias("previous"), F.lead(value).over(whole).alias("next"))
-    rows, hot = _blocks(df, keys, block)
-    ends = hot.withColumn("_value", value).groupBy(*keys, "_block").agg(
+    rows, cut = _blocks(df, keys, order)
+    ends = cut.withColumn("_value", value).groupBy(*keys, "_block").agg(
         F.min_by("_value", F.struct(*order)).alias("_first"), F.max_by("_value", F.struct(*order)).alias("_last")
     )
     across = Window.partitionBy(*keys).orderBy("_block")
-    carried = ends.select(
-        *keys, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
-    )
+    carried = _carried(ends, keys, [F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")])
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     local = rows.select("*", F.lag(value).over(inside).alias("_lag"), F.lead(value).over(inside).alias("_lead"))
-    return local.join(carried, [*keys, "_block"], "left").select(
+    return _joined(local, carried, [*keys, "_block"], "left").select(
         *[F.col(c) for c in df.columns],
         F.coalesce("_lag", "_before").alias("previous"),
         F.coalesce("_lead", "_after").alias("next"),
     )
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str = "position") -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
     """1-based position of each row within its key."""
-    return running(df, keys, order, block, {name: ("count", F.lit(1))})
+    return running(df, keys, order, {name: ("count", F.lit(1))})
 
 
-def chunked_lists(
-    df: DataFrame, keys: list[str], order: list[str], items: list[str], size: int, block: Column, name: str = "items"
-) -> DataFrame:
+def chunked_lists(df: DataFrame, keys: list[str], order: list[str], items: list[str], size: int, name: str = "items") -> DataFrame:
     """Ordered lists per key as rows (*keys, chunk, name), at most ``size`` items each.
 
     A key of usual size gives one row with chunk 0; a larger one gives more
     rows, so no group has to fit into one cell.
     """
-    numbered = ordinal(df, keys, order, block, "_position")
+    numbered = ordinal(df, keys, order, "_position")
     return (
         numbered.withColumn("chunk", F.floor((F.col("_position") - 1) / size).cast("long"))
         .groupBy(*keys, "chunk")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import neighbours
@@ -31,11 +31,9 @@ def package_downloads(days: DataFrame) -> DataFrame:
 
 def download_deltas(series: DataFrame, columns: tuple[str, ...] = ("first", "second", "total")) -> DataFrame:
     """Change of each column from the previous row, 0 in the first; rows are ordered by (date, row)."""
-    # One row per date: the window is as long as the history in days.
-    before = Window.orderBy("date", "row")
-    return series.withColumns(
-        {f"{c}_delta": F.col(c) - F.coalesce(F.lag(c).over(before), F.col(c)) for c in columns}
-    )
+    both = neighbours(series.withColumn("_all", F.lit(1)), ["_all"], ["date", "row"], F.struct(*columns))
+    deltas = [(F.col(c) - F.coalesce(F.col("previous")[c], F.col(c))).alias(f"{c}_delta") for c in columns]
+    return both.select(*series.columns, *deltas)
 
 
 # -- commits ---------------------------------------------------------------------------
@@ -83,7 +81,7 @@ def cancel_reverts(commits: DataFrame) -> DataFrame:
     per_base = rows.groupBy("base").agg(F.max("depth").alias("deepest"), F.max("seq").alias("seq"))
     plain = per_base.where("deepest = 0").select("seq")
     wrapped = rows.join(per_base.where("deepest > 0").select("base"), "base", "left_semi")
-    both = neighbours(wrapped, ["base"], ["seq"], F.floor(F.col("seq") / (1 << 20)), F.col("depth"))
+    both = neighbours(wrapped, ["base"], ["seq"], F.col("depth"))
     differs = lambda c: F.col(c).isNull() | (F.col(c) != F.col("depth"))
     ends = both.where(differs("previous") | differs("next"))
 

@@ -50,16 +50,14 @@ def session_stats(
     )
 
 
-def exact_median(df: DataFrame, value: str, width: int = 1024) -> DataFrame:
+def exact_median(df: DataFrame, value: str) -> DataFrame:
     """Exact median of a whole-number column, as one row.
 
-    Equal values are counted first, and the counts are accumulated by block of
-    ``width`` values, so no task has to hold all the rows.
+    Equal values are counted first, and the counts are accumulated over ranges of
+    values, so no task has to hold all the rows.
     """
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    ranked = running(
-        counts.withColumn("_all", F.lit(1)), ["_all"], [value], F.floor(F.col(value) / width), {"upto": ("sum", F.col("n"))}
-    )
+    ranked = running(counts.withColumn("_all", F.lit(1)), ["_all"], [value], {"upto": ("sum", F.col("n"))})
     size = df.select(F.lit(1).alias("_all")).groupBy("_all").agg(F.count("*").alias("size"))
     low, high = F.floor((F.col("size") + 1) / 2), F.floor(F.col("size") / 2) + 1
     covers = lambda k: (F.col("upto") - F.col("n") < k) & (k <= F.col("upto"))

@@ -8,17 +8,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import estimate_tokens
-from tidemark.operators.ordered import running
 from tidemark.session import configure
 
 NOW = "2024-01-20 12:00:00"
 NOW_MS = 1705752000000
 SESSION_EPOCH_MS = 1704067200000
-TURNS_PER_BLOCK = 1 << 16
 
 # Prices per million tokens in thousandths of a dollar, so that
 # tokens * price is a whole number of nano-dollars.
@@ -268,16 +266,11 @@ class Views:
             "text",
             estimate_tokens(F.col("text")).alias("tokens"),
         )
-        rows = running(
-            rows,
-            ["session_id"],
-            ["id"],
-            F.floor(F.col("turn") / TURNS_PER_BLOCK),
-            {
-                "earlier": ("sum", F.col("tokens")),
-                "user_before": ("max", F.when(F.col("role") == "user", F.col("id"))),
-            },
-            inclusive=False,
+        before = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.select(
+            "*",
+            F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("earlier"),
+            F.max(F.when(F.col("role") == "user", F.col("id"))).over(before).alias("user_before"),
         )
         n = F.col("session_id") + F.col("turn")
         only = lambda c: F.when(assistant, c)
@@ -375,8 +368,6 @@ class Views:
         )
 
     def series(self) -> DataFrame:
-        from pyspark.sql import Window
-
         day = (
             self.table("orders")
             .groupBy(F.to_date("o_orderdate").alias("date"))
