@@ -27,10 +27,10 @@ def events(spark, tmp_path_factory):
     return table, stream
 
 
-def land(spark, stream, path):
+def land(spark, stream, path, last=4):
     query = S.run(stream, f"{path}/out", f"{path}/cp")
     query.awaitTermination()
-    assert query.lastProgress["batchId"] >= 4
+    assert query.lastProgress["batchId"] >= last
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -80,20 +80,63 @@ def test_status(spark, events, tmp_path):
     table, stream = events
     status = F.when(F.col("event_type") == "view", "idle").otherwise(F.col("event_type"))
     shape = lambda df: df.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("pos"), status.alias("status"))
-    changes = land(spark, K.session_status(shape(stream)), tmp_path)
-    last = lambda df: df.groupBy("session_id").agg(F.max_by("status", F.struct("seq", "pos")).alias("status"))
-    assert rows(last(changes)) == rows(last(shape(table)))
+    root = str(tmp_path)
+    want = shape(table).groupBy("session_id").agg(F.max_by(F.struct("seq", "pos", "status"), "seq").alias("l")).select("session_id", "l.*").where("status <> 'idle'")
+    for checkpoint in ("cp1", "cp2"):  # the second run replays everything
+        S.session_status(shape(stream), root, f"{root}/{checkpoint}", buckets=4).awaitTermination()
+        assert rows(S.statuses(spark, root)) == rows(want)
+
+
+def micro_batches(spark, batches, schema, path):
+    """A stream that delivers each list of rows as a micro-batch of its own."""
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_an_older_event_does_not_revive_an_idle_session(spark, tmp_path):
+    schema = "session_id long, seq long, pos long, status string"
+    batches = [[(1, 1, 0, "busy"), (2, 1, 0, "busy")], [(1, 5, 0, "idle")], [(1, 4, 0, "retry"), (2, 2, 1, "retry"), (2, 2, 0, "busy")]]
+    stream = micro_batches(spark, batches, schema, f"{tmp_path}/in")
+    S.session_status(stream, f"{tmp_path}/out", f"{tmp_path}/cp", buckets=2).awaitTermination()
+    assert [tuple(r) for r in S.statuses(spark, f"{tmp_path}/out").collect()] == [(2, 2, 1, "retry")]
+
+
+def test_text_comes_together_from_late_deltas(spark, tmp_path):
+    schema = "part_id long, seq long, delta string"
+    batches = [[(1, 2, "c"), (1, 0, "a")], [(2, 0, "x \n")], [(1, 3, "d "), (1, 1, "b")]]
+    stream = micro_batches(spark, batches, schema, f"{tmp_path}/in")
+    S.assemble_text(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert rows(S.assembled(spark, f"{tmp_path}/out")) == rows(spark.createDataFrame([(1, "abcd"), (2, "x")], "part_id long, text string"))
+
+
+def expired(spark, path):
+    """Rows left in the state of a finished query."""
+    return spark.read.format("statestore").option("path", path).option("stateVarName", "value").load().count()
 
 
 def test_sticky_choice_expires(spark, tmp_path):
     start = datetime(2024, 1, 1)
     data = [(1, 0, "a"), (2, 20, "b"), (3, 44, "c"), (4, 69, "d"), (5, 70, "e")]
-    for i, (id, hours, provider) in enumerate(data):
-        df = spark.createDataFrame([(id, 7, start + timedelta(hours=hours), provider)], "id long, session_id long, ts timestamp, provider string")
-        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = {r.id: r.provider for r in land(spark, K.sticky_choice(stream), tmp_path).collect()}
-    assert got == {1: "a", 2: "a", 3: "a", 4: "d", 5: "d"}
+    schema = "id long, session_id long, ts timestamp, provider string"
+    batches = [[(id, 7, start + timedelta(hours=hours), provider)] for id, hours, provider in data]
+    # Other sessions: one that ends, one that moves time on, and a row behind the watermark.
+    batches[0].append((10, 8, start, "z"))
+    batches += [[(11, 9, start + timedelta(hours=200), "y")], [(12, 8, start + timedelta(hours=1), "late"), (13, 9, start + timedelta(hours=201), "x")]]
+    got = {r.id: r.provider for r in land(spark, K.sticky_choice(micro_batches(spark, batches, schema, f"{tmp_path}/in")), tmp_path).collect()}
+    assert got == {1: "a", 2: "a", 3: "a", 4: "d", 5: "d", 10: "z", 11: "y", 13: "y"}
+    assert expired(spark, f"{tmp_path}/cp") == 1  # session 9 alone
+
+
+def test_rolling_usage_ends_with_its_window(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    schema = "id long, user_id long, ts timestamp, cost long"
+    at = lambda id, user, minutes, cost: (id, user, start + timedelta(minutes=minutes), cost)
+    batches = [[at(2, 1, 30, 5), at(1, 1, 0, 7)], [at(3, 1, 60, 1), at(4, 1, 61, 2), at(5, 2, 61, 1)], [at(6, 2, 500, 4)], [at(7, 1, 10, 100), at(8, 2, 501, 1)]]
+    stream = micro_batches(spark, batches, schema, f"{tmp_path}/in")
+    got = {r.id: r.rolling_usage for r in land(spark, K.stream_rolling_usage(stream, 1, "10 minutes"), tmp_path, 3).collect()}
+    assert got == {1: 7, 2: 12, 3: 13, 4: 2, 5: 1, 6: 4, 8: 5}  # row 7 is late
+    assert expired(spark, f"{tmp_path}/cp") == 1
 
 
 def test_append_mode_gives_out_closed_batches(spark, events, tmp_path):

@@ -119,9 +119,9 @@ def _(v: Views):
     stream = v.stream("events").select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("pos"), status.alias("status")
     )
-    changes = landed(v, K.session_status(stream))
-    last = changes.groupBy("session_id").agg(F.max_by(F.struct("seq", "status"), F.struct("seq", "pos")).alias("l"))
-    return last.select("session_id", "l.*").where("status <> 'idle'")
+    root = scratch_dir(v.spark, "stream")
+    S.session_status(stream, root, f"{root}/checkpoint", buckets=8).awaitTermination()
+    return S.statuses(v.spark, root).select("session_id", "seq", "status")
 
 
 @query(
@@ -142,11 +142,8 @@ def _(v: Views):
 
 
 def _deltas(conversations: DataFrame) -> DataFrame:
-    start = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60)
-    words = conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("part_id"), start.alias("started"), F.posexplode(F.split("text", " ")).alias("seq", "word")
-    )
-    return words.select("part_id", "started", "seq", F.concat("word", F.lit(" ")).alias("delta"))
+    words = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("part_id"), F.posexplode(F.split("text", " ")).alias("seq", "word"))
+    return words.select("part_id", "seq", F.concat("word", F.lit(" ")).alias("delta"))
 
 
 @query(
@@ -154,8 +151,9 @@ def _deltas(conversations: DataFrame) -> DataFrame:
     "SELECT conv_id * 1000 + turn AS part_id, md5(rtrim(text, ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM conversations",
 )
 def _(v: Views):
-    rows = upserted(v, S.assemble_text(_deltas(v.stream("conversations"))), ["part_id"])
-    return rows.select("part_id", F.md5("text").alias("digest"))
+    root = scratch_dir(v.spark, "stream")
+    S.assemble_text(_deltas(v.stream("conversations")), f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    return S.assembled(v.spark, f"{root}/parts").select("part_id", F.md5("text").alias("digest"))
 
 
 @query(

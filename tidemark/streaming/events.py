@@ -109,20 +109,51 @@ def stream_ip_hours(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     )
 
 
-def assemble_text(stream: DataFrame, every: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Text of each part from its deltas in order, without white space at the end.
+def session_status(stream: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the newest status per session in the store ``root/status``: (session_id, seq, pos, status).
 
-    ``started`` is the time the part began, the same for all its deltas; a part
-    is given out when the watermark has passed its window. What is collected is
-    one part's text, which is one cell anyway.
+    Nothing is kept in the stream itself. A micro-batch is reduced to one row per
+    session and merged by (seq, pos), so one that runs again changes nothing. An
+    ``idle`` session stays in the store as a tombstone: an older event that comes
+    later does not bring it back.
     """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        at = F.struct("seq", "pos")
+        newest = batch.groupBy("session_id").agg(F.max_by(F.struct("seq", "pos", "status"), at).alias("n")).select("session_id", "n.*")
+        rows = newest.withColumns({"id": F.col("session_id").cast("string"), "version": at}).persist()
+        write_entities(rows, root, "status", version="version", buckets=buckets)
+        rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def statuses(spark: SparkSession, root: str) -> DataFrame:
+    """The sessions of ``session_status`` that are not idle."""
+    return read_entities(spark, root, "status").where("status <> 'idle'").select("session_id", "seq", "pos", "status")
+
+
+def assemble_text(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Append the deltas (part_id, seq, delta) of each micro-batch to ``root``, as one sorted chunk per part.
+
+    No state is kept: a late delta is one more chunk. A micro-batch has a folder of its
+    own, which it replaces if it runs again.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        chunks = batch.groupBy("part_id").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("deltas"))
+        chunks.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def assembled(spark: SparkSession, root: str) -> DataFrame:
+    """(part_id, text) of what ``assemble_text`` has written: each part's chunks merged, without white space at the end."""
     spaces = F.lit(" \t\n\x0b\f\r")
-    return (
-        stream.withWatermark("started", watermark)
-        .groupBy("part_id", F.window("started", every).alias("w"))
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("d"))
-        .select("part_id", F.rtrim(F.array_join("d.delta", ""), spaces).alias("text"))
-    )
+    parts = spark.read.parquet(root).groupBy("part_id").agg(F.sort_array(F.flatten(F.collect_list("deltas"))).alias("d"))
+    return parts.select("part_id", F.rtrim(F.array_join("d.delta", ""), spaces).alias("text"))
 
 
 def request_timings(stream: DataFrame, every: str = "1 hour", watermark: str = "1 hour") -> DataFrame:

@@ -4,6 +4,10 @@ They need the RocksDB state store, see :data:`tidemark.session.ROCKSDB`. A
 micro-batch may deliver the rows of a key in any order, so each is sorted first;
 what one task holds is the rows of one key in one micro-batch, which
 ``maxFilesPerTrigger`` or the source's own limit bounds.
+
+State ends by event time: each key sets a timer for the moment from which its state
+no longer matters, and drops the state when the watermark has passed it. Rows older
+than the watermark are late and are left out, as in any windowed stream.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,97 +30,86 @@ def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
 
 
-class _Rolling(StatefulProcessor):
-    """Anchor second and sum of the open window."""
+class _Expiring(StatefulProcessor):
+    """One value per key, and one timer: the state ends when the watermark passes it."""
 
-    def __init__(self, width: int):
-        self.width = width
+    schema: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "anchor long, used long")
+        self.handle = handle
+        self.value = handle.getValueState("value", self.schema)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        anchor, used = self.window.get() if self.window.exists() else (None, 0)
-        pdf = _sorted(rows, ["micros", "id"])
-        anchors, sums = [], []
-        for second, cost in zip(pdf["micros"] // 1_000_000, pdf["cost"]):
-            if anchor is None or anchor < second - self.width:
-                anchor, used = int(second), 0
-            used += int(cost)
-            anchors.append(anchor)
-            sums.append(used)
-        self.window.update((anchor, used))
-        yield pd.DataFrame({"id": pdf["id"], "user_id": key[0], "anchor": anchors, "rolling_usage": sums})
+    def keep(self, value: tuple, until_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.value.update(value)
+        self.handle.registerTimer(until_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_rolling_usage(stream: DataFrame, hours: int) -> DataFrame:
-    """Anchored window per user; every row with its anchor and the usage so far."""
-    rows = stream.select("id", "user_id", F.unix_micros("ts").alias("micros"), "cost")
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        _Rolling(hours * 3600), "id long, user_id long, anchor long, rolling_usage long", "Append", "None"
-    )
-
+class _Rolling(_Expiring):
+    """Anchor second and sum of the open window."""
 
-class _Status(StatefulProcessor):
-    """Latest status by (seq, pos); an idle session has no state."""
+    schema = "anchor long, used long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "seq long, pos long, status string")
+    def __init__(self, width: int):
+        self.width = width
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = _sorted(rows, ["seq", "pos"]).iloc[-1]
-        seen = self.latest.get() if self.latest.exists() else None
-        if seen is not None and (seen[0], seen[1]) > (last["seq"], last["pos"]):
-            return
-        self.latest.update((int(last["seq"]), int(last["pos"]), last["status"]))
-        if last["status"] == "idle":
-            self.latest.clear()
-        yield pd.DataFrame(
-            {"session_id": [key[0]], "seq": [last["seq"]], "pos": [last["pos"]], "status": [last["status"]]}
-        )
-
-    def close(self) -> None:
-        pass
+        anchor, used = self.value.get() if self.value.exists() else (None, 0)
+        pdf = _sorted(rows, ["micros", "id"])
+        seconds, cost = pdf["micros"].to_numpy() // 1_000_000, pdf["cost"].to_numpy()
+        anchors, sums = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+        at = 0
+        while at < len(pdf):  # a step is a window
+            if anchor is None or anchor < seconds[at] - self.width:
+                anchor, used = int(seconds[at]), 0
+            end = int(np.searchsorted(seconds, anchor + self.width, side="right"))
+            anchors[at:end] = anchor
+            sums[at:end] = used + np.cumsum(cost[at:end])
+            used, at = int(sums[end - 1]), end
+        self.keep((anchor, used), (anchor + self.width + 1) * 1000)
+        yield pd.DataFrame({"id": pdf["id"], "user_id": key[0], "anchor": anchors, "rolling_usage": sums})
 
 
-def session_status(stream: DataFrame) -> DataFrame:
-    """Status changes (session_id, seq, pos, status); readers take the last one and leave out ``idle``."""
-    rows = stream.select("session_id", "seq", "pos", "status")
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        _Status(), "session_id long, seq long, pos long, status string", "Append", "None"
+def stream_rolling_usage(stream: DataFrame, hours: int, watermark: str = "1 hour") -> DataFrame:
+    """Anchored window per user; every row with its anchor and the usage so far."""
+    rows = stream.withWatermark("ts", watermark).select("id", "user_id", "ts", F.unix_micros("ts").alias("micros"), "cost")
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        _Rolling(hours * 3600), "id long, user_id long, anchor long, rolling_usage long", "Append", "EventTime"
     )
 
 
-class _Sticky(StatefulProcessor):
+class _Sticky(_Expiring):
     """Last provider and when it was used."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "provider string, micros long")
+    schema = "provider string, micros long"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        provider, used = self.last.get() if self.last.exists() else (None, None)
+        provider, used = self.value.get() if self.value.exists() else (None, None)
         pdf = _sorted(rows, ["micros", "id"])
-        chosen = []
-        for micros, own in zip(pdf["micros"], pdf["provider"]):
-            if provider is None or micros - used > STICKY_SECONDS * 1_000_000:
-                provider = own
-            used = int(micros)
-            chosen.append(provider)
-        self.last.update((provider, used))
+        micros = pdf["micros"].to_numpy()
+        fresh = np.diff(micros, prepend=micros[0] if used is None else used) > STICKY_SECONDS * 1_000_000
+        fresh[0] |= used is None
+        # Each row has the provider of the last fresh one; before the first, that of the state.
+        source = np.maximum.accumulate(np.where(fresh, np.arange(len(pdf)), -1))
+        chosen = np.where(source < 0, provider, pdf["provider"].to_numpy()[source])
+        last = max(int(micros[-1]), used or int(micros[-1]))
+        self.keep((chosen[-1], last), last // 1000 + STICKY_SECONDS * 1000 + 1)
         yield pd.DataFrame({"id": pdf["id"], "session_id": key[0], "provider": chosen})
 
-    def close(self) -> None:
-        pass
-
 
-def sticky_choice(stream: DataFrame) -> DataFrame:
+def sticky_choice(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Provider per request: that of the session's last request, if it was within 24 hours."""
-    rows = stream.select("id", "session_id", F.unix_micros("ts").alias("micros"), "provider")
+    rows = stream.withWatermark("ts", watermark).select("id", "session_id", "ts", F.unix_micros("ts").alias("micros"), "provider")
     return rows.groupBy("session_id").transformWithStateInPandas(
-        _Sticky(), "id long, session_id long, provider string", "Append", "None"
+        _Sticky(), "id long, session_id long, provider string", "Append", "EventTime"
     )
 
 
