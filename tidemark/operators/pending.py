@@ -33,23 +33,20 @@ def pending_requests(events: DataFrame, per_session: bool = False) -> DataFrame:
         .agg(F.min("at").alias("idx"))
     )
     wanted = waiting.select("session_id", "id", "seq", "permission", F.explode_outer("patterns").alias("pattern"))
-    renamed = rules.select(
-        *[F.col(c).alias(f"_{c}") for c in scope],
-        "idx",
-        F.col("permission").alias("rule_permission"),
-        F.col("pattern").alias("rule_pattern"),
-    )
+    renamed = rules.withColumnsRenamed({"permission": "rule_permission", "pattern": "rule_pattern"})
     matches = {"permission": "rule_permission", "pattern": "rule_pattern"}
-    hits = matching_rules(wanted.where("pattern IS NOT NULL"), renamed, matches)
-    keys = [f"_{c}" for c in scope]
-    earliest = hits.groupBy("permission", "pattern", *keys).agg(F.min("idx").alias("_from"))
-    on = ["permission", "pattern"]
-    if per_session:
-        earliest = earliest.withColumnRenamed("_session_id", "session_id")
-        on.append("session_id")
+    # With a scope the session is part of the join, so a request only meets rules of its own.
+    asking = wanted.where("pattern IS NOT NULL")
+    hits, open_rules = matching_rules(asking, renamed, matches, tuple(scope))
+    on = ["permission", "pattern", *scope]
+    earliest = hits.groupBy(*on).agg(F.min("idx").alias("_from"))
+    wanted = wanted.join(earliest, on, "left")
+    wanted = wanted.join(open_rules, scope, "left") if scope else wanted.join(F.broadcast(open_rules))  # one row without a scope
+    own = lambda r: F.rlike(F.col("permission"), r["_re0"]) & F.rlike(F.col("pattern"), r["_re1"])
+    always_open = F.array_min(F.transform(F.filter("_open", own), lambda r: r["idx"]))
+    wanted = wanted.withColumn("_from", F.least("_from", always_open)).drop("_open")
     covered = (
-        wanted.join(earliest, on, "left")
-        .groupBy("session_id", "id", "seq")
+        wanted.groupBy("session_id", "id", "seq")
         .agg(F.bool_and(F.col("pattern").isNull() | F.col("_from").isNotNull()).alias("_all"), F.max("_from").alias("_from"))
         .where("_all")
         .select("session_id", "id", "seq", F.greatest("seq", F.coalesce("_from", F.lit(-1))).alias("_from"))

@@ -1,9 +1,11 @@
 """Ordered wildcard rules: the last rule that matches decides.
 
-A rule list is configuration. Up to ``INLINE_RULES`` rules become one ``CASE``
-expression with precompiled patterns: no join and no shuffle. A longer list is
-joined on the literal start or end of its patterns, so a request only meets
-rules whose fixed part it has.
+Rules and requests meet in an inverted index. A rule is listed under one gram of
+``GRAM`` characters out of the longest literal run of its pattern, wherever in the
+pattern that is: the gram that the fewest rules have. A request looks up the grams of
+its text and is then tested on the whole patterns, so it only meets rules whose gram
+it has. Rules without a literal (``*``, ``??``) fit by length alone; there are few
+different ones, and they travel as one row.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import match_wildcard, wildcard_literal, wildcard_regex
+from tidemark.functions.text import match_wildcard, wildcard_regex
 
-INLINE_RULES = 256
+#: Characters of an index entry; shorter runs are entries as they are.
+GRAM = 3
 
 # Fixed values.
 DEFAULT_ACTION = "ask"
@@ -43,8 +46,8 @@ ARITY = {
 def rules_from_config(configs: DataFrame) -> DataFrame:
     """Rules from (source, config) where config is ``{permission: action | {pattern: action}}``.
 
-    Rows come back as (source, pos, permission, pattern, action); pos follows the
-    order of the text.
+    Rows come back as (source, pos, permission, pattern, action); pos is a struct of
+    the places of the permission and of the pattern in the text.
     """
     top = configs.select("source", F.posexplode(F.map_entries(F.from_json("config", "map<string,string>"))).alias("i", "e"))
     nested = F.startswith(F.ltrim(F.col("e.value")), F.lit("{"))
@@ -52,126 +55,125 @@ def rules_from_config(configs: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("*").alias("key"), F.col("e.value").alias("value")))
     )
     rows = top.select("source", "i", F.col("e.key").alias("permission"), F.posexplode(entries).alias("j", "r"))
-    pos = F.col("i").cast("long") * (1 << 20) + F.col("j")
-    return rows.select("source", pos.alias("pos"), "permission", F.col("r.key").alias("pattern"), F.col("r.value").alias("action"))
+    return rows.select("source", F.struct("i", "j").alias("pos"), "permission", F.col("r.key").alias("pattern"), F.col("r.value").alias("action"))
 
 
 def merge_rulesets(*rulesets: DataFrame) -> DataFrame:
-    """One list with ``idx`` in the order (ruleset, pos); rulesets are (pos, permission, pattern, action)."""
+    """One list with ``idx``, the struct (ruleset, pos); rulesets are (pos, permission, pattern, action), all with pos of one type."""
     tagged = [
-        r.select((F.lit(i).cast("long") * (1 << 40) + F.col("pos")).alias("idx"), "permission", "pattern", "action")
+        r.select(F.struct(F.lit(i).alias("ruleset"), "pos").alias("idx"), "permission", "pattern", "action")
         for i, r in enumerate(rulesets)
     ]
     return reduce(DataFrame.unionByName, tagged)
 
 
-def _inline(rules: DataFrame, columns: list[str]) -> list | None:
-    """The rules in order when there are few enough, else ``None``."""
-    rows = rules.select("idx", *columns).limit(INLINE_RULES + 1).collect()
-    return None if len(rows) > INLINE_RULES else sorted(rows, key=lambda r: r["idx"])
+def _grams(text: Column, size: int) -> Column:
+    """The different pieces of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def _anchor(pattern: Column) -> Column:
-    """Text that every match starts (side ``p``) or ends (side ``s``) with, whichever is longer.
-
-    A final `` *`` is optional, so nothing before or after it is certain at the end.
-    """
-    optional = F.endswith(pattern, F.lit(" *"))
-    core = F.when(optional, F.left(pattern, F.length(pattern) - 2)).otherwise(pattern)
-    prefix = F.regexp_extract(core, r"\A([^*?]*)", 1)
-    suffix = F.when(optional, "").otherwise(F.regexp_extract(pattern, r"([^*?]*)\z", 1))
-    starts = F.length(prefix) >= F.length(suffix)
-    return F.struct(F.when(starts, "p").otherwise("s").alias("side"), F.when(starts, prefix).otherwise(suffix).alias("text"))
+def _longest_run(pattern: Column) -> Column:
+    """The longest stretch without wildcards that every match contains: a final `` *`` is optional as a whole."""
+    core = F.when(F.endswith(pattern, F.lit(" *")), F.left(pattern, F.length(pattern) - 2)).otherwise(pattern)
+    runs = F.transform(F.split(core, "[*?]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
+    return F.array_max(runs)["run"]
 
 
-def last_match(requests: DataFrame, rules: DataFrame, matches: dict[str, str], result: str, inline: bool | None = None) -> DataFrame:
-    """Add ``result`` (and ``<result>_pattern``) of the last rule matching all of ``matches``.
+def _indexed(rules: DataFrame, matches: dict[str, str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rules by (side, gram), and those without any literal.
 
-    ``matches`` maps request columns to rule columns; the last one should be the
-    most telling, as its prefix is the join key of the long path.
+    ``side`` is the place in ``matches`` of the column whose gram it is: the last one that
+    has a full gram, else the one with the longest run.
+    """
+    sides = list(matches.values())
+    regexes = {f"_re{i}": wildcard_regex(F.col(r)) for i, r in enumerate(sides)}
+    runs = rules.withColumns({**{f"_run{i}": _longest_run(F.col(r)) for i, r in enumerate(sides)}, **regexes})
+    order = [F.struct(F.least(F.length(f"_run{i}"), F.lit(GRAM)).alias("n"), F.lit(i).alias("side"), F.col(f"_run{i}").alias("run")) for i in range(len(sides))]
+    best = runs.withColumn("_best", F.array_max(F.array(*order))).select("_best.side", "_best.run", *regexes, *carried)
+    grams = F.when(F.length("run") >= GRAM, _grams(F.col("run"), GRAM)).otherwise(F.array("run"))
+    literal = best.where("run <> ''").select(F.struct(*regexes, *carried).alias("_rule"), "side", F.explode(grams).alias("gram"))
+    counts = literal.groupBy("side", "gram").agg(F.count("*").alias("_n"))
+    rarest = literal.join(counts, ["side", "gram"]).groupBy("_rule").agg(F.min(F.struct("_n", "gram", "side")).alias("_g"))
+    return rarest.select("_g.side", "_g.gram", "_rule.*"), best.where("run = ''").select(*regexes, *carried)
+
+
+def matching_rules(requests: DataFrame, rules: DataFrame, matches: dict[str, str], equal: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The distinct request columns with every rule that fits them, and the rules without any literal as one row.
+
+    ``matches`` maps request columns to the rule columns with their patterns; of the other
+    rule columns those in ``equal`` must also be equal. The second frame has ``_open``: an
+    array of structs of the other columns and the regexes ``_re0``, ``_re1``, ...; with
+    ``equal`` it has a row for each value of those.
+    """
+    columns = [*matches, *equal]
+    carried = [c for c in rules.columns if c not in matches.values() or c in equal]
+    indexed, pure = _indexed(rules.withColumnsRenamed({c: f"_eq_{c}" for c in equal}), matches, [f"_eq_{c}" if c in equal else c for c in carried])
+    asked = requests.select(*columns).distinct()
+    sided = lambda side: lambda g: F.struct(F.lit(side).alias("side"), g.alias("gram"))
+    looked = [F.transform(F.concat(*[_grams(F.col(c), n) for n in range(1, GRAM + 1)]), sided(i)) for i, c in enumerate(matches)]
+    fits = reduce(lambda a, b: a & b, [F.rlike(F.col(c), F.col(f"_re{i}")) for i, c in enumerate(matches)])
+    fits = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_eq_{c}")) for c in equal], fits)
+    grams = asked.withColumn("_gram", F.explode(F.concat(*looked))).select(*columns, "_gram.side", "_gram.gram", *[F.col(c).alias(f"_eq_{c}") for c in equal])
+    # Exploded rows are more than Spark takes them for: no broadcast by their estimate.
+    on = ["side", "gram", *[f"_eq_{c}" for c in equal]]
+    hits = grams.hint("merge").join(indexed, on).where(fits)
+    rest = [c for c in carried if c not in equal]
+    scopes = [F.col(f"_eq_{c}").alias(c) for c in equal]
+    open_rules = pure.groupBy(*scopes).agg(F.collect_list(F.struct(*[c for c in pure.columns if not c.startswith("_eq_")])).alias("_open"))
+    return hits.select(*columns, *rest), open_rules
+
+
+def last_match(requests: DataFrame, rules: DataFrame, matches: dict[str, str], result: str) -> DataFrame:
+    """Add ``result`` (and ``<result>_pattern``) of the last rule, by ``idx``, that matches all of ``matches``.
+
+    ``matches`` maps request columns to rule columns; the last one should be the most
+    telling, as the index prefers it.
     """
-    few = None if inline is False else _inline(rules, sorted({*matches.values(), "pattern", result}))
-    if inline and few is None:
-        raise ValueError(f"more than {INLINE_RULES} rules")
-    if few is not None:
-        value, pattern = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for rule in few:
-            fits = [F.rlike(F.col(c), F.lit(wildcard_literal(rule[r]))) for c, r in matches.items()]
-            hit = reduce(lambda a, b: a & b, fits)
-            value = F.when(hit, F.lit(rule[result])).otherwise(value)
-            pattern = F.when(hit, F.lit(rule["pattern"])).otherwise(pattern)
-        return requests.withColumns({result: value, f"{result}_pattern": pattern})
-
     columns = list(matches)
     # Of rules with the same patterns only the last can win.
     same = sorted({*matches.values(), "pattern"})
     newest = F.max_by(F.struct("idx", result), "idx").alias("_r")
     kept = rules.groupBy(*same).agg(newest).select(*same, F.col("pattern").alias(f"{result}_pattern"), "_r.*")
-    hits = matching_rules(requests, kept, matches)
-    last = F.max_by(F.struct(result, f"{result}_pattern"), "idx").alias("_v")
-    verdicts = hits.groupBy(*columns).agg(last).select(*columns, f"_v.{result}", f"_v.{result}_pattern")
-    return requests.join(verdicts, columns, "left")
-
-
-def matching_rules(requests: DataFrame, rules: DataFrame, matches: dict[str, str]) -> DataFrame:
-    """Distinct request columns with every rule that fits them, joined on what the patterns start or end with."""
-    columns = list(matches)
-    key, rule_key = list(matches.items())[-1]
-    regexes = {f"_re_{c}": wildcard_regex(F.col(r)) for c, r in matches.items()}
-    others = [c for c in rules.columns if c not in columns]
-    prepared = rules.withColumns({"_anchor": _anchor(F.col(rule_key)), **regexes}).select("_anchor", *regexes, *others)
-    # One row per side and distinct anchor length.
-    sizes = prepared.select("_anchor.side", F.length("_anchor.text").alias("n")).distinct().collect()
-    ends = {
-        side: F.transform(F.array(*[F.lit(r["n"]) for r in sizes if r["side"] == side]).cast("array<int>"), cut)
-        for side, cut in (("p", lambda n: F.left(F.col(key), n)), ("s", lambda n: F.right(F.col(key), n)))
-    }
-    tagged = [_tagged(texts, side) for side, texts in ends.items()]
-    hit = reduce(lambda a, b: a & b, [F.rlike(F.col(c), F.col(f"_re_{c}")) for c in columns])
-    return (
-        requests.select(*columns)
-        .distinct()
-        .withColumn("_anchor", F.explode(F.concat(*tagged)))
-        .hint("merge")
-        .join(prepared, "_anchor")
-        .where(hit)
-        .select(*columns, *others)
-    )
-
-
-def _tagged(texts: Column, side: str) -> Column:
-    return F.transform(F.array_distinct(texts), lambda t: F.struct(F.lit(side).alias("side"), t.alias("text")))
-
-
-def evaluate_rules(requests: DataFrame, rules: DataFrame, inline: bool | None = None) -> DataFrame:
+    hits, open_rules = matching_rules(requests, kept.drop(*[c for c in same if c not in matches.values()]), matches)
+    verdict = F.struct("idx", result, f"{result}_pattern")
+    verdicts = hits.groupBy(*columns).agg(F.max_by(verdict, "idx").alias("_v"))
+    found = requests.join(verdicts, columns, "left").select(*requests.columns, "_v")  # null columns fit no rule
+    found = found.join(F.broadcast(open_rules))  # one row
+    fits = lambda r: reduce(lambda a, b: a & b, [F.rlike(F.col(c), r[f"_re{i}"]) for i, c in enumerate(columns)])
+    fitting = F.transform(F.filter("_open", fits), lambda r: F.struct(r["idx"].alias("idx"), r[result].alias(result), r[f"{result}_pattern"].alias(f"{result}_pattern")))
+    last = F.aggregate(fitting, F.col("_v"), lambda best, r: F.when(best.isNull() | (best["idx"] < r["idx"]), r).otherwise(best))
+    found = found.withColumn("_v", last)
+    return found.select(*requests.columns, F.col(f"_v.{result}"), F.col(f"_v.{result}_pattern"))
+
+
+def evaluate_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Action for each (permission, pattern)."""
     matches = {"permission": "permission", "pattern": "pattern"}
-    found = last_match(requests, rules, matches, "action", inline)
+    found = last_match(requests, rules, matches, "action")
     return found.withColumn("action", F.coalesce("action", F.lit(DEFAULT_ACTION))).drop("action_pattern")
 
 
-def evaluate_requests(requests: DataFrame, rules: DataFrame, inline: bool | None = None) -> DataFrame:
+def evaluate_requests(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Action for each (id, permission, patterns): the first that is not allow, else allow."""
     rows = requests.select("id", "permission", F.posexplode("patterns").alias("pos", "pattern"))
-    verdicts = evaluate_rules(rows, rules, inline).where(F.col("action") != "allow")
+    verdicts = evaluate_rules(rows, rules).where(F.col("action") != "allow")
     first = verdicts.groupBy("id").agg(F.min_by("action", "pos").alias("action"))
     return requests.select("id").join(first, "id", "left").withColumn("action", F.coalesce("action", F.lit("allow")))
 
 
-def disabled_tools(tools: DataFrame, rules: DataFrame, inline: bool | None = None) -> DataFrame:
+def disabled_tools(tools: DataFrame, rules: DataFrame) -> DataFrame:
     """Tools whose last rule by name denies everything."""
     named = tools.withColumn("permission", F.when(F.col("tool").isin(*EDIT_TOOLS), "edit").otherwise(F.col("tool")))
-    found = last_match(named, rules, {"permission": "permission"}, "action", inline)
+    found = last_match(named, rules, {"permission": "permission"}, "action")
     return found.where((F.col("action") == "deny") & (F.col("action_pattern") == "*")).select("tool")
 
 
-def specific_pattern(inputs: DataFrame, patterns: DataFrame, inline: bool | None = None) -> DataFrame:
+def specific_pattern(inputs: DataFrame, patterns: DataFrame) -> DataFrame:
     """Value of the longest pattern (then the greatest) matching ``text``; patterns are (pattern, value)."""
-    if inline is False:
-        ranked = patterns.withColumn("idx", F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p")))
-    else:
-        ranked = patterns.withColumn("idx", F.concat(F.lpad(F.length("pattern").cast("string"), 9, "0"), "pattern"))
-    return last_match(inputs, ranked, {"text": "pattern"}, "value", inline).drop("value_pattern")
+    ranked = patterns.withColumn("idx", F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p")))
+    return last_match(inputs, ranked, {"text": "pattern"}, "value").drop("value_pattern")
 
 
 def command_prefix(tokens: Column) -> Column:
