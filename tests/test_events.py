@@ -139,15 +139,27 @@ def test_dump_batch_and_stream(spark, tmp_path):
 
 
 def test_corpus_folder(spark, tmp_path):
-    for name in ("a.txt", "sub/b.txt", "sub/deep/c.txt", ".hid/d.txt", "sub/_x/g.txt", ".git/e.txt", "f.md"):
+    for name in ("a.txt", "sub/b.txt", "sub/deep/c.txt", ".hid/d.txt", "sub/_x/g.txt", ".git/e.txt", "f.md", ".env"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(name)
     names = lambda **o: sorted(r.path for r in corpus.scan_corpus(spark, str(tmp_path), **o).collect())
-    assert names() == ["a.txt", "f.md", "sub/b.txt", "sub/deep/c.txt"]
-    assert names(hidden_depth=3) == [".hid/d.txt", "a.txt", "f.md", "sub/_x/g.txt", "sub/b.txt", "sub/deep/c.txt"]
-    assert names(globs=("*.txt", "!sub/**"), hidden=False, hidden_depth=3) == ["a.txt"]
-    assert names(max_depth=1) == ["a.txt", "f.md"]
+    everything = [".env", ".hid/d.txt", "a.txt", "f.md", "sub/_x/g.txt", "sub/b.txt", "sub/deep/c.txt"]
+    assert names() == everything
+    assert names(hidden=False) == everything[2:]
+    assert names(globs=("*.txt", "!sub/**"), hidden=False) == ["a.txt"]
+    assert names(max_depth=1) == [".env", "a.txt", "f.md"]
+    row = corpus.scan_corpus(spark, f"file:{tmp_path}/", globs=(".env",)).first()
+    assert (row["path"], row["text"]) == (".env", ".env") and row["mtime"] == (tmp_path / ".env").stat().st_mtime_ns // 1_000_000
+
+
+def test_corpus_paths_below_a_root_that_repeats(spark, tmp_path):
+    """A file whose path holds the root's own path again keeps its whole relative path."""
+    again = str(tmp_path).lstrip("/")
+    for name in ("a.txt", f"x/{again}/a.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert sorted(r.path for r in corpus.scan_corpus(spark, str(tmp_path)).collect()) == ["a.txt", f"x/{again}/a.txt"]
 
 
 def test_tolerant_lines_and_tables(spark, tmp_path):

@@ -26,6 +26,8 @@ IGNORED_FILES = (
     "**/*.swp", "**/*.swo", "**/*.pyc", "**/.DS_Store", "**/Thumbs.db", "**/logs/**", "**/tmp/**", "**/temp/**",
     "**/*.log", "**/coverage/**", "**/.nyc_output/**",
 )
+BINARY_HEAD = 4096
+BINARY_SHARE = 0.3
 BINARY_EXTENSIONS = (
     ".zip", ".tar", ".gz", ".exe", ".dll", ".so", ".class", ".jar", ".war", ".7z", ".doc", ".docx", ".xls", ".xlsx",
     ".ppt", ".pptx", ".odt", ".ods", ".odp", ".bin", ".dat", ".obj", ".o", ".a", ".lib", ".wasm", ".pyc", ".pyo",
@@ -62,9 +64,19 @@ def filter_hidden_paths(paths: DataFrame) -> DataFrame:
     return paths.where(~is_hidden(F.col("path")))
 
 
-def filter_binary_files(paths: DataFrame) -> DataFrame:
+def is_binary(content: Column) -> Column:
+    """Whether bytes do not look like text: a zero among the first ones, or too many control characters."""
+    # The bytes as the characters of the same numbers.
+    head = F.decode(F.substring(content, 1, BINARY_HEAD), "ISO-8859-1")
+    control = F.length(head) - F.length(F.regexp_replace(head, r"[\x01-\x08\x0E-\x1F]", ""))
+    return F.coalesce(F.contains(head, F.lit("\0")) | (control > F.length(head) * F.lit(BINARY_SHARE)), F.lit(False))
+
+
+def filter_binary_files(paths: DataFrame, content: str | None = None) -> DataFrame:
+    """Files that are not binary, by extension and by the bytes in the column ``content`` if one is named."""
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
-    return paths.where(~extension.isin(*BINARY_EXTENSIONS))
+    binary = extension.isin(*BINARY_EXTENSIONS)
+    return paths.where(~(binary | is_binary(F.col(content).cast("binary"))) if content else ~binary)
 
 
 # -- search --------------------------------------------------------------------------
@@ -133,29 +145,33 @@ def _split_path(paths: DataFrame) -> DataFrame:
     return paths.select(F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("base"))
 
 
-def _grams(text: Column) -> Column:
-    """Every piece of up to three letters, and the empty one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    cut = lambda size: F.transform(starts, lambda i: F.substring(text, i, size))
-    return F.array_distinct(F.concat(F.array(F.lit("")), cut(1), cut(2), cut(3)))
+def _pieces(text: Column, lengths: Column) -> Column:
+    """The different pieces of a text that have one of the lengths."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(text))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(fitting, cut)))
 
 
 def suggest_paths(paths: DataFrame, wanted: DataFrame, n: int = 3) -> DataFrame:
     """Up to ``n`` names in the wanted directory that contain, or are contained in, the wanted name.
 
-    A name inside another begins with some three letters of it: names only meet
-    when they are in one directory and share such a piece. The rank is bounded,
-    so Spark keeps at most ``n`` rows per wanted path before the last shuffle.
+    Both ways are joins on equal names. An entry gives its pieces of the lengths that
+    are asked for in its directory; those that are asked for are ranked, and only the
+    ``n`` smallest entries per (directory, piece) go on. A wanted name gives all its
+    pieces, and meets at most ``n`` entries under each.
     """
     entries = _split_path(paths).distinct().select("dir", F.col("base").alias("entry"), F.lower("base").alias("_e"))
     names = wanted.select("dir", "base", F.lower("base").alias("_w")).distinct()
-    start = lambda c: F.left(F.col(c), F.lit(3)).alias("_gram")
-    inside = names.select("*", start("_w")).hint("merge").join(
-        entries.select("*", F.explode(_grams(F.col("_e"))).alias("_gram")), ["dir", "_gram"]
-    ).where(F.contains("_e", F.col("_w")))
-    around = names.select("*", F.explode(_grams(F.col("_w"))).alias("_gram")).hint("merge").join(
-        entries.select("*", start("_e")), ["dir", "_gram"]
-    ).where(F.contains("_w", F.col("_e")))
+    smallest = lambda df: (
+        df.withColumn("rank", F.row_number().over(Window.partitionBy("dir", "_piece").orderBy("entry"))).where(F.col("rank") <= n).drop("rank")
+    )
+    asked = names.groupBy("dir").agg(F.collect_set(F.length("_w")).alias("_lengths"))
+    pieces = entries.join(asked, "dir").select("dir", "entry", F.explode(_pieces(F.col("_e"), F.col("_lengths"))).alias("_piece"))
+    pieces = pieces.hint("merge").join(names.select("dir", F.col("_w").alias("_piece")).distinct(), ["dir", "_piece"], "left_semi")
+    inside = smallest(pieces).join(names.withColumnRenamed("_w", "_piece"), ["dir", "_piece"])
+    whole = smallest(entries.select("dir", "entry", F.col("_e").alias("_piece")))
+    lengths = F.sequence(F.lit(0), F.length("_w"))
+    around = names.select("dir", "base", F.explode(_pieces(F.col("_w"), lengths)).alias("_piece")).hint("merge").join(whole, ["dir", "_piece"])
     first = Window.partitionBy("dir", "base").orderBy("entry")
     return (
         inside.select("dir", "base", "entry")
@@ -218,16 +234,16 @@ def directory_tree(paths: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
 def tree_preview(paths: DataFrame, n: int = 50) -> DataFrame:
     """At most ``n`` nodes breadth-first, taking siblings of all parents in turn.
 
-    Returns (path, depth, position, truncated): ``truncated`` counts children
-    left out. Above the deepest level shown there are at most ``n`` nodes, and a
-    sibling ranked beyond ``n`` can never be shown, so each level is a bounded
-    rank and a top-n.
+    Returns (path, depth, position, truncated): ``truncated`` counts children left out.
+    The order of all nodes is one sort key: depth, rank among the siblings, and the ranks
+    of the nodes above. A sibling ranked beyond ``n`` is never shown, nor is a level with
+    ``n`` nodes above it; so under ``n`` nodes with at most ``n`` children each get a key.
     """
     parts = F.split("path", "/")
     depth = F.size(parts)
+    prefix = lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/")
     level_paths = F.transform(
-        F.sequence(F.lit(1), depth),
-        lambda d: F.struct(F.array_join(F.slice(parts, F.lit(1), d), "/").alias("path"), d.alias("depth"), (d < depth).alias("dir")),
+        F.sequence(F.lit(1), depth), lambda d: F.struct(prefix(d).alias("path"), d.alias("depth"), (d < depth).alias("dir"))
     )
     nodes = (
         paths.select(F.explode(level_paths).alias("n"))
@@ -235,48 +251,27 @@ def tree_preview(paths: DataFrame, n: int = 50) -> DataFrame:
         .agg(F.bool_or("n.dir").alias("is_dir"))
         .withColumn("parent", F.when(F.col("depth") > 1, F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)).otherwise(""))
     )
-    children = nodes.groupBy("parent").agg(F.count("*").alias("children"))
+    children = nodes.groupBy("parent").agg(F.count("*").alias("children")).withColumnRenamed("parent", "path")
     rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("is_dir"), "path"))
     ranked = nodes.withColumn("rank", rank).where(F.col("rank") <= n)
-    spark = paths.sparkSession
-    shown: list[tuple] = []
-    parents = [("", "")]
-    level = 0
-    while parents and len(shown) < n:
-        level += 1
-        above = spark.createDataFrame(parents, "parent string, above string")
-        top = (
-            ranked.where(F.col("depth") == level)
-            .join(above, "parent")
-            .orderBy("rank", "above")
-            .limit(n - len(shown))
-            .select("path", "parent", "is_dir", "rank", "above")
-            .collect()
-        )
-        if not top:
-            break
-        start = len(shown)
-        shown += [(r["path"], level, start + i + 1, r["parent"]) for i, r in enumerate(top)]
-        last_parents, parents = parents, [(r["path"], r["above"] + f"{r['rank']:09d}") for r in top if r["is_dir"]]
-    if len(shown) < n or not shown:
-        open_nodes = []
-    else:
-        open_nodes = [p for p, _ in (*last_parents, *parents)]
-    shown_df = spark.createDataFrame(shown, "path string, depth int, position int, parent string")
-    here = shown_df.groupBy("parent").agg(F.count("*").alias("seen")).withColumnRenamed("parent", "path")
-    cut = (
-        spark.createDataFrame([(p,) for p in open_nodes], "path string")
-        .join(children.withColumnRenamed("parent", "path"), "path")
-        .join(here, "path", "left")
-        .select("path", (F.col("children") - F.coalesce("seen", F.lit(0))).alias("cut"))
-    )
-    root = spark.createDataFrame([("", 0, 0)], "path string, depth int, position int")
-    return (
-        shown_df.select("path", "depth", "position")
-        .unionByName(root)
-        .join(cut, "path", "left")
-        .select("path", "depth", "position", F.coalesce("cut", F.lit(0)).cast("long").alias("truncated"))
-    )
+    # One row per level.
+    before = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    levels = ranked.groupBy("depth").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    near = ranked.join(levels.where(F.col("_before") < n).select("depth"), "depth")
+    above = near.where("depth > 1").select("path", F.explode(F.transform(F.sequence(F.lit(1), depth - 1), prefix)).alias("_above"))
+    ranks = near.select(F.col("path").alias("_above"), F.struct(F.col("depth").alias("d"), F.col("rank").alias("r")).alias("_rank"))
+    vectors = above.join(ranks, "_above").groupBy("path").agg(F.sort_array(F.collect_list("_rank")).alias("_ranks"))
+    placed = near.join(vectors, "path", "left").where((F.col("depth") == 1) | (F.size("_ranks") == F.col("depth") - 1))
+    shown = placed.select("path", "depth", "parent", F.struct("depth", "rank", F.col("_ranks.r").alias("above")).alias("_key")).orderBy("_key").limit(n)
+    # From here on there are at most n rows.
+    shown = shown.withColumn("position", F.row_number().over(Window.orderBy("_key"))).drop("_key")
+    last = shown.agg(F.max("depth").alias("_last"), F.count("*").alias("_shown"))
+    seen = shown.groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("seen"))
+    root = shown.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(0).alias("position"))
+    listed = shown.select("path", "depth", "position").unionByName(root).join(children, "path", "left").join(seen, "path", "left").join(F.broadcast(last))
+    is_open = (F.col("_shown") == n) & (F.col("depth") >= F.col("_last") - 1)
+    cut = F.coalesce("children", F.lit(0)) - F.coalesce("seen", F.lit(0))
+    return listed.select("path", "depth", "position", F.when(is_open, cut).otherwise(0).cast("long").alias("truncated"))
 
 
 # -- slicing -------------------------------------------------------------------------

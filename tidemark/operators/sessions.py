@@ -14,13 +14,6 @@ from tidemark.session import checkpointed
 
 DAY_MS = 86_400_000
 FOUR_HOURS_MS = 14_400_000
-IDS_PER_BLOCK = 1 << 20
-IDS_PER_OWNER = 1000
-
-
-def id_block(column: str = "id", width: int = IDS_PER_BLOCK) -> Column:
-    """Block of a whole-number id; pass another expression for other ids."""
-    return F.floor(F.col(column) / width)
 
 
 def cutoff_ms(now_ms: int, days: int | None) -> int:
@@ -70,11 +63,11 @@ def recent_root_sessions(sessions: DataFrame, n: int) -> DataFrame:
     return sessions.where(F.col("parent_id").isNull()).orderBy(F.desc("updated"), F.desc("id")).limit(n)
 
 
-def recent_or_top(sessions: DataFrame, now_ms: int, n: int, block: Column | None = None) -> DataFrame:
+def recent_or_top(sessions: DataFrame, now_ms: int, n: int) -> DataFrame:
     """Per directory: the first ``n`` live roots by id, and any touched in the last four hours."""
     rows = sessions.where(F.col("archived").isNull() & F.col("parent_id").isNull())
     totals = rows.groupBy("directory").agg(F.count("*").alias("total"))
-    ranked = ordinal(rows, ["directory"], ["id"], id_block() if block is None else block)
+    ranked = ordinal(rows, ["directory"], ["id"])
     fresh = F.coalesce("updated", "created") > now_ms - FOUR_HOURS_MS
     return ranked.where((F.col("position") <= n) | fresh).drop("position").join(totals, "directory")
 
@@ -112,54 +105,37 @@ def cascade_delete(
     )
 
 
-def numbered_id(owner: Column, position: Column) -> Column:
-    """Ids ``owner * 1000 + position - 1``; more than fit stop the job instead of colliding."""
-    fits = position <= IDS_PER_OWNER
-    return F.when(fits, owner * IDS_PER_OWNER + position - 1).otherwise(
-        F.raise_error(F.lit("more ids than numbered_id can give; pass another new_id")).cast("long")
-    )
+def derived_id(owner: Column, source: Column) -> Column:
+    """The id of a copy, from its new owner and the id it is a copy of; ids of one owner keep their order."""
+    return F.concat(owner.cast("string"), F.lit("-"), F.lpad(source.cast("string"), 20, "0"))
 
 
-def fork_messages(
-    messages: DataFrame,
-    points: DataFrame,
-    block: Column | None = None,
-    new_id: Callable[[Column, Column], Column] = numbered_id,
-) -> DataFrame:
+def fork_messages(messages: DataFrame, points: DataFrame, new_id: Callable[[Column, Column], Column] = derived_id) -> DataFrame:
     """Copies of the messages before each fork point, with new ids and remapped parents.
 
     ``points`` has (session_id, new_session_id, at); a null ``at`` copies all.
-    ``source_id`` keeps the old id, ``new_id(owner, position)`` makes the new one.
+    ``source_id`` keeps the old id, ``new_id(owner, source)`` makes the new one. A parent
+    that is copied too is named by its new id, any other by its old one.
     """
-    prefix = messages.join(points, "session_id").where(F.col("at").isNull() | (F.col("id") < F.col("at")))
-    numbered = ordinal(prefix, ["new_session_id"], ["id"], id_block() if block is None else block)
-    copies = numbered.withColumn("_new", new_id(F.col("new_session_id"), F.col("position")))
-    parents = copies.select("new_session_id", F.col("id").alias("parent_id"), F.col("_new").alias("_new_parent"))
+    copies = messages.join(points, "session_id").where(F.col("at").isNull() | (F.col("id") < F.col("at")))
+    parents = copies.select("new_session_id", F.col("id").alias("parent_id"), F.lit(True).alias("_copied"))
     rest = [c for c in messages.columns if c not in ("id", "session_id", "parent_id")]
+    new = new_id(F.col("new_session_id"), F.col("id"))
+    kind = copies.select(new.alias("id")).schema["id"].dataType
+    parent = F.when(F.col("_copied"), new_id(F.col("new_session_id"), F.col("parent_id"))).otherwise(F.col("parent_id").cast(kind))
     return copies.join(parents, ["new_session_id", "parent_id"], "left").select(
-        F.col("_new").alias("id"),
-        F.col("new_session_id").alias("session_id"),
-        F.when(F.col("parent_id").isNotNull(), F.coalesce("_new_parent", "parent_id")).alias("parent_id"),
-        F.col("id").alias("source_id"),
-        *rest,
+        new.alias("id"), F.col("new_session_id").alias("session_id"), parent.alias("parent_id"), F.col("id").alias("source_id"), *rest
     )
 
 
-def fork_parts(
-    parts: DataFrame,
-    forked: DataFrame,
-    block: Column | None = None,
-    new_id: Callable[[Column, Column], Column] = numbered_id,
-) -> DataFrame:
+def fork_parts(parts: DataFrame, forked: DataFrame, new_id: Callable[[Column, Column], Column] = derived_id) -> DataFrame:
     """Copies of the parts of forked messages."""
     target = forked.select(
         F.col("source_id").alias("message_id"), F.col("id").alias("_message"), F.col("session_id").alias("_session")
     )
-    rows = parts.join(target, "message_id")
-    numbered = ordinal(rows, ["_message"], ["id"], id_block() if block is None else block)
     rest = [c for c in parts.columns if c not in ("id", "message_id", "session_id")]
-    return numbered.select(
-        new_id(F.col("_message"), F.col("position")).alias("id"),
+    return parts.join(target, "message_id").select(
+        new_id(F.col("_message"), F.col("id")).alias("id"),
         F.col("_message").alias("message_id"),
         F.col("_session").alias("session_id"),
         F.col("id").alias("source_id"),
@@ -170,14 +146,10 @@ def fork_parts(
 # -- bundles -----------------------------------------------------------------------
 
 
-def messages_with_parts(
-    messages: DataFrame, parts: DataFrame, size: int = 1000, block: Column | None = None
-) -> DataFrame:
+def messages_with_parts(messages: DataFrame, parts: DataFrame, size: int = 1000) -> DataFrame:
     """Messages with their parts in id order: one row each, more for a message of over ``size`` parts."""
     fields = [c for c in parts.columns if c not in ("message_id", "session_id")]
-    lists = chunked_lists(
-        parts, ["message_id"], ["id"], fields, size, id_block() if block is None else block, "parts"
-    ).withColumnRenamed("chunk", "part_chunk")
+    lists = chunked_lists(parts, ["message_id"], ["id"], fields, size, "parts").withColumnRenamed("chunk", "part_chunk")
     joined = messages.join(lists.withColumnRenamed("message_id", "id"), "id", "left")
     empty = F.array().cast(lists.schema["parts"].dataType)
     return joined.withColumns(
@@ -189,7 +161,7 @@ def export_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame,
     """Sessions as JSON bundles (session_id, chunk, bundle) of up to ``size`` messages."""
     full = messages_with_parts(messages, parts)
     fields = [c for c in full.columns if c != "session_id"]
-    lists = chunked_lists(full, ["session_id"], ["id", "part_chunk"], fields, size, id_block(), "messages")
+    lists = chunked_lists(full, ["session_id"], ["id", "part_chunk"], fields, size, "messages")
     info = sessions.select(F.col("id").alias("session_id"), F.struct(*sessions.columns).alias("info"))
     joined = info.join(lists, "session_id", "left")
     return joined.select(

@@ -118,16 +118,20 @@ def account_workspaces(users: DataFrame, workspaces: DataFrame, subscriptions: D
 def available_models(models: DataFrame, workspaces: DataFrame, disabled: DataFrame) -> DataFrame:
     """The catalogue per workspace without the models it has switched off.
 
-    The catalogue is packed into one array column, so there is no join between
-    models and workspaces; the disabled rows are then removed by key.
+    The catalogue is configuration: it becomes one row with one array. Its rows per
+    workspace are the result itself; for a list of pairs see :func:`model_available`.
     """
-    catalogue = [r[0] for r in models.select("model").distinct().limit(10_001).collect()]
-    if len(catalogue) > 10_000:
-        raise ValueError("a model catalogue has at most 10 000 entries")
-    offered = F.array(*[F.lit(m) for m in sorted(catalogue)])
-    return workspaces.select("workspace_id", F.explode(offered).alias("model")).join(
-        filter_live(disabled).select("workspace_id", "model"), ["workspace_id", "model"], "left_anti"
-    )
+    catalogue = models.agg(F.array_sort(F.collect_set("model")).alias("_offered"))
+    off = filter_live(disabled).groupBy("workspace_id").agg(F.collect_set("model").alias("_off"))
+    offered = workspaces.select("workspace_id").join(off, "workspace_id", "left").join(F.broadcast(catalogue))  # one row
+    left = F.array_except("_offered", F.coalesce("_off", F.array().cast("array<string>")))
+    return offered.select("workspace_id", F.explode(left).alias("model"))
+
+
+def model_available(asked: DataFrame, models: DataFrame, disabled: DataFrame) -> DataFrame:
+    """The (workspace_id, model) pairs of ``asked`` that are in the catalogue and not switched off."""
+    known = asked.join(models.select("model").distinct(), "model", "left_semi")
+    return known.join(filter_live(disabled).select("workspace_id", "model"), ["workspace_id", "model"], "left_anti")
 
 
 def last_seen_workspace(users: DataFrame, workspaces: DataFrame) -> DataFrame:

@@ -51,13 +51,17 @@ _EXTENSIONS = "['.zip', '.txt', '.PYC', '.md', '.so', '']"
 
 @query(
     "filter_binary_files",
-    f"""SELECT path FROM (SELECT path || {_EXTENSIONS}[doc_id % 6 + 1] AS path FROM v_corpus)
-        WHERE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) NOT IN ('.zip', '.pyc', '.so')""",
+    f"""SELECT path FROM (SELECT path || {_EXTENSIONS}[doc_id % 6 + 1] AS path, doc_id, strlen(text) AS n FROM v_corpus)
+        WHERE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) NOT IN ('.zip', '.pyc', '.so')
+          AND NOT CASE doc_id % 5 WHEN 0 THEN n < 4096 WHEN 1 THEN 100 > 0.3 * least(n + 100, 4096) ELSE false END""",
 )
 def _(v: Views):
     extensions = F.array(*[F.lit(e) for e in (".zip", ".txt", ".PYC", ".md", ".so", "")])
-    paths = v.corpus().select(F.concat("path", F.get(extensions, (F.col("doc_id") % 6).cast("int"))).alias("path"))
-    return C.filter_binary_files(paths)
+    named = F.concat("path", F.get(extensions, (F.col("doc_id") % 6).cast("int")))
+    # Some texts end in a zero byte, some begin with control characters.
+    k = F.col("doc_id") % 5
+    content = F.when(k == 0, F.concat("text", F.lit("\0"))).when(k == 1, F.concat(F.lit("\x02" * 100), "text")).otherwise(F.col("text"))
+    return C.filter_binary_files(v.corpus().select(named.alias("path"), content.cast("binary").alias("content")), "content").select("path")
 
 
 @query("glob", "SELECT path, mtime FROM v_corpus WHERE regexp_full_match(path, 'src[1-9]/(.*/)?[^/]*7\\.txt') ORDER BY mtime DESC, path LIMIT 100")
@@ -346,7 +350,7 @@ _CONFIG = """
 
 @query("rules_from_config", f"WITH {_CONFIG} SELECT source, CAST(pos AS BIGINT) AS pos, permission, pattern, action FROM config")
 def _(v: Views):
-    return _config_rules(v)
+    return _config_rules(v).withColumn("pos", F.col("pos.i") * 1048576 + F.col("pos.j").cast("long"))
 
 
 @query(
@@ -355,8 +359,12 @@ def _(v: Views):
         UNION ALL SELECT 1099511627776 + source * 2097152 + pos, permission, pattern, action FROM config""",
 )
 def _(v: Views):
-    own = rules(v).withColumnRenamed("idx", "pos")
-    return R.merge_rulesets(own, _config_rules(v).withColumn("pos", F.col("source") * 2097152 + F.col("pos")))
+    at = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    own = rules(v).withColumn("pos", at(F.col("idx"), F.lit(0)))
+    config = _config_rules(v).withColumn("pos", at(F.col("source"), F.col("pos.i") * 1048576 + F.col("pos.j")))
+    merged = R.merge_rulesets(own, config)
+    idx = F.col("idx.ruleset").cast("long") * 1099511627776 + F.when(F.col("idx.ruleset") == 0, F.col("idx.pos.a")).otherwise(F.col("idx.pos.a") * 2097152 + F.col("idx.pos.b"))
+    return merged.select(idx.alias("idx"), "permission", "pattern", "action")
 
 
 @query(
@@ -411,7 +419,7 @@ def _(v: Views):
         F.concat(F.lit("*"), F.right("url", F.lit(4))).alias("pattern"),
         F.lit("allow").alias("action"),
     )
-    return R.evaluate_rules(_requests(v), hosts.unionByName(tails), inline=False)
+    return R.evaluate_rules(_requests(v), hosts.unionByName(tails))
 
 
 @query(
@@ -459,7 +467,7 @@ def _(v: Views):
 @query("specific_pattern_long", _SPECIFIC)
 def _(v: Views):
     patterns = v.spark.createDataFrame(PATTERNS, "pattern string, value string")
-    return R.specific_pattern(v.table("pages").select("page_id", F.col("url").alias("text")), patterns, inline=False)
+    return R.specific_pattern(v.table("pages").select("page_id", F.col("url").alias("text")), patterns)
 
 
 _COMMANDS = ["git checkout", "docker compose up", "aws s3 ls", "npm run dev", "touch", "git remote add"]

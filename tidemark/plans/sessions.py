@@ -119,7 +119,7 @@ def _fork_points(v: Views):
 
 _FORK = """
     points AS (SELECT session_id, max(id) AS at, session_id + 1000000 AS new_session_id FROM v_messages WHERE role = 'user' GROUP BY 1),
-    copies AS (SELECT m.*, p.new_session_id, p.new_session_id * 1000 + row_number() OVER (PARTITION BY m.session_id ORDER BY m.id) - 1 AS new_id
+    copies AS (SELECT m.*, p.new_session_id, p.new_session_id || '-' || lpad(CAST(m.id AS VARCHAR), 20, '0') AS new_id
                FROM v_messages m JOIN points p ON p.session_id = m.session_id AND m.id < p.at)"""
 
 
@@ -134,7 +134,7 @@ def _(v: Views):
 
 @query(
     "fork_parts",
-    f"""WITH {_FORK} SELECT c.new_id * 1000 + row_number() OVER (PARTITION BY p.message_id ORDER BY p.id) - 1 AS id,
+    f"""WITH {_FORK} SELECT c.new_id || '-' || lpad(CAST(p.id AS VARCHAR), 20, '0') AS id,
           c.new_id AS message_id, c.new_session_id AS session_id, p.id AS source_id, p.type
         FROM copies c JOIN v_parts p ON p.message_id = c.id""",
 )
