@@ -121,7 +121,7 @@ def _placed(scattered: DataFrame, bases: DataFrame, shards: int, law: str, seed:
     return scattered.groupBy("bucket").cogroup(bases.groupBy("bucket")).applyInArrow(shuffle, schema)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, law: str = "rows", seed: int = 13, bucket_bytes: int = 64 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, law: str = "rows", seed: int = 13, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Write ``docs`` as Parquet to ``path``/shard=0 .. and return what was written.
 
     The columns are those of ``docs``, and ``size`` (bytes of the text, and one),
