@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, flat_bytes, id_key, released, row_slices, stored
 
 #: Bytes of text that a Python worker handles at once, or one document.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -61,7 +61,7 @@ def stretch_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: i
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     if base not in _powers or len(_powers[base][0]) < n:
-        size, b = max(n, 1 << 20), _BASES[base]
+        size, b = max(n, 1 << 19), _BASES[base]
         one = np.ones(1, np.uint64)
         both = (np.full(size - 1, v, np.uint64) for v in (b, pow(b, -1, 1 << 64)))
         _powers[base] = tuple(np.cumprod(np.concatenate([one, v])) for v in both)
