@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -382,6 +384,17 @@ def word_encoder(path: str, most: int = 200_000) -> Callable[[pa.Array], tuple[n
     return encode
 
 
+def kept_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """The word encoder of this worker process for ``path``, with the words it knows: workers run many tasks.
+
+    Functions reach a worker by value, so what shall outlive a task is kept in a module of the process.
+    """
+    kept = vars(sys.modules.setdefault("tidemark_kept_encoders", types.ModuleType("tidemark_kept_encoders")))
+    if path not in kept:
+        kept[path] = word_encoder(path)
+    return kept[path]
+
+
 _BLOCKS = "part int, block int, n_docs int, n_tokens long, payload binary"
 
 
@@ -389,7 +402,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
     """Blocks of all documents: ``part`` and ``block`` give their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = kept_encoder(tokenizer)
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = block = 0
@@ -423,7 +436,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
             yield flush()
 
     keyed = docs.select(id_key("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
-    ordered = keyed.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    order = [F.col("key"), F.xxhash64("text")]  # rows of one id spread too
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, _BLOCKS)
 
 
