@@ -48,17 +48,20 @@ def learn(docs: DataFrame, per_lang: int = 64, row_bytes: int = 500) -> dict[str
     Reaches the driver with about ``per_lang`` rows a language, however large the table is.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.rows for r in labelled.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
-    if not counts:
-        return {}
-    rows = F.create_map(*[F.lit(v) for pair in counts.items() for v in pair])[F.col("lang")]
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**40)) / float(2**40)
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - row_bytes)).cast("int") + 1
+    # Id and text together: rows without an id, or with one that repeats, are drawn like any other.
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(2**40)) / float(2**40)
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - row_bytes)).cast("int") + 1
     piece = F.substring("text", start, F.lit(row_bytes))
-    picked = labelled.where(chance * rows < per_lang).select("lang", piece.alias("text"))
+    labelled = labelled.select("lang", piece.alias("text"), chance.alias("chance"))
+    # The row with the smallest chance is always taken, so that every language has one.
+    seen = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.min_by("text", "chance").alias("text")).collect()
+    if not seen:
+        return {}
+    rows = F.create_map(*[F.lit(v) for r in seen for v in (r.lang, r.rows)])[F.col("lang")]
+    picked = labelled.where(F.col("chance") * rows < per_lang).select("lang", "text").distinct()
     samples: dict[str, list[bytes]] = {}
-    for row in picked.orderBy("lang", "text").collect():
-        samples.setdefault(row.lang, []).append(letters_only(pa.array([row.text]))[0].as_py().encode()[:row_bytes])
+    for lang, text in sorted({*[(r.lang, r.text) for r in picked.collect()], *[(r.lang, r.text) for r in seen]}):
+        samples.setdefault(lang, []).append(letters_only(pa.array([text]))[0].as_py().encode()[:row_bytes])
     return {lang: b"\n".join(texts) for lang, texts in sorted(samples.items())}
 
 
@@ -104,7 +107,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = 5, piece_byte
 
 def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.0) -> DataFrame:
     """``docs`` of an accepted language: not ``und``, and the score reaches ``margin``. Same columns."""
-    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = predict(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin))
     return found.select("row.*")
 
