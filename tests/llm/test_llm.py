@@ -102,6 +102,9 @@ def test_line_dedup(docs, texts):
         for k in range(len(rows) - 2):
             if seen.setdefault(tuple(rows[k : k + 3]), (i, k)) != (i, k):
                 dead |= {k, k + 1, k + 2}
+        for k, line in enumerate(rows):
+            if len(line.encode()) >= 60 and seen.setdefault(line, (i, k)) != (i, k):
+                dead.add(k)
         kept = None if t is None else "\n".join(r for k, r in enumerate(rows) if k not in dead)
         want.append((i, kept, len(rows), len(dead)))
     got = lines.dedup_lines(documents(docs.sparkSession, more))
@@ -174,6 +177,26 @@ def test_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(group) | {900}
 
 
+def test_near_copies_among_texts_with_a_common_half(spark):
+    """Pairs at 0.825 among many texts that share so much that they are at 0.776 to each other: every pair is found."""
+    rng = random.Random(10)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = say(350)
+    rows = []
+    for k in range(80):
+        own = say(50)
+        rows += [(2 * k, " ".join(common + own), "en", "s"), (2 * k + 1, " ".join(common + own[:13] + say(37)), "en", "s")]
+    sets_of = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    like = lambda a, b: len(sets_of[a] & sets_of[b]) / len(sets_of[a] | sets_of[b])
+    assert like(0, 1) > 0.8 > like(0, 2)
+    kept = nearcopies.keep_first(documents(spark, rows).withColumn("a.b", F.lit(1)))
+    assert {r.doc_id for r in kept.collect()} == {2 * k for k in range(80)} and "a.b" in kept.columns
+
+
+def test_near_copies_of_no_rows(spark):
+    assert nearcopies.keep_first(documents(spark, [])).collect() == []
+
+
 def test_null_and_repeated_ids_keep_their_texts(spark):
     say = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
     rows = [(None, say(k), "en", "s") for k in range(4)] + [(3, say(k), "en", "s") for k in range(3, 7)] + [(3, say(5), "en", "s")]
@@ -183,6 +206,12 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
         assert kept.where("doc_id IS NULL").count() == 4
 
 
+def test_languages_of_rows_without_ids(spark):
+    rows = [(None, "der die und den", "de", None)] * 300 + [(None, "the of and to", "en", None)] * 300
+    model = langid.learn(documents(spark, rows))
+    assert {k: v.split() for k, v in model.items()} == {"de": b"der die und den".split(), "en": b"the of and to".split()}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(100, 101), (5, 5)], "a long, b long"))
     assert {r.root for r in components.components(edges).collect()} == {0, 100}

@@ -174,7 +174,7 @@ def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame, partial: bool = False, **options) -> DataFrame:
     """``docs`` without those that leak an item (with ``partial`` by ``partial_leaks``). Same columns."""
     bad = (partial_leaks if partial else leaks)(docs.select("doc_id", "text"), items.select("item_id", "text"), **options).select("key", "row").distinct()
-    own = docs.select(F.struct(*docs.columns).alias("r"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     same = (id_key(F.col("r.doc_id")) == bad["key"]) & (F.xxhash64("r.text") == bad["row"])
     return own.join(bad, same, "left_anti").select("r.*")
 

@@ -157,9 +157,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """``docs`` with one row of each ``root`` in ``grouped`` (``key``, ``row``: hash of the text, ``root``): the first by id and text hash."""
     firsts = grouped.groupBy("root").agg(F.min(F.struct("key", "row")).alias("at")).select("at.key", "at.row").distinct()
-    keyed = docs.select(id_key("doc_id").alias("key"), F.xxhash64("text").alias("row"), F.struct(*docs.columns).alias("r"))
+    keyed = docs.select(id_key("doc_id").alias("key"), F.xxhash64("text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     keyed = keyed.join(firsts.hint("merge"), ["key", "row"], "left_semi")
-    return keyed.groupBy("key", "row").agg(F.first("r").alias("r")).select("r.*")
+    # Of equal rows with different other columns always the same one stays.
+    hashed = F.xxhash64(*[F.col("r")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    return keyed.groupBy("key", "row").agg(F.min_by("r", hashed).alias("r")).select("r.*")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
