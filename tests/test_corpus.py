@@ -189,10 +189,6 @@ def test_html(spark):
     )
     pages = spark.createDataFrame([(1, "https://x", html)], "page_id long, url string, html string")
     assert P.pages_to_text(pages).first()["text"] == "THead xText &amp; boldonetwodeepa\n  blink"
-    markdown = P.pages_to_markdown(pages).first()["markdown"]
-    assert "# Head *x*" in markdown and "Text & **bold**" in markdown and "-   one\n-   two\n    -   deep" in markdown
-    assert "```\na\n  b\n```" in markdown and "[link](/u)" in markdown and markdown.endswith("---") and "no" not in markdown
-    assert P.to_markdown("<p>open <b>never closed") == "open **never closed"
 
 
 # -- blocks ----------------------------------------------------------------------

@@ -207,5 +207,6 @@ def test_cancel_reverts_is_the_sequential_fold(spark):
                 del seen[wrapped]
             else:
                 seen[title] = i
-    got = project.cancel_reverts(spark.createDataFrame(commits, "seq long, title string"))
-    assert sorted(r.seq for r in got.collect()) == sorted(seen.values())
+    for size in (3, 256):
+        got = project.cancel_reverts(spark.createDataFrame(commits, "seq long, title string"), size)
+        assert sorted(r.seq for r in got.collect()) == sorted(seen.values())

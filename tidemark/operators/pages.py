@@ -1,12 +1,7 @@
-"""Web pages as text and as markdown."""
+"""Web pages as text."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,120 +34,3 @@ def html_text(html: Column) -> Column:
 
 def pages_to_text(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", html_text(F.col("html"))).drop("html")
-
-
-class _Markdown(HTMLParser):
-    """Markdown of one page: headings, lists, rules, code, emphasis, links, images."""
-
-    dropped = ("script", "style", "meta", "link", "title")
-    blocks = ("p", "div", "section", "article", "header", "footer", "nav", "main", "table", "tr", "ul", "ol", "form", "body")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip = 0
-        self.lists: list[list] = []
-        self.links: list[str | None] = []
-        self.code = False
-
-    def _gap(self, lines: int = 2) -> None:
-        text = "".join(self.out[-3:])
-        have = len(text) - len(text.rstrip("\n"))
-        if self.out and have < lines:
-            self.out.append("\n" * (lines - have))
-
-    def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        if tag in ("script", "style", "title"):
-            self.skip += 1
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self._gap()
-            self.out.append("#" * int(tag[1]) + " ")
-        elif tag in ("ul", "ol"):
-            self._gap(1 if self.lists else 2)
-            self.lists.append([tag, 0])
-        elif tag == "li":
-            self._gap(1)
-            kind = self.lists[-1] if self.lists else ["ul", 0]
-            kind[1] += 1
-            mark = "-   " if kind[0] == "ul" else f"{kind[1]}.  "
-            self.out.append("    " * max(len(self.lists) - 1, 0) + mark)
-        elif tag == "hr":
-            self._gap()
-            self.out.append("---\n\n")
-        elif tag == "br":
-            self.out.append("  \n")
-        elif tag in ("em", "i"):
-            self.out.append("*")
-        elif tag in ("strong", "b"):
-            self.out.append("**")
-        elif tag == "pre":
-            self._gap()
-            self.out.append("```\n")
-            self.code = True
-        elif tag == "code" and not self.code:
-            self.out.append("`")
-        elif tag == "blockquote":
-            self._gap()
-            self.out.append("> ")
-        elif tag == "a":
-            self.links.append(attrs.get("href"))
-            if attrs.get("href"):
-                self.out.append("[")
-        elif tag == "img" and attrs.get("src"):
-            self.out.append(f"![{attrs.get('alt') or ''}]({attrs['src']})")
-        elif tag in self.blocks:
-            self._gap()
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style", "title"):
-            self.skip = max(self.skip - 1, 0)
-        elif tag in ("em", "i"):
-            self.out.append("*")
-        elif tag in ("strong", "b"):
-            self.out.append("**")
-        elif tag == "pre":
-            self._gap(1)
-            self.out.append("```\n\n")
-            self.code = False
-        elif tag == "code" and not self.code:
-            self.out.append("`")
-        elif tag == "a" and self.links:
-            href = self.links.pop()
-            if href:
-                self.out.append(f"]({href})")
-        elif tag in ("ul", "ol"):
-            if self.lists:
-                self.lists.pop()
-            self._gap(1 if self.lists else 2)
-        elif tag in self.blocks or tag == "blockquote" or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self._gap()
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        if not self.code:
-            data = re.sub(r"\s+", " ", data)
-            if not self.out or self.out[-1].endswith("\n"):
-                data = data.lstrip()
-        self.out.append(data)
-
-
-def to_markdown(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _Markdown()
-    parser.feed(html)
-    parser.close()
-    return "".join(parser.out).strip()
-
-
-def pages_to_markdown(pages: DataFrame) -> DataFrame:
-    """(page_id, url, markdown). Malformed HTML needs a real parser, so this runs in Arrow batches."""
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["markdown"] = pdf["html"].map(to_markdown)
-            yield pdf[["page_id", "url", "markdown"]]
-
-    return pages.select("page_id", "url", "html").mapInPandas(convert, "page_id long, url string, markdown string")

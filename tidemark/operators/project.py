@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import neighbours
+from tidemark.operators.ordered import neighbours, ordinal
+from tidemark.session import checkpointed
 
 # Fixed values.
 NOISE = r"(?i)\A(ignore:|test:|chore:|ci:|release:)"
@@ -65,39 +66,56 @@ def filter_commits(commits: DataFrame, areas: tuple[tuple[str, str], ...]) -> Da
     )
 
 
-def cancel_reverts(commits: DataFrame) -> DataFrame:
+def cancel_reverts(commits: DataFrame, size: int = 256) -> DataFrame:
     """Commits left after each ``Revert "…"`` has cancelled what it names, or the other way round.
 
-    Commits are grouped by the title inside all the wrappers. A title without
-    wrappers keeps its last commit. For the others, in a stretch of commits of
-    one wrapping depth only the first and the last can matter, so just the ends
-    of stretches are folded: a title used again and again shrinks to a few rows.
+    Commits are grouped by the title inside all the wrappers. A title without wrappers
+    keeps its last commit. Of the others, ``size`` commits in a row become one effect: for
+    every set of wrapping depths that may be open before them, which commits are open
+    afterwards. Effects compose, so ``size`` of them in a row become one, and so on until
+    a title has a single one: no task sees a longer list, however often a title returns.
+    A title that occurs in k depths has effects for 2^k sets; k is 2 or 3 in practice.
     """
     wrappers = F.length(F.regexp_extract("title", r'\A((?:Revert ")*)', 1)) / 8
     quotes = F.length(F.regexp_extract("title", r'("*)\z', 1))
     depth = F.least(wrappers, quotes).cast("int")
     base = F.substring(F.col("title"), 8 * F.col("depth") + 1, F.length("title") - 9 * F.col("depth"))
     rows = commits.withColumn("depth", depth).withColumn("base", base).select("base", "seq", "depth")
-    per_base = rows.groupBy("base").agg(F.max("depth").alias("deepest"), F.max("seq").alias("seq"))
+    per_base = rows.groupBy("base").agg(F.max("depth").alias("deepest"), F.max("seq").alias("seq"), F.sort_array(F.collect_set("depth")).alias("depths"))
     plain = per_base.where("deepest = 0").select("seq")
-    wrapped = rows.join(per_base.where("deepest > 0").select("base"), "base", "left_semi")
-    both = neighbours(wrapped, ["base"], ["seq"], F.col("depth"))
-    differs = lambda c: F.col(c).isNull() | (F.col(c) != F.col("depth"))
-    ends = both.where(differs("previous") | differs("next"))
+    wrapped = rows.join(per_base.where("deepest > 0").select("base", "depths"), "base")
 
-    def fold(seen: Column, commit: Column) -> Column:
+    def step(open_: Column, commit: Column) -> Column:
         other = F.when(commit["depth"] > 0, commit["depth"] - 1).otherwise(1)
-        kept = F.map_filter(seen, lambda k, s: k != commit["depth"])
-        return F.when(F.map_contains_key(seen, other), F.map_filter(seen, lambda k, s: k != other)).otherwise(
-            F.map_concat(kept, F.create_map(commit["depth"], commit["seq"]))
-        )
-
-    empty = F.create_map().cast("map<int,bigint>")
-    survivors = (
-        ends.groupBy("base")
-        .agg(F.aggregate(F.sort_array(F.collect_list(F.struct("seq", "depth"))), empty, fold).alias("_seen"))
-        .select(F.explode(F.map_values("_seen")).alias("seq"))
+        without = lambda d: F.filter(open_, lambda s: s["depth"] != d)
+        added = F.concat(without(commit["depth"]), F.array(F.struct(commit["depth"].alias("depth"), commit["seq"].cast("long").alias("seq"))))
+        return F.when(F.exists(open_, lambda s: s["depth"] == other), without(other)).otherwise(added)
+
+    # A commit that is open from before has no seq here.
+    before = lambda chosen: F.transform(
+        F.filter("depths", lambda d, i: F.call_function("shiftright", chosen, i).bitwiseAND(1) == 1),
+        lambda d: F.struct(d.alias("depth"), F.lit(None).cast("long").alias("seq")),
     )
+    subsets = F.sequence(F.lit(0), F.pow(F.lit(2), F.size("depths")).cast("int") - 1)
+    effect = F.transform(subsets, lambda chosen: F.aggregate("commits", before(chosen), step))
+    numbered = ordinal(wrapped, ["base"], ["seq"]).withColumn("block", F.floor((F.col("position") - 1) / size))
+    lists = numbered.groupBy("base", "depths", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "depth"))).alias("commits"))
+    effects = checkpointed(lists.select("base", "depths", "block", effect.alias("effect")))
+
+    def then(first: Column, second: Column) -> Column:
+        chosen = lambda open_: F.aggregate(
+            open_, F.lit(0), lambda m, s: m + F.call_function("shiftleft", F.lit(1), (F.array_position(F.col("depths"), s["depth"]) - 1).cast("int"))
+        )
+        seq_of = lambda open_, s: F.coalesce(s["seq"], F.get(F.filter(open_, lambda o: o["depth"] == s["depth"]), F.lit(0))["seq"])
+        named = lambda open_: F.transform(F.get(second["effect"], chosen(open_)), lambda s: F.struct(s["depth"].alias("depth"), seq_of(open_, s).alias("seq")))
+        return F.transform(first, named)
+
+    while not effects.where("block > 0").isEmpty():
+        rows = F.sort_array(F.collect_list(F.struct("block", "effect")))
+        together = effects.groupBy("base", "depths", F.floor(F.col("block") / size).alias("next")).agg(rows.alias("rows"))
+        composed = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.col("rows")[0]["effect"], then)
+        effects = checkpointed(together.select("base", "depths", F.col("next").alias("block"), composed.alias("effect")))
+    survivors = effects.select(F.explode(F.col("effect")[0]["seq"]).alias("seq"))
     return commits.join(survivors.unionByName(plain), "seq", "left_semi")
 
 

@@ -10,7 +10,6 @@ from tidemark.operators import pages as P
 from tidemark.operators import rules as R
 from tidemark.plans.registry import query
 from tidemark.plans.views import RULES, Views, _values
-from tidemark.session import spread
 
 LINES = "string_split(text, chr(10))"
 PATTERN = "tion[,.]"
@@ -309,11 +308,6 @@ def _(v: Views):
     return P.pages_to_text(v.table("pages")).select("page_id", F.md5("text").alias("digest"))
 
 
-@query("pages_to_markdown")
-def _(v: Views):
-    return P.pages_to_markdown(v.table("pages"))
-
-
 @query("page_size_filter", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://') AND strlen(html) <= 6000")
 def _(v: Views):
     return P.page_size_filter(v.table("pages"), 6000).select("page_id", "url")
@@ -486,21 +480,25 @@ def _(v: Views):
 
 # -- blocks ----------------------------------------------------------------------
 
-_HEAD = f"{LINES}[1:4]"
+# Blocks of two to five lines from anywhere in a document, shorter where it ends.
+_FROM = f"(doc_id * 7) % len({LINES})"
+_HEAD = f"{LINES}[{_FROM} + 1:{_FROM} + 2 + doc_id % 4]"
 _WINDOWS = f"""
     w AS (SELECT doc_id, m AS n_lines, CAST(i AS INTEGER) AS start_line, ls[i + 1:i + m] AS part
           FROM (SELECT doc_id, ls, m, unnest(range(0, greatest(len(ls) - m + 1, 0))) AS i
-                FROM (SELECT doc_id, {LINES} AS ls, unnest([1, 2, 3, 4]) AS m FROM documents)))"""
+                FROM (SELECT doc_id, {LINES} AS ls, unnest([1, 2, 3, 4, 5]) AS m FROM documents)))"""
 
 
 def _docs(v: Views):
-    return v.table("documents").select("doc_id", "text")
+    # One small file: dealt out, so that more than one task has work.
+    return v.table("documents").select("doc_id", "text").repartition("doc_id")
 
 
 def _blocks(v: Views, change):
-    """The first four lines of every document, changed by ``change(lines)``."""
-    head = F.slice(F.split("text", "\n"), 1, 4)
-    return spread(_docs(v)).select(F.col("doc_id").alias("block_id"), change(head).alias("find"))
+    """A stretch of lines of every document, changed by ``change(lines)``."""
+    lines = F.split("text", "\n")
+    block = F.slice(lines, (F.col("doc_id") * 7 % F.size(lines) + 1).cast("int"), (2 + F.col("doc_id") % 4).cast("int"))
+    return _docs(v).select(F.col("doc_id").alias("block_id"), change(block).alias("find"))
 
 
 @query(
@@ -588,19 +586,95 @@ def _(v: Views):
     return B.match_blocks_escaped(_docs(v), _blocks(v, lambda head: F.array_join(F.transform(head, lambda l: F.replace(l, F.lit("\\"), F.lit("\\\\"))), "\\n")))
 
 
-@query("apply_edits")
+_TRIMMED = lambda l: f"list_transform({l}, lambda x: trim(x, {SPACES}))"
+
+
+def _unescaped(text: str) -> str:
+    """Escapes as the characters they stand for, by nested replacements."""
+    out = f"replace({text}, '\\\\', chr(1))"
+    for escape, char in (("n", "chr(10)"), ("t", "chr(9)"), ("r", "chr(13)"), ("''", "''''"), ('"', "chr(34)"), ("`", "'`'"), ("$", "'$'")):
+        out = f"replace({out}, '\\{escape}', {char})"
+    return f"replace(replace({out}, '\\' || chr(10), chr(10)), chr(1), '\\')"
+
+
+def _dedented(ls: str) -> str:
+    solid = f"list_filter({ls}, lambda x: trim(x, {SPACES}) <> '')"
+    indent = f"list_min(list_transform({solid}, lambda x: length(x) - length(ltrim(x, {SPACES}))))"
+    return f"""CASE WHEN len({solid}) = 0 THEN array_to_string({ls}, chr(10)) ELSE
+        array_to_string(list_transform({ls}, lambda x: CASE WHEN trim(x, {SPACES}) = '' THEN x ELSE x[{indent} + 1:] END), chr(10)) END"""
+
+
+def _tier(tier: int, size: str, condition: str, extra: str = "true", first: int = 1) -> str:
+    """Windows ``w`` of ``size`` lines, as text ``part``, for which ``condition`` holds."""
+    return f"""SELECT edit_id, {tier} AS tier, i + {first} AS pos, part FROM (
+        SELECT *, ls[i + 1:i + m] AS w, array_to_string(ls[i + 1:i + m], chr(10)) AS part FROM (
+          SELECT *, {size} AS m, unnest(range(0, greatest(len(ls) - {size} + 1, 0))) AS i FROM f WHERE {extra} AND {size} > 0)) WHERE {condition}"""
+
+
+_QUOTED = f"regexp_replace(trim(find, {SPACES}), " + r"'([.*+?^${}()|\[\]\\])', '\\\1', 'g')"
+_EDIT_TIERS = f"""
+    e AS (SELECT *, {LINES}[1:2] AS head, {LINES}[1:3] AS three, {LINES}[1] AS first, doc_id % 9 AS k FROM documents),
+    f0 AS (SELECT doc_id AS edit_id, text, doc_id % 7 = 0 AS everywhere, '<edited>' AS repl, {LINES} AS ls, CASE k WHEN 0 THEN first
+             WHEN 1 THEN array_to_string(list_transform(head, lambda x: '  ' || x), chr(10)) WHEN 2 THEN replace(first, ' ', '   ')
+             WHEN 3 THEN array_to_string(head, '\\n') WHEN 4 THEN 'zzz not there' WHEN 5 THEN ' ' || first || chr(10)
+             WHEN 6 THEN array_to_string(list_transform(three, lambda x, i: CASE WHEN i = 2 THEN replace(x, 'e', 'a') ELSE x END), chr(10))
+             WHEN 7 THEN array_to_string(list_transform(three, lambda x, i: CASE WHEN i = 2 THEN '?' ELSE x END), chr(10)) ELSE '<edited>' END AS find FROM e),
+    f1 AS (SELECT *, string_split(find, chr(10)) AS raw, {_TRIMMED("ls")} AS tr, {_unescaped("find")} AS plain FROM f0),
+    f AS (SELECT *, len(raw) AS n, {_TRIMMED("CASE WHEN raw[-1] = '' THEN raw[1:len(raw) - 1] ELSE raw END")} AS wt FROM f1),
+    starts AS (SELECT *, list_position(tr[i + 3:], wt[-1]) + 2 AS size FROM (SELECT *, unnest(range(len(ls))) AS i FROM f WHERE n >= 3) WHERE tr[i + 1] = wt[1]),
+    ended AS (SELECT *, least(len(wt), size) - 2 AS middle FROM starts WHERE size > 2),
+    scored AS (SELECT *, count(*) OVER (PARTITION BY edit_id) AS several, CASE WHEN middle > 0 THEN
+          list_sum(list_transform(range(2, middle + 2), lambda j: CASE WHEN greatest(length(wt[j]), length(tr[i + j])) = 0 THEN 0
+            ELSE 1 - levenshtein(wt[j], tr[i + j]) / greatest(length(wt[j]), length(tr[i + j])) END)) / middle ELSE 1.0 END AS score FROM ended),
+    best AS (SELECT *, row_number() OVER (PARTITION BY edit_id ORDER BY score DESC, i) AS rank FROM scored),
+    loose AS (SELECT *, {_COLLAPSE("line")} AS flat, {_COLLAPSE("find")} AS wanted FROM (SELECT edit_id, find, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM f)),
+    c AS (
+      SELECT edit_id, 0 AS tier, 0 AS pos, find AS part FROM f
+      UNION ALL {_tier(1, "len(wt)", f"{_TRIMMED('w')} = wt")}
+      UNION ALL SELECT edit_id, 2, i, array_to_string(ls[i + 1:i + size], chr(10)) FROM best WHERE rank = 1 AND (several = 1 OR score >= 0.3)
+      UNION ALL SELECT edit_id, 3, i, CASE WHEN flat = wanted THEN line ELSE regexp_extract(line, regexp_replace({_QUOTED}, '\\s+', '\\\\s+', 'g')) END
+        FROM loose WHERE wanted <> '' AND contains(flat, wanted)
+      UNION ALL {_tier(3, "n", f"{_COLLAPSE('part')} = {_COLLAPSE('find')}", "n > 1", 1000000)}
+      UNION ALL {_tier(4, "n", f"{_dedented('w')} = {_dedented('raw')}")}
+      UNION ALL SELECT edit_id, 5, 0, plain FROM f WHERE contains(text, plain)
+      UNION ALL {_tier(5, "len(string_split(plain, chr(10)))", f"{_unescaped('part')} = plain")}
+      UNION ALL SELECT edit_id, 6, 0, trim(find, {SPACES}) FROM f WHERE trim(find, {SPACES}) <> find AND contains(text, trim(find, {SPACES}))
+      UNION ALL {_tier(6, "n", f"trim(part, {SPACES}) = trim(find, {SPACES})", f"trim(find, {SPACES}) <> find")}
+      UNION ALL SELECT edit_id, 7, i, array_to_string(ls[i + 1:i + size], chr(10)) FROM (
+        SELECT *, list_filter(range(2, len(wt)), lambda j: wt[j] <> '' OR tr[i + j] <> '') AS solid FROM ended WHERE size = len(wt))
+        WHERE len(solid) = 0 OR len(list_filter(solid, lambda j: wt[j] = tr[i + j])) * 2 >= len(solid)),
+    found AS (SELECT f.*, c.tier, c.pos, c.part, strpos(text, part) AS place, everywhere OR strpos(text[strpos(text, part) + 1:], part) = 0 AS usable
+              FROM f JOIN c USING (edit_id) WHERE part <> '' AND contains(text, part)),
+    used AS (SELECT edit_id, min(tier) AS tier,
+               arg_min(CASE WHEN everywhere THEN replace(text, part, repl) ELSE left(text, place - 1) || repl || substr(text, place + length(part)) END, tier * 10000000 + pos) AS edited
+             FROM found WHERE usable GROUP BY 1)"""
+
+
+@query(
+    "apply_edits",
+    f"""WITH {_EDIT_TIERS}
+        SELECT edit_id, edit_id AS doc_id, status, CASE WHEN status = 'ok' THEN ['exact', 'trimmed', 'anchored', 'spacing', 'indentation', 'escapes', 'boundary', 'context'][tier + 1] END AS tier,
+          md5(CASE WHEN status = 'ok' THEN edited ELSE text END) AS text
+        FROM (SELECT f.edit_id, f.text, u.edited, u.tier, CASE WHEN find = repl THEN 'same' WHEN u.edit_id IS NOT NULL THEN 'ok'
+                WHEN f.edit_id IN (SELECT edit_id FROM found) THEN 'multiple' ELSE 'not found' END AS status
+              FROM f LEFT JOIN used u ON u.edit_id = f.edit_id)""",
+)
 def _(v: Views):
-    docs = v.table("documents")
+    docs = _docs(v)
     lines = F.split("text", "\n")
-    head, first = F.slice(lines, 1, 2), F.element_at(lines, 1)
-    k = F.col("doc_id") % 6
+    head, three, first = F.slice(lines, 1, 2), F.slice(lines, 1, 3), F.element_at(lines, 1)
+    k = F.col("doc_id") % 9
+    other = lambda change: F.array_join(F.transform(three, lambda l, i: F.when(i == 1, change(l)).otherwise(l)), "\n")
     find = (
         F.when(k == 0, first)
         .when(k == 1, F.array_join(F.transform(head, lambda l: F.concat(F.lit("  "), l)), "\n"))
         .when(k == 2, F.replace(first, F.lit(" "), F.lit("   ")))
         .when(k == 3, F.array_join(head, "\\n"))
         .when(k == 4, "zzz not there")
-        .otherwise(F.concat(F.lit(" "), first, F.lit("\n")))
+        .when(k == 5, F.concat(F.lit(" "), first, F.lit("\n")))
+        .when(k == 6, other(lambda l: F.replace(l, F.lit("e"), F.lit("a"))))
+        .when(k == 7, other(lambda l: F.lit("?")))
+        .otherwise("<edited>")
     )
     edits = docs.select(
         F.col("doc_id").alias("edit_id"), "doc_id", find.alias("find"), F.lit("<edited>").alias("replace"), (F.col("doc_id") % 7 == 0).alias("all")

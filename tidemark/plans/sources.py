@@ -14,7 +14,7 @@ from tidemark.session import scratch_dir
 from tidemark.sources import corpus, entities, logs, requests, tables
 
 NAMES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations",
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,14 +57,3 @@ def checkpointed(df):
     if not context.getCheckpointDir():
         context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
-
-
-def spread(df):
-    """Rows of a scan dealt out to all cores when it comes in fewer partitions than there are.
-
-    For work that is heavy per row. A large input already has more partitions
-    than cores and is left alone. Not for plans with a shuffle, which Spark
-    would have to run to count their partitions.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
