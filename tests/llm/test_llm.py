@@ -79,6 +79,23 @@ def test_substring_dedup(docs, texts, hot, monkeypatch):
     assert rows_of(substring.remove_repeats(docs)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("method", [substring, suffixes])
+def test_repeats_among_rows_without_ids(spark, method, monkeypatch):
+    """Rows of one id never remove from each other, however many there are; each is matched by its own anchors."""
+    monkeypatch.setattr(method, "METHOD", dataclasses.replace(method.METHOD, hot=8))
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, other = say(60), say(70)
+    rows = [(None, f"{say(5)} {passage} {say(9)}", None, None) for _ in range(30)] + [(4, f"{say(9)} {other}", None, None)] * 3
+    rows += [(4, f"{other} {say(3)}", None, None), (7, f"{say(4)} {passage} {other}", None, None), (8, say(90), None, None)]
+    texts = [(-1 if i is None else i, t) for i, t, *_ in rows]
+    units, join = (WORD.findall, b" ".join) if method is substring else (list, bytes)
+    want = [(None if i < 0 else i, n, gone) for i, n, gone, *_ in brute_repeats(texts, units, join)]
+    got = method.remove_repeats(documents(spark, rows).repartition(3))
+    assert sorted(((r[0], r[1], r[2]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert max(gone for *_, gone in want) >= 130
+
+
 def test_difference_cover():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 

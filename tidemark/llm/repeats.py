@@ -99,7 +99,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
 
 
 def anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
-    """``hash``, ``key``, ``at``: each anchor once for each document, with its first window."""
+    """``hash``, ``key``, ``row``, ``at``: each anchor once for each row, with its first window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, at in _slices(batches, "text"):
@@ -108,44 +108,56 @@ def anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
             row, first, mark = row[order], first[order], mark[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(mark[new]), pa.array(key[row[new]]), pa.array(first[new].astype(np.int32))], names=["hash", "key", "at"])
+            ids = [pa.array(batch.column(n).to_numpy(zero_copy_only=False)[row[new]]) for n in ("key", "row")]
+            yield pa.RecordBatch.from_arrays([pa.array(mark[new]), *ids, pa.array(first[new].astype(np.int32))], names=["hash", "key", "row", "at"])
 
-    return docs.select("key", "text").mapInArrow(run, "hash long, key long, at int")
+    return docs.select("key", "row", "text").mapInArrow(run, "hash long, key long, row long, at int")
 
 
 def shared_anchors(anchors: DataFrame, method: Method) -> DataFrame:
-    """``key``, ``hash``, ``a``, ``b``: the anchors that stand in several documents, with their bucket (hot: ``b`` is -1)."""
+    """``key``, ``row``, ``hash``, ``a``, ``b``: the anchors that stand in several documents, with their bucket (hot: ``b`` is -1)."""
 
-    def emit(h: np.ndarray, k: np.ndarray, at: np.ndarray, hot: bool = False) -> pa.RecordBatch:
+    def emit(h: np.ndarray, k: np.ndarray, r: np.ndarray, at: np.ndarray, hot: bool = False) -> pa.RecordBatch:
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(h)))
         a, b = np.repeat(k[start], count), np.repeat(at[start] // method.block, count)
-        keep = np.repeat(count > 1, count) | hot
+        other = new.copy()
+        other[1:] |= k[1:] != k[:-1]
+        keep = np.repeat(np.add.reduceat(other, start, dtype=np.int64) > 1, count) | hot
         many = np.repeat(count > method.hot, count) | hot
         a, b = np.where(many, h, a), np.where(many, -1, b)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, h, a, b.astype(np.int32))], names=["key", "hash", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, r, h, a, b.astype(np.int32))], names=["key", "row", "hash", "a", "b"])
+
+    def fresh(x: list[np.ndarray], before: tuple | None = None) -> list[np.ndarray]:
+        """Rows of one id and text come once."""
+        new = np.ones(len(x[0]), bool)
+        new[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])
+        if before is not None and len(new):
+            new[0] = before != (x[0][0], x[1][0], x[2][0])
+        return [v[new] for v in x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        known = None  # the hash, and the last id, of a hot group that goes on
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        known = None  # the hash, and the last id and row, of a hot group that goes on
         for batch in chain(batches, [None]):
             if batch is not None:
-                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
                 if known is not None:
                     more = int(np.searchsorted(new[0], known[0], side="right"))
                     front, new = [x[:more] for x in new], [x[more:] for x in new]
-                    fresh = front[1] != np.concatenate([[known[1]], front[1][:-1]])
-                    yield emit(*[x[fresh] for x in front], hot=True)
-                    known = (known[0], front[1][-1]) if more and not len(new[0]) else known if not more and not len(new[0]) else None
+                    if more:
+                        once = fresh(front, known)
+                        if len(once[0]):
+                            yield emit(*once, hot=True)
+                        known = (front[0][-1], front[1][-1], front[2][-1])
+                    if len(new[0]):
+                        known = None
                 rest = [np.concatenate([x, y]) for x, y in zip(rest, new)]
                 if not len(rest[0]):
                     continue
-                fresh = np.ones(len(rest[0]), bool)
-                fresh[1:] = (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])
-                rest = [x[fresh] for x in rest]
+                rest = fresh(rest)
                 last = int(np.searchsorted(rest[0], rest[0][-1]))
             else:
                 last = len(rest[0])
@@ -153,12 +165,12 @@ def shared_anchors(anchors: DataFrame, method: Method) -> DataFrame:
                 yield emit(*[x[:last] for x in rest])
             rest = [x[last:] for x in rest]
             if len(rest[0]) > method.hot:
-                known = (rest[0][-1], rest[1][-1])
+                known = (rest[0][-1], rest[1][-1], rest[2][-1])
                 yield emit(*rest, hot=True)
                 rest = [x[:0] for x in rest]
 
-    met = anchors.repartition("hash").sortWithinPartitions("hash", "key", "at")
-    return met.mapInArrow(run, "key long, hash long, a long, b int")
+    met = anchors.repartition("hash").sortWithinPartitions("hash", "key", "row", "at")
+    return met.mapInArrow(run, "key long, row long, hash long, a long, b int")
 
 
 _PIECE = "a long, b int, id1 long, id2 long, text binary, key long, row long, first int, windows int"
@@ -189,8 +201,9 @@ def cut_pieces(docs: DataFrame, shared: DataFrame, method: Method) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _PIECE.split(", ")])
 
-    lists = shared.groupBy("key").agg(F.collect_list(F.struct("hash", "a", "b")).alias("found"))
-    return docs.join(lists.hint("merge"), "key").select("key", "row", "text", "found").mapInArrow(run, _PIECE)
+    # By row: many rows may have one id, or none.
+    lists = shared.groupBy("key", "row").agg(F.collect_list(F.struct("hash", "a", "b")).alias("found"))
+    return docs.join(lists.hint("merge"), ["key", "row"]).select("key", "row", "text", "found").mapInArrow(run, _PIECE)
 
 
 def compared(distinct: DataFrame, method: Method) -> DataFrame:
