@@ -159,3 +159,15 @@ def test_dangling_and_expired(spark, tmp_path):
     name = lambda days: f"tool_{((now - days * 86_400_000) * 4096 + 1) % (1 << 48):012x}abc"
     files = spark.createDataFrame([(name(3),), (name(10),), (name(7),)], "id string")
     assert sorted(r.id for r in S.expire_outputs(files, now).collect()) == sorted([name(3), name(7)])
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_a_streamed_table_may_be_a_folder_of_files(spark, tmp_path, folder):
+    table = spark.range(5).selectExpr("id AS part_id", "id AS seq", "'x ' AS delta")
+    if folder:
+        table.repartition(2).write.parquet(str(tmp_path / "deltas.parquet"))
+    else:
+        table.toPandas().to_parquet(tmp_path / "deltas.parquet")
+    root = str(tmp_path / "out")
+    S.assemble_text(Views(spark, str(tmp_path)).stream("deltas"), f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    assert sorted(r.part_id for r in S.assembled(spark, f"{root}/parts").collect()) == [0, 1, 2, 3, 4]
