@@ -210,3 +210,16 @@ def test_cancel_reverts_is_the_sequential_fold(spark):
     for size in (3, 256):
         got = project.cancel_reverts(spark.createDataFrame(commits, "seq long, title string"), size)
         assert sorted(r.seq for r in got.collect()) == sorted(seen.values())
+
+
+def test_balances_beyond_bigint(spark):
+    most = (1 << 63) - 1
+    rows = [(1, START + timedelta(hours=i), i, most - 1) for i in range(3)]
+    payments = spark.createDataFrame(rows, "workspace_id long, ts timestamp, id long, amount long")
+    usage = spark.createDataFrame([], "workspace_id long, ts timestamp, id long, cost long, enrichment string")
+    refunds = spark.createDataFrame([], "workspace_id long, refunded long, id long, amount long")
+    billing = spark.createDataFrame([(1, 5, True), (2, 7, True)], "workspace_id long, balance long, reload boolean")
+    history = ledger.balance_history(ledger.ledger_entries(payments, usage, refunds))
+    assert sorted(int(r.balance) for r in history.collect()) == [(most - 1) * n for n in (1, 2, 3)]
+    left = ledger.grant_and_reload(billing, payments, usage, refunds).collect()
+    assert sorted((r.workspace_id, int(r.balance), r.needs_reload) for r in left) == [(1, 3 * (most - 1) + 5, False), (2, 7, True)]

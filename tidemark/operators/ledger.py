@@ -25,6 +25,11 @@ def _or0(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def _wide(name: str) -> Column:
+    """An amount whose sums may leave the range of BIGINT."""
+    return F.col(name).cast("decimal(28,0)")
+
+
 # -- filters and row-level columns ------------------------------------------
 
 
@@ -320,9 +325,9 @@ def ledger_entries(payments: DataFrame, usage: DataFrame, refunds: DataFrame) ->
 def grant_and_reload(
     billing: DataFrame, payments: DataFrame, usage: DataFrame, refunds: DataFrame, trigger: int = RELOAD_TRIGGER_DOLLARS
 ) -> DataFrame:
-    """Balance after all movements, and whether a top-up is due."""
-    moved = ledger_entries(payments, usage, refunds).groupBy("workspace_id").agg(F.sum("amount").alias("moved"))
-    balance = F.col("balance") + F.coalesce("moved", F.lit(0))
+    """Balance after all movements, a DECIMAL(38, 0), and whether a top-up is due."""
+    moved = ledger_entries(payments, usage, refunds).groupBy("workspace_id").agg(F.sum(_wide("amount")).alias("moved"))
+    balance = (_wide("balance") + F.coalesce("moved", F.lit(0))).cast("decimal(38,0)")
     return billing.join(moved, "workspace_id", "left").select(
         "workspace_id",
         balance.alias("balance"),
@@ -331,8 +336,9 @@ def grant_and_reload(
 
 
 def balance_history(entries: DataFrame) -> DataFrame:
-    """Balance of the workspace after each movement."""
-    return running(entries, ["workspace_id"], ["ts", "kind", "id"], {"balance": ("sum", F.col("amount"))})
+    """Balance of the workspace after each movement, a DECIMAL(38, 0)."""
+    totals = running(entries, ["workspace_id"], ["ts", "kind", "id"], {"balance": ("sum", _wide("amount"))})
+    return totals.withColumn("balance", F.col("balance").cast("decimal(38,0)"))
 
 
 def latest_payment_before(payments: DataFrame, anchors: Column) -> DataFrame:

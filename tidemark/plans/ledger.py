@@ -204,6 +204,12 @@ def _(v: Views):
     return L.refund_balances(_refunded(v))
 
 
+def _narrowed(df, column: str, largest):
+    """``column`` as BIGINT, the type of the SQL, if ``largest`` (one row, one value) fits; a DECIMAL(38, 0) as it is if not."""
+    most = largest.first()[0]
+    return df.withColumn(column, F.col(column).cast("long")) if most is None or most < 1 << 63 else df
+
+
 @query(
     "grant_and_reload",
     f"""SELECT workspace_id, bal AS balance, reload AND bal < 1000000000000000 AS needs_reload FROM (
@@ -211,7 +217,8 @@ def _(v: Views):
           FROM v_billing b LEFT JOIN ({_ENTRIES}) e USING (workspace_id) GROUP BY b.workspace_id, b.reload, b.balance)""",
 )
 def _(v: Views):
-    return L.grant_and_reload(v.billing(), v.payments(), v.usage(), _refunded(v), trigger=10_000_000)
+    balances = L.grant_and_reload(v.billing(), v.payments(), v.usage(), _refunded(v), trigger=10_000_000)
+    return _narrowed(balances, "balance", balances.agg(F.max(F.abs("balance"))))
 
 
 @query(
@@ -221,7 +228,9 @@ def _(v: Views):
 )
 def _(v: Views):
     entries = L.ledger_entries(v.payments(), v.usage(), _refunded(v))
-    return L.balance_history(entries).select("workspace_id", "kind", "id", "balance")
+    # No balance is larger than the sum of its workspace's movements, signs left out.
+    moved = entries.groupBy("workspace_id").agg(F.sum(F.abs("amount").cast("decimal(28,0)")).alias("n")).agg(F.max("n"))
+    return _narrowed(L.balance_history(entries).select("workspace_id", "kind", "id", "balance"), "balance", moved)
 
 
 @query(
