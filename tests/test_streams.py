@@ -1,5 +1,6 @@
 """Streams in several micro-batches against their batch twins."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -171,3 +172,36 @@ def test_a_streamed_table_may_be_a_folder_of_files(spark, tmp_path, folder):
     root = str(tmp_path / "out")
     S.assemble_text(Views(spark, str(tmp_path)).stream("deltas"), f"{root}/parts", f"{root}/checkpoint").awaitTermination()
     assert sorted(r.part_id for r in S.assembled(spark, f"{root}/parts").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_session_of_approvals_against_a_plain_loop():
+    rng = random.Random(3)
+    fits = lambda want, rules: any(K._fits(want[0], a) and K._fits(want[1], b) for a, b in rules)
+    session, open_, rules = K._Session([("a", "x9*")]), {}, [("a", "x9*")]
+    for n in range(600):
+        if rng.random() < 0.7:
+            asked = (rng.choice("ab"), [f"x{rng.randrange(12)}" for _ in range(rng.randrange(3))], [])
+            session.ask(n, *asked)
+            open_[n] = asked
+        else:
+            new = [(rng.choice("ab"), f"x{rng.randrange(12)}*") for _ in range(2)]
+            session.approve(new)
+            rules += new
+            done = {i for i, (p, wanted, _) in open_.items() if all(fits((p, w), rules) for w in wanted)}
+            assert set(session.ready) == done
+            for i in done:
+                session.drop(i)
+                del open_[i]
+        if n % 97 == 0:
+            rules, session, open_ = [], K._Session([]), {}
+    assert set(session.requests) == set(open_)
+
+
+def test_an_approval_meets_each_pattern_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(K, "_fits", lambda text, pattern: calls.append(1) or text == pattern)
+    session = K._Session([])
+    for n in range(2000):
+        session.ask(n, "a", ["x"], [])
+        session.approve([("a", "y")])
+    assert len(calls) < 10 and len(session.requests) == 2000

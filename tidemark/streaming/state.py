@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -113,47 +114,108 @@ def sticky_choice(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     )
 
 
-def _fits(text: str, pattern: str) -> bool:
+@lru_cache(maxsize=4096)
+def _matcher(pattern: str) -> re.Pattern:
     # Java writes the end of the text as \z, Python as \Z.
-    return re.match(wildcard_literal(pattern).removesuffix(r"\z") + r"\Z", text) is not None
+    return re.compile(wildcard_literal(pattern).removesuffix(r"\z") + r"\Z")
+
+
+def _fits(text: str, pattern: str) -> bool:
+    return _matcher(pattern).match(text) is not None
+
+
+class _Session:
+    """Open requests and approved patterns of one session, indexed by what they ask for.
+
+    A request counts its patterns that no rule allows yet. Each (permission, pattern) that is
+    asked for meets each rule once, so an ``always`` costs the requests that it lets through,
+    not all that are open.
+    """
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules = dict.fromkeys(rules)
+        self.allowed: dict[tuple[str, str], bool] = {}
+        self.missing: dict[int, int] = {}  # request: patterns not allowed
+        self.ready: dict[int, None] = {}  # requests with none, in the order they got there
+        self.waiting: dict[tuple[str, str], dict[int, None]] = {}
+        self.requests: dict[int, tuple] = {}
+
+    def ask(self, request: int, permission: str, patterns: list[str], always: list[str]) -> None:
+        self.drop(request)
+        self.requests[request] = (permission, patterns, always)
+        self.missing[request] = 0
+        for want in dict.fromkeys((permission, p) for p in patterns):
+            if want not in self.allowed:
+                self.allowed[want] = any(_fits(want[0], a) and _fits(want[1], b) for a, b in self.rules)
+            if not self.allowed[want]:
+                self.missing[request] += 1
+                self.waiting.setdefault(want, {})[request] = None
+        if not self.missing[request]:
+            self.ready[request] = None
+
+    def drop(self, request: int) -> tuple | None:
+        found = self.requests.pop(request, None)
+        if found is not None:
+            self.ready.pop(request, None)
+            self.missing.pop(request)
+            for want in {(found[0], p) for p in found[1]}:
+                self.waiting.get(want, {}).pop(request, None)
+        return found
+
+    def approve(self, rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        """The rules that are new; requests that they let through become ready."""
+        fresh = [r for r in dict.fromkeys(rules) if r not in self.rules]
+        self.rules.update(dict.fromkeys(fresh))
+        for want in [w for w, yes in self.allowed.items() if not yes] if fresh else ():
+            if any(_fits(want[0], a) and _fits(want[1], b) for a, b in fresh):
+                self.allowed[want] = True
+                for request in self.waiting.pop(want, {}):
+                    self.missing[request] -= 1
+                    if not self.missing[request]:
+                        self.ready[request] = None
+        return fresh
 
 
 class _Pending(StatefulProcessor):
-    """Open requests and approved patterns of one session."""
+    """Open requests and approved patterns of one session; read once and written once in a micro-batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getMapState("open", "id long", "permission string, patterns array<string>, always array<string>")
         self.approved = handle.getListState("approved", "permission string, pattern string")
 
-    def _allowed(self, permission: str, patterns: list[str], rules: list[tuple[str, str]]) -> bool:
-        return all(any(_fits(permission, a) and _fits(p, b) for a, b in rules) for p in patterns)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rules = [tuple(r) for r in self.approved.get()]
-        out = []
-        for e in _sorted(rows, ["seq"]).to_dict("records"):
-            request = (int(e["id"]),)
-            if e["kind"] == "asked":
-                self.open.updateValue(request, (e["permission"], list(e["patterns"]), list(e["always"])))
-                out.append((int(e["id"]), int(e["seq"]), "pending"))
+        session = _Session([tuple(r) for r in self.approved.get()])
+        for (request,), value in self.open.iterator():
+            session.ask(int(request), value[0], list(value[1]), list(value[2]))
+        stored, asked, added, out = set(session.requests), set(), [], []
+        pdf = _sorted(rows, ["seq"])
+        columns = [pdf[c].tolist() for c in ("seq", "id", "kind", "permission", "patterns", "always", "reply")]
+        for seq, request, kind, permission, patterns, always, reply in zip(*columns):
+            if kind == "asked":
+                session.ask(request, permission, list(patterns), list(always))
+                asked.add(request)
+                out.append((request, seq, "pending"))
                 continue
-            if not self.open.containsKey(request):
+            found = session.drop(request)
+            if found is None:
                 continue
-            permission, _, always = self.open.getValue(request)
-            self.open.removeKey(request)
-            out.append((int(e["id"]), int(e["seq"]), e["reply"]))
-            if e["reply"] == "reject":
-                for other in list(self.open.keys()):
-                    self.open.removeKey(other)
-                    out.append((int(other[0]), int(e["seq"]), "reject"))
-            elif e["reply"] == "always":
-                fresh = [(permission, p) for p in always]
-                rules += fresh
-                self.approved.appendList(fresh)
-                for other, (perm, patterns, _) in list(self.open.iterator()):
-                    if self._allowed(perm, patterns, rules):
-                        self.open.removeKey(other)
-                        out.append((int(other[0]), int(e["seq"]), "always"))
+            out.append((request, seq, reply))
+            if reply == "reject":
+                out += [(other, seq, "reject") for other in session.requests]
+                for other in list(session.requests):
+                    session.drop(other)
+            elif reply == "always":
+                added += session.approve([(found[0], p) for p in found[2]])
+                out += [(other, seq, "always") for other in session.ready]
+                for other in list(session.ready):
+                    session.drop(other)
+        for request in stored - set(session.requests):
+            self.open.removeKey((request,))
+        for request, value in session.requests.items():
+            if request in asked:
+                self.open.updateValue((request,), value)
+        if added:
+            self.approved.appendList(added)
         if out:
             pdf = pd.DataFrame(out, columns=["id", "seq", "state"])
             pdf.insert(0, "session_id", key[0])
