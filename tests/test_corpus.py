@@ -307,3 +307,23 @@ def test_suggestions_against_every_pair(spark):
     near = lambda a, b: a.lower() in b.lower() or b.lower() in a.lower()
     want = [(d, b, f"{d}/{e}") for d, b in wanted for e in [e for f, e in entries if f == d and near(e, b)][:3]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_block_matching_shuffles_no_text_for_each_pair(spark):
+    line = "a line that stands in every document"
+    docs = spark.createDataFrame([(i, f"  {line}\nx\ny{i}\n{line} end") for i in range(30)], "doc_id long, text string")
+    find = f"{line}\nx\ny0\n{line} end"
+    blocks = spark.createDataFrame([(i, find) for i in range(3)], "block_id long, find string")
+    for match, rows in ((B.match_blocks_trimmed, 3), (B.match_blocks_anchored, 90), (B.match_blocks_context, 90), (B.match_blocks_indented, 0), (B.match_blocks_escaped, 0)):
+        got = match(docs, blocks)
+        assert got.count() == rows
+        # Texts are exchanged by their document alone, and nothing wide after they met a block.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [l for l in plan.splitlines() if "Exchange hashpartitioning(block_id" in l]
+
+
+def test_blocks_found_both_ways_are_listed_once(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, " a\nb ")], "doc_id long, text string")
+    blocks = spark.createDataFrame([(1, " a\nb "), (2, "a\\nb"), (3, " ")], "block_id long, find string")
+    got = sorted(tuple(r) for r in B.match_blocks_escaped(docs, blocks).collect())
+    assert got == [(1, 1, 0, 2), (1, 2, 0, 2), (2, 1, 0, 2)]
