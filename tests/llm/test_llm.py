@@ -210,6 +210,24 @@ def test_near_copies_among_texts_with_a_common_half(spark):
     assert {r.doc_id for r in kept.collect()} == {2 * k for k in range(80)} and "a.b" in kept.columns
 
 
+def test_near_dedup_links_by_fingerprints(spark):
+    """Texts that differ in white space, case or a word of many are found by SimHash, before any prefix is looked up."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join([*words[:-1], "other"]), "en", "s"), (3, " ".join(words[::-1]), "en", "s")]
+    df = documents(spark, rows)
+    signed = nearcopies.prints(df, 5, 0.8, bytes(1 << nearcopies.BITS - 3))
+    by_id = {r.key: r for r in signed.collect()}
+    for i, text, *_ in rows:
+        hashes = [xxhash.xxh64_intdigest(" ".join(text.split()[k : k + 5]), 42) for k in range(2996)]
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > 2996)
+        assert by_id[i].fingerprint & (1 << 64) - 1 == want
+    assert (by_id[1].fingerprint ^ by_id[2].fingerprint).bit_count() <= 2
+    pairs = {frozenset((r.a, r.b)) for r in nearcopies.print_pairs(signed).collect()}
+    assert pairs == {frozenset((by_id[1].node, by_id[2].node))}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
+
+
 def test_near_copies_of_no_rows(spark):
     assert nearcopies.keep_first(documents(spark, [])).collect() == []
 

@@ -7,8 +7,12 @@ those that stand in more than ``LIST`` prefixes by hash order are marked in a bi
 fixed size. What many texts share by a licence or a common passage is then in no prefix,
 unless a text consists of it; only what really makes a text similar is looked up.
 
-Texts of the same words are one node, whatever their number. Nodes meet in the lists of
-their prefix shingles, in two rounds:
+Texts of the same words are one node, whatever their number. SimHash comes first: the
+fingerprints of the five-word shingles meet by Golay-code keys (``simhash.links``), each node
+is compared with the smallest one within two bits, and pairs that hold on the whole sets make
+components. What SimHash finds needs no further comparison. The exact join then looks for
+links between these components, where fingerprints are further apart; its nodes meet in the
+lists of their prefix shingles, in two rounds:
 
 1. A list of at most ``LIST`` nodes gives its pairs, as far as what is left of both from the
    shingle on can be enough (positional filter); in a longer one each node is compared
@@ -23,7 +27,8 @@ the pairs of a large group are never made.
 At a similarity of 0.8 fingerprints by SimHash differ in about 15 % of their bits. A segment
 of 23 bits then has two errors or fewer with a probability of 0.3 only, and the 12 bits of
 one Golay codeword part too little; two codewords together would take some 1600 keys a text
-at 256 bits, and still miss pairs. So this stage does not use them.
+at 256 bits, and still miss pairs. So SimHash links the closer copies, and the exact join
+follows for the rest.
 
 Defined results: words are parted by ASCII white space and compared in ASCII lower case; a
 text of fewer words than a shingle is one shingle; null and empty texts and those of white
@@ -46,7 +51,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, flat_bytes, id_key, released, stored
 from tidemark.llm.components import components
-from tidemark.llm.simhash import _LOWER, first_rows
+from tidemark.llm.simhash import _LOWER, first_rows, links
 
 #: Nodes from which a list is long.
 LIST = 16
@@ -89,30 +94,40 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return np.packbits(places.astype(np.uint8)).view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is set if it is in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(id_key("doc_id").alias("key"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
 
 
 def prints(docs: DataFrame, shingle: int, similarity: float, frequent: bytes) -> DataFrame:
-    """``key``, ``row`` (hash of the text), ``node`` (hash of the words), ``n`` (distinct shingles), ``prefix`` and ``sketch`` of every document."""
+    """``key``, ``row`` (hash of the text), ``node`` (hash of the words), ``n`` (distinct shingles), ``prefix``, ``sketch`` and ``fingerprint`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(np.frombuffer(frequent, np.uint8), bitorder="little") if frequent else np.zeros(1 << BITS, np.uint8)
         for batch in batches:
             flat, at = flat_bytes(batch.column(2))
             data = flat.tobytes()
-            nodes, sizes, found, sketches = [], [], [], []
+            nodes, sizes, found, sketches, marked = [], [], [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 node, hashes = shingles(data[a:b], shingle)
                 nodes.append(node)
                 sizes.append(len(hashes))
                 found.append(prefix(hashes, similarity, marks).view(np.int64))
                 sketches.append(sketch(hashes))
+                marked.append(fingerprint(hashes) if frequent else 0)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "row", "node", "n", "prefix", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.list_(pa.int64())), pa.array(np.array(marked, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "row", "node", "n", "prefix", "sketch", "fingerprint"])
 
-    return _rows(docs).mapInArrow(run, "key long, row long, node long, n int, prefix array<long>, sketch array<long>")
+    return _rows(docs).mapInArrow(run, "key long, row long, node long, n int, prefix array<long>, sketch array<long>, fingerprint long")
 
 
 def frequent_shingles(docs: DataFrame, shingle: int, similarity: float) -> bytes:
@@ -147,15 +162,39 @@ def _likely(similarity: float) -> Column:
     return (F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity)) & (F.least("left", "other_left") >= overlap)
 
 
-def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of the short lists, and of each node of a long list with the first of about its size."""
+def print_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) of nodes by SimHash: each with the smallest of its fingerprint, and that with one at most two bits away."""
+    firsts = stored(signed.groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints")
+    same = signed.select("node", "fingerprint").distinct().join(firsts.hint("merge"), "fingerprint").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(firsts)
+    for end in ("a", "b"):
+        near = near.join(firsts.select(F.col("fingerprint").alias(end), F.col("first").alias(f"{end}_node")).hint("merge"), end)
+    apart = near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return same.where("a <> b").unionByName(apart).distinct()
+
+
+def first_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of the short lists, and of each node of a long list with the first of about its size; none in one component."""
+    met = met.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     short = met.where(F.col("size") <= LIST)
-    other = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"))
-    pairs = short.join(other.hint("merge"), (short["token"] == other["token"]) & (F.col("node") < F.col("b")) & _likely(similarity)).select(F.col("node").alias("a"), "b")
+    other = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("r"))
+    apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("r"))
+    pairs = short.join(other.hint("merge"), (short["token"] == other["token"]) & apart & _likely(similarity)).select(F.col("node").alias("a"), "b")
     about = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)))
-    leader = F.min("node").over(Window.partitionBy("token", "_about"))
-    led = met.where(F.col("size") > LIST).withColumn("_about", about).select(leader.alias("a"), F.col("node").alias("b")).where("a <> b")
-    return pairs.unionByName(led).distinct()
+    leader = F.min(F.struct("node", "root")).over(Window.partitionBy("token", "_about"))
+    led = met.where(F.col("size") > LIST).withColumn("_about", about).select(leader.alias("l"), F.col("node").alias("b"), "root")
+    return pairs.unionByName(led.where("l.root <> root").select(F.col("l.node").alias("a"), "b")).distinct()
+
+
+def possible(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that the sizes and sketches don't rule out."""
+    nodes = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("s").alias(f"s_{end}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(WORDS)), F.lit(0))
+    near = differ <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - F.lit(1e-6)
+    return both.where(near & sized).select("a", "b")
 
 
 def further_pairs(met: DataFrame, signed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -204,10 +243,14 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, shingle: int,
 
 def near_groups(docs: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``node`` and ``root``, the smallest node of its group, for nodes in a group of several."""
+    close = stored(possible(print_pairs(signed), signed, similarity), "pairs")
+    found = verified(docs, signed, close, shingle, similarity)
+    known = stored(components(found), "roots")
     met = released(stored(lists(signed), "lists"))
-    pairs = stored(first_pairs(met, similarity), "pairs")
-    near = verified(docs, signed, pairs, shingle, similarity)
+    pairs = stored(possible(first_pairs(met, known, similarity), signed, similarity), "pairs")
+    near = found.unionByName(verified(docs, signed, pairs, shingle, similarity))
     roots = stored(components(near), "roots")
+    discard(close)
     more = stored(further_pairs(met, signed, roots, similarity), "pairs")
     discard(pairs)
     if more.isEmpty():
