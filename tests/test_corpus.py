@@ -1,6 +1,7 @@
 """Rules, search, slicing and block matching."""
 
 import random
+import time
 
 import pytest
 
@@ -286,6 +287,23 @@ def test_edits(spark, text, find, new, everywhere, expected):
     assert (row.status, row.tier, row.text) == expected
 
 
+def test_edits_take_time_by_the_length_of_a_text(spark):
+    text = "\n".join(f"  line {i}" for i in range(6000))
+    edits = spark.createDataFrame(
+        [(1, 0, "zzz not there\nb", "x", False), (2, 0, "line 7\nline 8", "x", False), (3, 0, "line 5999", None, False), (4, 0, None, "x", False)],
+        "edit_id long, doc_id long, find string, replace string, all boolean",
+    )
+    start = time.perf_counter()
+    got = {r.edit_id: (r.status, r.tier, r.text) for r in B.apply_edits(docs(spark, text), edits).collect()}
+    assert time.perf_counter() - start < 20  # lines split anew for each window took minutes
+    assert got == {
+        1: ("not found", None, text),
+        2: ("ok", "trimmed", text.replace("  line 7\n  line 8\n", "x\n")),
+        3: ("ok", "exact", None),
+        4: ("not found", None, text),
+    }
+
+
 def test_suggestions(spark):
     paths = spark.createDataFrame([(f"d/{n}",) for n in ("readme.md", "README.txt", "read", "other", "readme.md.bak")], "path string")
     wanted = spark.createDataFrame([("d", "ReadMe.md")], "dir string, base string")
