@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions.text import estimate_tokens, utf16_length
-from tidemark.operators.ordered import chunked_lists, running
+from tidemark.operators.ordered import chunked_lists, joined_wide, partitions_for, running
 from tidemark.session import checkpointed
 
 # Fixed values.
@@ -48,7 +48,6 @@ def project_model_messages(
     """
     kind, status = F.col("type"), F.col("status")
     ignored = F.coalesce(_optional(parts, "ignored", "boolean"), F.lit(False))
-    mime = _optional(parts, "mime")
     rows = parts.select(
         "message_id",
         "id",
@@ -61,57 +60,62 @@ def project_model_messages(
         F.col("error").alias("tool_error"),
         "compacted",
         ignored.alias("ignored"),
-        mime.alias("mime"),
+        _optional(parts, "mime").alias("mime"),
         _optional(parts, "url").alias("url"),
-    ).join(
-        messages.select(
-            F.col("id").alias("message_id"), "session_id", "role", F.col("error").alias("message_error")
-        ),
-        "message_id",
     )
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    plain = F.coalesce(F.col("mime").isin("text/plain", "application/x-directory"), F.lit(False))
     state = F.when(status == "completed", "output-available").otherwise("output-error")
     result = (
         F.when(status == "completed", F.when(F.col("compacted").isNotNull(), CLEARED_OUTPUT).otherwise(F.col("output")))
         .when(status == "error", F.col("tool_error"))
         .otherwise(INTERRUPTED)
     )
-    record = lambda k, text, state=None, tool=None, inp=None: F.struct(
-        (F.lit(k) if isinstance(k, str) else k).alias("type"),
-        (state if state is not None else F.lit(None).cast("string")).alias("state"),
-        (tool if tool is not None else F.lit(None).cast("string")).alias("input"),
-        text.alias("text"),
-    )
-    kept = (
-        F.when(user & (kind == "text") & ~F.col("ignored"), record("text", F.col("text")))
-        .when(
-            user & (kind == "file") & ~F.coalesce(F.col("mime").isin("text/plain", "application/x-directory"), F.lit(False)),
-            record("file", F.col("url")),
-        )
-        .when(user & (kind == "compaction"), record("text", F.lit(COMPACTION_PROMPT)))
-        .when(user & (kind == "subtask"), record("text", F.lit(SUBTASK_PROMPT)))
-        .when(assistant & kind.isin("text", "reasoning"), record(kind, F.col("text")))
-        .when(assistant & (kind == "step-start"), record("step-start", F.lit(None).cast("string")))
-        .when(
-            assistant & (kind == "tool"),
-            record(F.concat(F.lit("tool-"), "tool"), result, state, F.col("input")),
-        )
-    )
-    rows = rows.withColumn("part", kept)
-    useful = rows.groupBy("message_id").agg(
+    # What is kept, under which type, and its text; null types fall away.
+    cases = [
+        (user & (kind == "text") & ~F.col("ignored"), F.lit("text"), F.col("text")),
+        (user & (kind == "file") & ~plain, F.lit("file"), F.col("url")),
+        (user & (kind == "compaction"), F.lit("text"), F.lit(COMPACTION_PROMPT)),
+        (user & (kind == "subtask"), F.lit("text"), F.lit(SUBTASK_PROMPT)),
+        (assistant & kind.isin("text", "reasoning"), kind, F.col("text")),
+        (assistant & (kind == "step-start"), kind, F.lit(None).cast("string")),
+        (assistant & (kind == "tool"), F.lit("tool"), result),
+    ]
+
+    def first(values: list[Column]) -> Column:
+        found = F.when(cases[0][0], values[0])
+        for (condition, *_), value in zip(cases[1:], values[1:]):
+            found = found.when(condition, value)
+        return found
+
+    known = messages.select(F.col("id").alias("message_id"), "session_id", "role", F.col("error").alias("message_error"))
+    # Decided on narrow rows; the texts go to the messages that stay.
+    marks = rows.select("message_id", "type", "ignored", "mime").join(known.select("message_id", "role"), "message_id")
+    marks = marks.withColumn("_type", first([c[1] for c in cases]))
+    useful = marks.groupBy("message_id").agg(
         F.bool_or(~kind.isin("step-start", "reasoning")).alias("_progress"),
-        F.bool_or(F.col("part").isNotNull() & (F.col("part.type") != "step-start")).alias("_content"),
+        F.bool_or(F.col("_type").isNotNull() & (F.col("_type") != "step-start")).alias("_content"),
     )
     aborted = F.col("message_error") == "MessageAbortedError"
     failed = assistant & F.col("message_error").isNotNull() & ~(aborted & F.col("_progress"))
-    wanted = rows.where(F.col("part").isNotNull()).join(useful, "message_id").where(F.col("_content") & ~failed)
+    staying = known.join(useful, "message_id").where(F.col("_content") & ~failed).select("message_id", "session_id", "role")
+    partitions = partitions_for(rows)
+    called = assistant & (kind == "tool")
+    part = F.struct(
+        F.when(called, F.concat(F.lit("tool-"), "tool")).otherwise(F.col("_type")).alias("type"),
+        F.when(called, state).alias("state"),
+        F.when(called, F.col("input")).alias("input"),
+        first([c[2] for c in cases]).alias("text"),
+    )
+    wanted = joined_wide(rows, staying, "message_id", ["id"], partitions).withColumn("_type", first([c[1] for c in cases]))
     return chunked_lists(
-        wanted.select("session_id", "message_id", "role", "id", "part"),
+        wanted.where(F.col("_type").isNotNull()).select("session_id", "message_id", "role", "id", part.alias("part")),
         ["session_id", "message_id", "role"],
         ["id"],
         ["part"],
         size,
         "parts",
+        partitions,
     ).withColumn("parts", F.col("parts.part"))
 
 
@@ -184,7 +188,7 @@ def render_transcripts(
         "session_id", "message_id", F.lit(1).alias("step"), F.col("id").alias("part_id"), body.alias("text")
     ).where(F.col("text").isNotNull())
     pieces = head.unionByName(mark(0, heading)).unionByName(lines).unionByName(mark(2, F.lit("---\n\n")))
-    lists = chunked_lists(pieces, ["session_id"], position, ["text"], size, "pieces")
+    lists = chunked_lists(pieces, ["session_id"], position, ["text"], size, "pieces", partitions_for(parts))
     return lists.select("session_id", "chunk", F.array_join("pieces.text", "").alias("text"))
 
 

@@ -13,6 +13,9 @@ are never more cuts than ranges:
 3. carry: one total per cut key and block, combined before its shuffle, and a window over
    those few rows gives what each block starts from.
 
+Rows with texts and lists are dealt over as many partitions as their values fill, so that
+what a task sorts does not grow with the table.
+
 The cuts and the carried totals have at most as many rows as there are ranges, whatever
 the table holds; they are broadcast. The plan is the same for every input.
 """
@@ -21,9 +24,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sampled rows for each range.
 PER_RANGE = 16
+#: Bytes of values for each task of a shuffle of wide rows. Spark sizes its tasks by compressed
+#: bytes, and texts that repeat can be a hundred times as large in a sort.
+TASK_BYTES = 64 << 20
 
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
@@ -45,6 +52,25 @@ def _joined(df: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFra
     return df.join(F.broadcast(few), same, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        added = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes(x, kind.elementType))
+        return F.coalesce(added, F.lit(0).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    return F.lit(8).cast("long")
+
+
+def partitions_for(df: DataFrame) -> int:
+    """How many partitions of ``TASK_BYTES`` the values of ``df`` fill, and no fewer than there are cores."""
+    total = df.agg(F.sum(_bytes(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)).alias("n")).first()["n"] or 0
+    return max(2, df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
 def _cuts(df: DataFrame, keys: list[str], order: list[str], ranges: int) -> DataFrame:
     """``_cuts``, sorted structs of ``order``, for each key that is cut: fewer than ``ranges`` in all."""
     sampled = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*order).alias("_cut"))
@@ -68,16 +94,26 @@ def _rank(cuts: Column, at: Column, ranges: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ranges.bit_length())), start, step)["low"]
 
 
-def _blocks(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+def _blocks(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All rows with ``_block``, and those of cut keys alone. ``_block`` never decreases along ``order``."""
-    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = _cuts(df, keys, order, ranges)
 
     def placed(how: str) -> DataFrame:
         block = F.when(F.col("_cuts").isNotNull(), _rank(F.col("_cuts"), F.struct(*order), ranges)).otherwise(0)
         return _joined(df, cuts, keys, how).withColumn("_block", block).drop("_cuts")
 
-    return placed("left"), placed("inner")
+    rows = placed("left")
+    return rows.repartition(partitions, *keys, "_block") if partitions else rows, placed("inner")
+
+
+def joined_wide(wide: DataFrame, narrow: DataFrame, key: str, order: list[str], partitions: int) -> DataFrame:
+    """Inner join on ``key``, of which the rows of ``wide`` may have one alike: a cut key meets its ``narrow`` rows in every block."""
+    rows, _ = _blocks(wide, [key], order, partitions)
+    cuts = _cuts(wide, [key], order, partitions)
+    last = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts"))
+    other = _joined(narrow, cuts, [key], "left").withColumn("_block", F.explode(F.sequence(F.lit(0), last))).drop("_cuts")
+    return rows.join(other, [key, "_block"]).drop("_block")
 
 
 def _carried(totals: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
@@ -94,12 +130,15 @@ def running(
     inclusive: bool = True,
     descending: bool = False,
     strict_on: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add running ``values`` = {name: (sum|count|max|min, expression)}.
 
     Rows of a key follow one another by ``order``, nulls first. ``descending`` runs
     from the last row back. ``strict_on`` names an integral column: only rows
     strictly before the current one in that column count, so ties are left out.
+    ``partitions`` says over how many the rows are dealt, as :func:`partitions_for` finds
+    it for wide rows; else Spark decides.
     """
 
     def frame(window):
@@ -109,7 +148,7 @@ def running(
         window = window.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
         return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
-    rows, cut = _blocks(df, keys, [strict_on] if strict_on else order)
+    rows, cut = _blocks(df, keys, [strict_on] if strict_on else order, partitions)
     totals = cut.groupBy(*keys, "_block").agg(
         *[_AGGREGATES[kind](value).alias(f"_total_{name}") for name, (kind, value) in values.items()]
     )
@@ -156,25 +195,31 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], value: Column)
     )
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "position", partitions: int | None = None) -> DataFrame:
     """1-based position of each row within its key."""
-    return running(df, keys, order, {name: ("count", F.lit(1))})
+    return running(df, keys, order, {name: ("count", F.lit(1))}, partitions=partitions)
 
 
-def chunked_lists(df: DataFrame, keys: list[str], order: list[str], items: list[str], size: int, name: str = "items") -> DataFrame:
+def collected(df: DataFrame, keys: list[str], position: str, items: list[str], name: str, partitions: int) -> DataFrame:
+    """Lists of ``items`` in the order of ``position``, for groups of bounded size."""
+    listed = F.sort_array(F.collect_list(F.struct(position, *items))).alias("_sorted")
+    lists = df.select(*keys, position, *items).repartition(partitions, *keys).groupBy(*keys).agg(listed)
+    return lists.select(*keys, F.transform("_sorted", lambda s: F.struct(*[s[c].alias(c) for c in items])).alias(name))
+
+
+def chunk_of(position: str, size: int) -> Column:
+    return F.floor((F.col(position) - 1) / size).cast("long")
+
+
+def chunked_lists(
+    df: DataFrame, keys: list[str], order: list[str], items: list[str], size: int, name: str = "items", partitions: int | None = None
+) -> DataFrame:
     """Ordered lists per key as rows (*keys, chunk, name), at most ``size`` items each.
 
     A key of usual size gives one row with chunk 0; a larger one gives more
-    rows, so no group has to fit into one cell.
+    rows, so no group has to fit into one cell. Without ``partitions`` the input is
+    read once more to find how many it fills.
     """
-    numbered = ordinal(df, keys, order, "_position")
-    return (
-        numbered.withColumn("chunk", F.floor((F.col("_position") - 1) / size).cast("long"))
-        .groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("_position", *items))).alias("_sorted"))
-        .select(
-            *keys,
-            "chunk",
-            F.transform("_sorted", lambda s: F.struct(*[s[c].alias(c) for c in items])).alias(name),
-        )
-    )
+    partitions = partitions or partitions_for(df)
+    numbered = ordinal(df, keys, order, "_position", partitions).withColumn("chunk", chunk_of("_position", size))
+    return collected(numbered, [*keys, "chunk"], "_position", items, name, partitions)
