@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import components, decontam, langid, lines, mixing, nearcopies, pages, simhash, substring, suffixes, tokens, topk
+from tidemark.llm import common, components, decontam, langid, lines, mixing, nearcopies, pages, simhash, substring, suffixes, tokens, topk
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key int, size int, row string"
@@ -466,3 +466,11 @@ def test_pipeline(spark, tmp_path):
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
     assert kept[0] == {*range(30), 40, 43} and kept[1] == kept[0] - {40} and kept[2] == kept[1] - {43} and kept[3] <= kept[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_texts_are_worked_on_in_small_batches():
+    texts = ["a" * 40, None, "é" * 30, "", "b" * 500, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["key", "text"])
+    some = list(common.small_batches([batch, batch.slice(0, 0), batch.slice(3)], "text", 100))
+    assert [b.column("key").to_pylist() for b in some] == [[0, 1, 2, 3], [4], [5], [3], [4], [5]]
+    assert [t for b in some[:3] for t in b.column("text").to_pylist()] == texts

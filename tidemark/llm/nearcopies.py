@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, flat_bytes, id_key, released, stored
+from tidemark.llm.common import discard, flat_bytes, id_key, released, small_batches, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import _LOWER, first_rows, links
 
@@ -112,7 +112,7 @@ def prints(docs: DataFrame, shingle: int, similarity: float, frequent: bytes) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(np.frombuffer(frequent, np.uint8), bitorder="little") if frequent else np.zeros(1 << BITS, np.uint8)
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             flat, at = flat_bytes(batch.column(2))
             data = flat.tobytes()
             nodes, sizes, found, sketches, marked = [], [], [], [], []
@@ -216,7 +216,7 @@ def sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, shingle: int) ->
     """``node`` and its ``hashes`` for the ``wanted`` nodes, from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             flat, at = flat_bytes(batch.column(1))
             data = flat.tobytes()
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
