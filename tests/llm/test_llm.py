@@ -228,6 +228,35 @@ def test_near_dedup_links_by_fingerprints(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
 
 
+def join_rows(plan):
+    """Rows that the joins of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return join_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return join_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(join_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_near_copies_around_one_text(spark):
+    """Texts that are near copies of one, but not of each other, meet it first; pairs of many lists are made once."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [base] + [[*base[: 9 * k], *[f"n{k}x{i}" for i in range(20)], *base[9 * k + 20 :]] for k in range(40)]
+    df = documents(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    signed = nearcopies.prints(df, 5, 0.8, nearcopies.frequent_shingles(df, 5, 0.8)).cache()
+    met, none = nearcopies.lists(signed).cache(), spark.createDataFrame([], "node long, root long")
+    assert met.where(f"size > {nearcopies.LIST}").count() > 1000
+    pairs = nearcopies.possible(nearcopies.first_pairs(met, none, 0.8), signed, 0.8)
+    roots = components.components(nearcopies.verified(df, signed, pairs, 5, 0.8))
+    assert roots.count() == 41 and roots.select("root").distinct().count() == 1
+    more = nearcopies.further_pairs(met, signed, none, 0.8)
+    made = len(more.collect())
+    assert 41 * 40 / 4 < made <= join_rows(more._jdf.queryExecution().executedPlan()) <= 1.2 * made
+    assert nearcopies.further_pairs(met, signed, roots, 0.8).isEmpty()
+    assert [r.doc_id for r in nearcopies.keep_first(df).collect()] == [0]
+
+
 def test_near_copies_of_no_rows(spark):
     assert nearcopies.keep_first(documents(spark, [])).collect() == []
 

@@ -16,10 +16,11 @@ lists of their prefix shingles, in two rounds:
 
 1. A list of at most ``LIST`` nodes gives its pairs, as far as what is left of both from the
    shingle on can be enough (positional filter); in a longer one each node is compared
-   with the first of about its size. Pairs are verified on the whole sets, and those that
+   with two leaders of about its size. Pairs are verified on the whole sets, and those that
    hold make components: a large group of near copies is one of them now.
 2. Longer lists whose nodes are in different components give the pairs across these, but for
    those that parity sketches rule out: these bound from below by how much two sets differ.
+   A pair with many lists in common is made in the first of them.
 
 A pair in one component needs no comparison, so no link between components is missed, and
 the pairs of a large group are never made.
@@ -59,6 +60,8 @@ LIST = 16
 BITS = 23
 #: 64-bit words of a parity sketch.
 WORDS = 8
+#: Lists of a node before a long one in which a pair is looked for before it is made again.
+EARLIER = 8
 
 
 def shingles(text: bytes, size: int) -> tuple[int, np.ndarray]:
@@ -174,15 +177,22 @@ def print_pairs(signed: DataFrame) -> DataFrame:
 
 
 def first_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of the short lists, and of each node of a long list with the first of about its size; none in one component."""
+    """Pairs (``a``, ``b``) of the short lists, and of each node of a long list with two leaders of about its size; none in one component.
+
+    One has the smallest share of shingles before this one, so few of its own, and is nearer to the others than
+    they are to each other. The other is drawn by a hash for each list, so a node that has many lists in common
+    with a large group meets as many of its nodes.
+    """
     met = met.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     short = met.where(F.col("size") <= LIST)
     other = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("r"))
     apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("r"))
     pairs = short.join(other.hint("merge"), (short["token"] == other["token"]) & apart & _likely(similarity)).select(F.col("node").alias("a"), "b")
     about = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)))
-    leader = F.min(F.struct("node", "root")).over(Window.partitionBy("token", "_about"))
-    led = met.where(F.col("size") > LIST).withColumn("_about", about).select(leader.alias("l"), F.col("node").alias("b"), "root")
+    ranks = (1 - F.col("left") / F.col("n"), F.xxhash64("token", "node").cast("double"))
+    leaders = [F.min(F.struct(r.alias("rank"), "node", "root")).over(Window.partitionBy("token", "_about")) for r in ranks]
+    led = met.where(F.col("size") > LIST).withColumn("_about", about).select(F.array(*leaders).alias("l"), F.col("node").alias("b"), "root")
+    led = led.select(F.explode("l").alias("l"), "b", "root")
     return pairs.unionByName(led.where("l.root <> root").select(F.col("l.node").alias("a"), "b")).distinct()
 
 
@@ -198,17 +208,22 @@ def possible(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFram
 
 
 def further_pairs(met: DataFrame, signed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of the long lists whose nodes are in different components, and whose sketches don't rule them out."""
+    """Pairs of the long lists whose nodes are in different components, and whose sketches don't rule them out.
+
+    A pair that has many lists in common is made in the first of them, and not in one behind it if any of the
+    ``EARLIER`` lists before are those of both nodes. The first one has none before, so no pair is lost.
+    """
     long = met.where(F.col("size") > LIST).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = long.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     sketches = signed.groupBy("node").agg(F.first("sketch").alias("s")).select("node", *[F.col("s")[i].alias(f"s{i}") for i in range(WORDS)])
     long = long.join(split.hint("merge"), "token", "left_semi").select("token", "node", "n", "left", "root")
-    long = stored(long.join(sketches.hint("merge"), "node"), "split-lists")
-    other = long.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("r"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(WORDS)])
+    before = Window.partitionBy("node").orderBy(F.desc("left")).rowsBetween(-EARLIER, -1)
+    long = stored(long.withColumn("earlier", F.collect_list("token").over(before)).join(sketches.hint("merge"), "node"), "split-lists")
+    other = long.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("r"), F.col("earlier").alias("other_earlier"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(WORDS)])
     apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("r"))
     differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(WORDS)), F.lit(0))
     apart = apart & (differ <= (F.col("n") + F.col("m")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
-    both = long.join(other.hint("merge"), (long["token"] == other["token"]) & apart & _likely(similarity))
+    both = long.join(other.hint("merge"), (long["token"] == other["token"]) & apart & _likely(similarity) & ~F.arrays_overlap("earlier", "other_earlier"))
     return both.select(F.col("node").alias("a"), "b").distinct()
 
 
