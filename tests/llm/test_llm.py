@@ -410,6 +410,37 @@ def test_word_encoder():
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])][: len(some)] == want
 
 
+def test_word_encoder_keeps_words_met_again(monkeypatch):
+    """Of more words than it remembers, those that came again are not encoded anew."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(11)
+    often = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)] + ["Ünder", "don't"]
+    given = []
+
+    class Noted:
+        def __init__(self, real):
+            object.__setattr__(self, "real", real)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.real, name, value)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(w for t in texts for w in t.split())
+            return self.real.encode_batch_fast(texts, **more)
+
+    noted = type("NotedTokenizer", (), {"from_file": staticmethod(lambda p: Noted(Tokenizer.from_file(p)))})
+    monkeypatch.setattr("tokenizers.Tokenizer", noted)
+    encode = tokens.word_encoder(path, most=200)
+    for _ in range(12):
+        once = ["".join(rng.choice("ijklmnop") for _ in range(12)) for _ in range(60)]
+        text = " ".join(often + once)
+        assert encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(given.count(w) == 1 for w in often[:40]) and len(given) >= 12 * 60 + 40
+
+
 def test_token_blocks():
     rng = np.random.default_rng(5)
     for ids in (np.zeros(0), np.zeros(5000), rng.integers(0, 131072, 3000), rng.geometric(0.01, 70000) % 500):

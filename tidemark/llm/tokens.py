@@ -146,11 +146,13 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
     model, low, wide = _Model(vocabulary), np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     c1, c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     who, what = [], []
+    turns = np.zeros((lanes, steps), np.int64)  # the last lane may end before
+    turns.reshape(-1)[:n] = ids
+    turns = np.ascontiguousarray(turns.T)
 
     for step in range(steps):
-        at = np.arange(step, n, steps)
-        x = ids[at].astype(np.int64)
-        k = len(x)
+        k = lanes if step < n - (lanes - 1) * steps else lanes - 1
+        x = turns[step, :k]
         model.predict(c1[:k], c2[:k])
         start, width = model.interval(x)
         part = wide[:k] >> _U(_TOTAL)
@@ -164,7 +166,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
     for k in (48, 32, 16, 0):
         who.append(np.arange(lanes))
         what.append((low >> _U(k)).astype(np.uint16))
-    lane = np.concatenate(who)
+    lane = np.concatenate(who).astype(np.uint16)  # of 16 bits: sorted by radix
     order = np.argsort(lane, kind="stable")
     return lanes, np.bincount(lane, minlength=lanes).astype("<u4"), np.concatenate(what)[order].astype("<u2")
 
@@ -229,17 +231,49 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Words(dict):
-    """Numbers of words; new ones are noted."""
+    """Numbers of words; new ones are noted and get numbers from ``first`` on."""
 
     def __init__(self):
         self.new: list[bytes] = []
+        self.first = 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
+        self[word] = number = self.first + len(self.new)
         self.new.append(word)
         return number
 
 
+class _Pieces:
+    """Numbers of pieces of at most 16 bytes, by two 64-bit numbers that hold them and the hash of these, in its order."""
+
+    def __init__(self):
+        self.mark, self.a, self.b = (np.zeros(0, _U) for _ in range(3))
+        self.number = np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)
+
+    def find(self, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each, -1 if not known."""
+        if not len(self.mark):
+            return np.full(len(mark), -1)
+        at = np.minimum(np.searchsorted(self.mark, mark), len(self.mark) - 1)
+        same = (self.mark[at] == mark) & (self.a[at] == a) & (self.b[at] == b)
+        self.met[at[same]] = True
+        return np.where(same, self.number[at], -1)
+
+    def add(self, mark: np.ndarray, a: np.ndarray, b: np.ndarray, number: np.ndarray) -> None:
+        new = np.argsort(mark)
+        at = np.searchsorted(self.mark, mark[new])
+        self.mark, self.a, self.b, self.number = (np.insert(x, at, y[new]) for x, y in ((self.mark, mark), (self.a, a), (self.b, b), (self.number, number)))
+        self.met = np.insert(self.met, at, False)
+
+    def renew(self, most: int) -> np.ndarray:
+        """Keep what was met again, if that is at most ``most``, under new numbers from 0: their old ones."""
+        keep = self.met if self.met.sum() <= most else np.zeros(len(self.met), bool)
+        old = self.number[keep]
+        self.mark, self.a, self.b, self.number, self.met = self.mark[keep], self.a[keep], self.b[keep], np.arange(len(old)), np.zeros(len(old), bool)
+        return old
+
+
 #: Classes of bytes: white space, letters, digits, other ASCII signs, and what only the tokenizer itself can cut.
 _BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _CLASS = np.full(256, _ODD, np.uint8)
@@ -286,8 +320,8 @@ def _segments(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end - start, whole[word], np.diff(np.searchsorted(start, at))
 
 
-def _distinct(flat: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pieces of at most 16 bytes: the rows of the distinct ones, and which of them each is.
+def _distinct(flat: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For pieces of at most 16 bytes: the rows of the distinct ones, which of them each is, and hash and numbers of the distinct ones.
 
     Two numbers hold all bytes of a piece, padded with zeros; a zero byte inside could
     only be at the end of a whole word, so whole words with one are not given here.
@@ -296,24 +330,33 @@ def _distinct(flat: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.n
     wide = lambda raw: np.ndarray((len(flat) + 8,), "<u8", raw.tobytes(), strides=(1,))
     plain, lower = wide(padded), wide(_LOWER[padded])
     head, tail = _HEADS[np.minimum(size, 8)], _HEADS[np.maximum(size, 8) - 8]
-    a = np.where(whole, plain[start], lower[start]) & head
-    b = np.where(whole, plain[start + 8 - (size <= 8) * 8], lower[start + 8 - (size <= 8) * 8]) & tail
-    _, rows, which = np.unique(mix64(a) ^ mix64(b + _U(1)), return_index=True, return_inverse=True)
+    kept, second = np.flatnonzero(whole), np.where(size <= 8, start, start + 8)
+    a, b = lower[start], lower[second]
+    a[kept], b[kept] = plain[start[kept]], plain[second[kept]]
+    a, b = a & head, b & tail
+    mark = mix64(a) ^ mix64(b + _U(1))
+    found = pa.array(mark).dictionary_encode()
+    which = found.indices.to_numpy()
+    rows = np.zeros(len(found.dictionary), np.int64)
+    rows[which] = np.arange(len(mark))
     if (a[rows][which] != a).any() or (b[rows][which] != b).any():  # two pieces, one hash
         _, rows, which = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_inverse=True)
-    return rows, which.ravel()
+    return rows, which.ravel(), mark[rows], a[rows], b[rows]
 
 
-def word_encoder(path: str, most: int = 200_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def word_encoder(path: str, most: int = 400_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Texts to all their ids and the number of ids of each, for a tokenizer that white space parts.
 
     Texts are cut into pieces as array operations on their bytes; distinct pieces are
-    encoded once and remembered, up to about ``most``.
+    encoded once and remembered; from about ``most`` on those that were met again stay.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    # Words of lower-case ASCII letters are what its normalizer and its pattern make of them: they need a cut at blanks only.
+    letters = Tokenizer.from_file(path)
+    letters.normalizer, letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
 
     closes = np.zeros(tokenizer.get_vocab_size(), bool)
     for word, i in tokenizer.get_vocab().items():
@@ -331,16 +374,24 @@ def word_encoder(path: str, most: int = 200_000) -> Callable[[pa.Array], tuple[n
             counts = np.diff(np.flatnonzero(closes[ids]), prepend=-1)
             yield (ids, counts) if len(counts) == len(group) else apart(group)
 
+    def of_letters(some: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        texts = [b" ".join(some[at : at + 50]).decode() for at in range(0, len(some), 50)]
+        ids = np.fromiter((i for made in letters.encode_batch_fast(texts, add_special_tokens=False) for i in made.ids), np.uint32)
+        counts = np.diff(np.flatnonzero(closes[ids]), prepend=-1)
+        yield from [(ids, counts)] if len(counts) == len(some) else joined([w.decode() for w in some])
+
     def encoded(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all and number of ids of each."""
-        text = [w.decode() for w in new]
+        simple = np.array([w.isalpha() and w.islower() for w in new])  # of bytes: ASCII letters alone
+        plain, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
+        text = [new[i].decode() for i in rest]
         # Pieces that are not letters throughout, or stay whole, may be cut further.
-        single = np.array([w.lower().isalpha() for w in text])
+        single = np.array([w.lower().isalpha() for w in text], bool)
         one, many = np.flatnonzero(single), np.flatnonzero(~single)
-        made = list(joined([text[i] for i in one]))
+        made = [*of_letters([new[i] for i in plain]), *joined([text[i] for i in one])]
         made += [apart([text[i] for i in many[at : at + 1000]]) for at in range(0, len(many), 1000)]
         ids, counts = (np.concatenate(x) for x in zip(*made))
-        order = np.concatenate([one, many])
+        order = np.concatenate([plain, rest[one], rest[many]])
         place = np.empty(len(new), np.int64)
         place[order] = np.arange(len(new))
         first = (np.cumsum(counts) - counts)[place]
@@ -348,27 +399,35 @@ def word_encoder(path: str, most: int = 200_000) -> Callable[[pa.Array], tuple[n
         at = np.arange(int(counts.sum())) + np.repeat(first - np.cumsum(counts) + counts, counts)
         return ids[at], counts
 
-    words, start, count = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, pieces, start, count = _Words(), _Pieces(), np.zeros(0, np.int64), np.zeros(0, np.int64)
     known = np.zeros(0, np.uint32)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         nonlocal words, start, count, known
-        if len(words) > most:
-            words, start, count, known = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        if len(count) > most:
+            old = pieces.renew(most // 2)
+            words, first, count = _Words(), start[old], count[old]
+            start = np.cumsum(count) - count
+            known = known[np.arange(int(count.sum())) + np.repeat(first - start, count)]
         flat, at = flat_bytes(texts)
         place, size, whole, per_text = _segments(flat, at)
         plain, lower = flat.tobytes(), _LOWER[flat].tobytes()
 
-        def numbers(rows: np.ndarray) -> list[int]:
+        def cut(rows: np.ndarray) -> list[bytes]:
             some = zip(place[rows].tolist(), (place[rows] + size[rows]).tolist(), whole[rows].tolist())
-            return [words[(plain if w else lower)[i:j]] for i, j, w in some]
+            return [(plain if w else lower)[i:j] for i, j, w in some]
 
         fits = (size <= _SHORT) & ~(whole & (flat[place + size - 1] == 0))
         short, other = np.flatnonzero(fits), np.flatnonzero(~fits)
         number = np.zeros(len(place), np.int64)
-        rows, which = _distinct(flat, place[short], size[short], whole[short])
-        number[short] = np.array(numbers(short[rows]), np.int64)[which]
-        number[other] = numbers(other)
+        rows, which, *keys = _distinct(flat, place[short], size[short], whole[short])
+        of = pieces.find(*keys)
+        new = np.flatnonzero(of < 0)
+        of[new] = len(count) + np.arange(len(new))
+        pieces.add(*(k[new] for k in keys), of[new])
+        number[short] = of[which]
+        words.first, words.new = len(count), cut(short[rows[new]])
+        number[other] = [words[w] for w in cut(other)]
         if words.new:
             made, more = encoded(words.new)
             words.new = []
