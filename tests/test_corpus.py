@@ -345,3 +345,25 @@ def test_blocks_found_both_ways_are_listed_once(spark):
     blocks = spark.createDataFrame([(1, " a\nb "), (2, "a\\nb"), (3, " ")], "block_id long, find string")
     got = sorted(tuple(r) for r in B.match_blocks_escaped(docs, blocks).collect())
     assert got == [(1, 1, 0, 2), (1, 2, 0, 2), (2, 1, 0, 2)]
+
+
+def shuffled(spark):
+    """Records and bytes that all stages so far have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    none = gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, *none)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages), sum(s.shuffleWriteBytes() for s in stages)
+
+
+@pytest.mark.parametrize("match", [B.match_blocks_anchored])
+def test_an_end_that_many_documents_share_makes_no_pairs(spark, match):
+    line, n = "a line that stands in every document", 300
+    texts = [f"{line}\nx\ny\nz{i}" for i in range(n)]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "block_id long, find string")
+    corpus = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before, _ = shuffled(spark)
+    got = sorted(map(tuple, match(corpus, blocks).collect()), key=lambda r: r[1])
+    assert got == [(i or None, i, 0, 4) for i in range(n)]
+    assert shuffled(spark)[0] - before < n * n / 3  # one for each document and block before
