@@ -357,7 +357,7 @@ def shuffled(spark):
     return sum(s.shuffleWriteRecords() for s in stages), sum(s.shuffleWriteBytes() for s in stages)
 
 
-@pytest.mark.parametrize("match", [B.match_blocks_anchored])
+@pytest.mark.parametrize("match", [B.match_blocks_anchored, B.match_blocks_context])
 def test_an_end_that_many_documents_share_makes_no_pairs(spark, match):
     line, n = "a line that stands in every document", 300
     texts = [f"{line}\nx\ny\nz{i}" for i in range(n)]
