@@ -10,6 +10,7 @@ from tidemark.operators import corpus as C
 from tidemark.operators import pages as P
 from tidemark.operators import rules as R
 from tidemark.operators.pending import pending_requests
+from tidemark.plans import QUERIES
 
 RULE = "idx long, permission string, pattern string, action string"
 
@@ -367,3 +368,18 @@ def test_an_end_that_many_documents_share_makes_no_pairs(spark, match):
     got = sorted(map(tuple, match(corpus, blocks).collect()), key=lambda r: r[1])
     assert got == [(i or None, i, 0, 4) for i in range(n)]
     assert shuffled(spark)[0] - before < n * n / 3  # one for each document and block before
+
+
+@pytest.mark.parametrize("name", ["match_blocks_trimmed"])
+def test_texts_in_many_files_are_not_shuffled(spark, tmp_path, name):
+    rng = random.Random(3)
+    text = lambda: "\n".join(f"{rng.getrandbits(4000):x}" for _ in range(10))
+    docs = spark.createDataFrame([(i, text()) for i in range(64)], "doc_id long, text string")
+    docs.repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # a task for each file
+    try:
+        _, before = shuffled(spark)
+        assert QUERIES[name](spark, str(tmp_path)).count() == 64
+        assert shuffled(spark)[1] - before < 200_000  # 640 KB of text, once for each use before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
