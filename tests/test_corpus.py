@@ -370,7 +370,7 @@ def test_an_end_that_many_documents_share_makes_no_pairs(spark, match):
     assert shuffled(spark)[0] - before < n * n / 3  # one for each document and block before
 
 
-@pytest.mark.parametrize("name", ["match_blocks_trimmed", "match_blocks_indented", "match_blocks_escaped"])
+@pytest.mark.parametrize("name", ["match_blocks_trimmed", "match_blocks_indented", "match_blocks_escaped", "match_blocks_normalized"])
 def test_texts_in_many_files_are_not_shuffled(spark, tmp_path, name):
     rng = random.Random(3)
     text = lambda: "\n".join(f"{rng.getrandbits(4000):x}" for _ in range(10))
