@@ -1,8 +1,10 @@
 """Streams in several micro-batches against their batch twins."""
 
 import random
+import weakref
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,61 @@ def test_an_approval_meets_each_pattern_once(monkeypatch):
         session.ask(n, "a", ["x"], [])
         session.approve([("a", "y")])
     assert len(calls) < 10 and len(session.requests) == 2000
+
+
+EVENT = ["seq", "id", "kind", "permission", "patterns", "always", "reply"]
+
+
+class _Kept:
+    """State of a stream in memory."""
+
+    def __init__(self, *_):
+        self.values, self.rules = {}, []
+
+    getMapState = getListState = lambda self, *_: _Kept()
+
+    def iterator(self):
+        return iter(self.values.items())
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def get(self):
+        return iter(self.rules)
+
+    def appendList(self, rules):
+        self.rules += rules
+
+
+def test_pending_holds_few_rows_of_a_large_session():
+    n = 120_000
+    order = list(range(n))
+    random.Random(7).shuffle(order)
+    alive, most = weakref.WeakSet(), 0
+
+    class Part(pd.DataFrame):
+        __hash__ = object.__hash__
+
+    def parts():
+        nonlocal most
+        for start in range(0, n, 1000):
+            ids = order[start : start + 1000]  # each is asked at 2i; the even ones are answered at 2i + 1
+            asked = [(2 * i, i, "asked", "edit", [f"f{i}"], [], None) for i in ids]
+            part = Part(asked + [(2 * i + 1, i, "replied", "edit", None, None, "once") for i in ids if i % 2 == 0], columns=EVENT)
+            alive.add(part)
+            most = max(most, len(alive))
+            yield part
+
+    pending = K._Pending()
+    pending.init(_Kept())
+    got = pd.concat(list(pending.handleInputRows((3,), parts(), None)), ignore_index=True)
+    assert most <= 3
+    assert got["seq"].is_monotonic_increasing and len(got) == n + n // 2 and set(got["session_id"]) == {3}
+    assert sorted(k[0] for k in pending.open.values) == list(range(1, n, 2))
+    # The next batch goes on from there: one is asked anew, one is answered, and a rejection ends the others.
+    more = pd.DataFrame([(3 * n + 1, 1, "replied", "edit", None, None, "reject"), (3 * n, 0, "asked", "edit", ["x"], [], None)], columns=EVENT)
+    got = pd.concat(list(pending.handleInputRows((3,), iter([more]), None)))
+    assert got["state"].tolist() == ["pending"] + ["reject"] * (n // 2 + 1) and not pending.open.values

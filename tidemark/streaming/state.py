@@ -3,7 +3,8 @@
 They need the RocksDB state store, see :data:`tidemark.session.ROCKSDB`. A
 micro-batch may deliver the rows of a key in any order, so each is sorted first;
 what one task holds is the rows of one key in one micro-batch, which
-``maxFilesPerTrigger`` or the source's own limit bounds.
+``maxFilesPerTrigger`` or the source's own limit bounds. Permission requests, whose
+rows are wide, are sorted through files of the worker instead.
 
 State ends by event time: each key sets a timer for the moment from which its state
 no longer matters, and drops the state when the watermark has passed it. Rows older
@@ -12,12 +13,15 @@ than the watermark are late and are left out, as in any windowed stream.
 
 from __future__ import annotations
 
+import heapq
 import re
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -176,6 +180,39 @@ class _Session:
         return fresh
 
 
+#: Rows of a key that are held at once, and that are read at once of each sorted file.
+RUN_ROWS, READ_ROWS = 50_000, 1000
+
+_EVENT = pa.schema(
+    [("seq", pa.int64()), ("id", pa.int64()), *[(n, pa.string()) for n in ("kind", "permission")], *[(n, pa.list_(pa.string())) for n in ("patterns", "always")], ("reply", pa.string())]
+)
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The events of a key by ``seq``: sorted runs of a fixed number of rows, of which all but the last wait in files."""
+    records = lambda batches: (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
+
+    def run(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).sort_by("seq")
+
+    def filed(table: pa.Table) -> Iterator[tuple]:
+        file = tempfile.TemporaryFile()  # has no name, and ends with the worker
+        with pa.ipc.new_stream(file, _EVENT) as out:
+            out.write_table(table, max_chunksize=READ_ROWS)
+        file.seek(0)
+        return records(pa.ipc.open_stream(file))
+
+    runs, held, n = [], [_EVENT.empty_table()], 0
+    for pdf in rows:
+        held.append(pa.Table.from_pandas(pdf[_EVENT.names], _EVENT, preserve_index=False))
+        n += len(pdf)
+        if n >= RUN_ROWS:
+            runs.append(filed(run(held)))
+            held, n = [_EVENT.empty_table()], 0
+    runs.append(records(run(held).to_batches(READ_ROWS)))
+    return heapq.merge(*runs, key=lambda row: row[0])
+
+
 class _Pending(StatefulProcessor):
     """Open requests and approved patterns of one session; read once and written once in a micro-batch."""
 
@@ -187,13 +224,19 @@ class _Pending(StatefulProcessor):
         session = _Session([tuple(r) for r in self.approved.get()])
         for (request,), value in self.open.iterator():
             session.ask(int(request), value[0], list(value[1]), list(value[2]))
-        stored, asked, added, out = set(session.requests), set(), [], []
-        pdf = _sorted(rows, ["seq"])
-        columns = [pdf[c].tolist() for c in ("seq", "id", "kind", "permission", "patterns", "always", "reply")]
-        for seq, request, kind, permission, patterns, always, reply in zip(*columns):
+        stored, added, out = dict(session.requests), [], []
+
+        def changes() -> pd.DataFrame:
+            pdf = pd.DataFrame(out, columns=["id", "seq", "state"])
+            pdf.insert(0, "session_id", key[0])
+            out.clear()
+            return pdf
+
+        for seq, request, kind, permission, patterns, always, reply in _in_order(rows):
+            if len(out) >= RUN_ROWS:
+                yield changes()
             if kind == "asked":
-                session.ask(request, permission, list(patterns), list(always))
-                asked.add(request)
+                session.ask(request, permission, patterns, always)
                 out.append((request, seq, "pending"))
                 continue
             found = session.drop(request)
@@ -209,17 +252,15 @@ class _Pending(StatefulProcessor):
                 out += [(other, seq, "always") for other in session.ready]
                 for other in list(session.ready):
                     session.drop(other)
-        for request in stored - set(session.requests):
+        for request in stored.keys() - session.requests.keys():
             self.open.removeKey((request,))
         for request, value in session.requests.items():
-            if request in asked:
+            if stored.get(request) is not value:  # asked in this batch
                 self.open.updateValue((request,), value)
         if added:
             self.approved.appendList(added)
         if out:
-            pdf = pd.DataFrame(out, columns=["id", "seq", "state"])
-            pdf.insert(0, "session_id", key[0])
-            yield pdf
+            yield changes()
 
     def close(self) -> None:
         pass
