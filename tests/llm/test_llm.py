@@ -534,3 +534,14 @@ def test_texts_are_worked_on_in_small_batches():
     some = list(common.small_batches([batch, batch.slice(0, 0), batch.slice(3)], "text", 100))
     assert [b.column("key").to_pylist() for b in some] == [[0, 1, 2, 3], [4], [5], [3], [4], [5]]
     assert [t for b in some[:3] for t in b.column("text").to_pylist()] == texts
+
+
+def test_pieces_that_share_an_anchor_but_no_window(spark):
+    rng = random.Random(5)
+    shared = rng.randbytes(24).hex()[: suffixes.WINDOW - 1]
+    texts = [f"{rng.randbytes(40).hex()}{shared}{rng.randbytes(40).hex()}" for _ in range(2)]
+    for found in suffixes._compare([t.encode() for t in texts], np.array([1, 2]), np.array([0, 0])):
+        assert len(found) == 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffixes.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [(r.n_removed, bytes(r.kept).decode()) for r in got] == [(0, t) for t in texts]
